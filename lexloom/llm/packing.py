@@ -3,7 +3,7 @@
 Documents become ids (one end id behind each). Whole windows are cut from long documents. The histogram of the
 remaining lengths, at most `window` counts, decides the plan: shallow combinations of lengths that fill a window
 exactly are enumerated, their repeat counts are the non-negative least-squares solution against the histogram,
-rounded down, and filled up greedily. What no combination takes is laid end to end and cut at window bounds; the last
+rounded to what there is, and filled up greedily. What no combination takes is laid end to end and cut at window bounds; the last
 part is cut into powers of two, which need no padding. Documents take their places in the plan by their rank among
 those of equal length; ranks are counted in salted groups, so that a very common length is no hot key.
 
@@ -28,8 +28,8 @@ from pyspark.sql import Window as W
 from lexloom.llm.common import Memo, Stages, byte_texts
 
 WINDOW = 4096
-#: Combinations that the least-squares problem may use, and the most lengths in one.
-PATTERNS, DEPTH = 4096, 8
+#: Combinations of each number of lengths above two that the least-squares problem gets, and the most lengths in one.
+PATTERNS, DEPTH = 1024, 8
 #: Cut documents whose keys may be broadcast; beyond it they are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 _TAIL = b".,!%&*#$|;:?()-"
@@ -111,12 +111,13 @@ def fill_windows(counts: np.ndarray, window: int = WINDOW) -> list[tuple[tuple[i
         return plan
     found = {(int(n),) * (window // int(n)) for n in lengths if window % n == 0}
     draw, weight = np.random.default_rng(7), left[lengths] / left.sum()
-    for depth in range(2, DEPTH + 1):
+    found.update((int(n), window - int(n)) for n in lengths if 2 * n <= window and left[window - n])
+    for depth in range(3, DEPTH + 1):
         heads = draw.choice(lengths, (200_000 // depth, depth - 1), p=weight)
         last = window - heads.sum(1)
         fits = (last > 0) & (left[np.clip(last, 0, window)] > 0)
         rows = np.unique(np.sort(np.column_stack([heads, last])[fits], 1), axis=0)
-        found.update(map(tuple, rows[: PATTERNS // (DEPTH - 1)].tolist()))
+        found.update(map(tuple, rows[:: -(-len(rows) // PATTERNS) or 1].tolist()))
     patterns = sorted(found)
     if not patterns:
         return plan
@@ -140,8 +141,10 @@ def fill_windows(counts: np.ndarray, window: int = WINDOW) -> list[tuple[tuple[i
     uses = np.zeros(len(patterns), np.int64)
     order = np.argsort(-x, kind="stable")
     parts = [np.unique(np.array(p), return_counts=True) for p in patterns]
-    for most in (np.floor(x).astype(np.int64), np.full(len(patterns), np.iinfo(np.int64).max)):
-        for i in order.tolist():
+    longest = np.argsort([-p[-1] for p in patterns], kind="stable")  # the longest are the hardest to place
+    ends = np.full(len(patterns), np.iinfo(np.int64).max)
+    for turn, most in ((order, np.rint(x).astype(np.int64)), (longest, ends)):
+        for i in turn.tolist():
             lens, per = parts[i]
             n = min(int(most[i]), int((left[lens] // per).min()))
             uses[i] += n
