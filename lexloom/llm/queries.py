@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontamination, packing, token_counts
+from lexloom.llm import decontamination, packing, quality_rules, token_counts
 
 TOKEN_MODEL, PACKING_TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json"
 
@@ -40,9 +40,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary(PACKING_TOKENIZER))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *[F.col(c).cast("long").alias(c) for c in counts], "base_failed", "kept", F.col("lost_words").cast("long").alias("lost_words"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
+    "op8_quality_rules": op8_quality_rules,
 }
 ORACLES: dict[str, str] = {}
