@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontamination, packing, quality_rules, token_counts
+from lexloom.llm import decontamination, ngram_join, packing, quality_rules, token_counts
 
 TOKEN_MODEL, PACKING_TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json"
 
@@ -26,6 +26,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.find_benchmark(docs, _table(spark, sf_dir, "benchmark"))
@@ -48,6 +52,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op4_ngram_join": op4_ngram_join,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
     "op8_quality_rules": op8_quality_rules,
