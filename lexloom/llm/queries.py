@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontamination, ngram_join, packing, quality_rules, token_counts
+from lexloom.llm import decontamination, ngram_join, packing, quality_rules, substring_dedup, token_counts
 
 TOKEN_MODEL, PACKING_TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json"
 
@@ -44,6 +44,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary(PACKING_TOKENIZER))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.find_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -55,6 +60,7 @@ QUERIES = {
     "op4_ngram_join": op4_ngram_join,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
 }
 ORACLES: dict[str, str] = {}
