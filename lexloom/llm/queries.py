@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat_format, decontamination, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts
+from lexloom.llm import chat_format, decontamination, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, wrapper_induction
 
 TOKEN_MODEL, PACKING_TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json"
 
@@ -62,6 +62,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(c).cast("long").alias(c) for c in counts], "base_failed", "kept", F.col("lost_words").cast("long").alias("lost_words"))
 
 
+def op9_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return wrapper_induction.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_classifier.fit(docs, _table(spark, sf_dir, "labels"))
@@ -76,6 +81,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_wrapper_induction": op9_wrapper_induction,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES: dict[str, str] = {}
