@@ -236,11 +236,12 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """Per row of `docs`: doc_id, n_shingles, component_id."""
+    """Per row of `docs`: doc_id, n_shingles, component_id, text_hash."""
     spark = docs.sparkSession
     stages = Stages(spark, "ngram-join")
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    keyed = stages.keep(texts.withColumn("k", _keyed(rule)("text")).select("doc_id", "k.*"))
+    keyed = texts.withColumn("k", _keyed(rule)("text")).select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), "k.*")
+    keyed = stages.keep(keyed)
     classes = keyed.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     classes = stages.keep(classes.where("rep is not null"))
 
@@ -274,9 +275,9 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     named = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     named = named.select("h1", "h2", F.coalesce("label", "rep").alias("component"))
-    out = keyed.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
+    out = keyed.select("doc_id", "text_hash", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash")
 
 
 def _finish_tiles(rest: DataFrame, sets: DataFrame, edges: DataFrame, rule: Rule, stages: Stages) -> DataFrame:
@@ -300,7 +301,12 @@ def _finish_tiles(rest: DataFrame, sets: DataFrame, edges: DataFrame, rule: Rule
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule(words=5, percent=80)) -> DataFrame:
-    """`docs` with the first document of each component, and documents that link with nothing."""
-    found = near_duplicates(docs.select("doc_id", "text"), rule).where("doc_id <=> component_id").select("doc_id").distinct()
-    same = docs.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id"), "left_semi")
-    return same.dropDuplicates(["doc_id"]).select([F.col(f"`{c}`") for c in docs.columns])
+    """`docs` with the first document of each component, and documents that link with nothing.
+
+    Of equal rows one stays. Different texts with one id stand for their components together; rows without an id stay
+    unless an equal set has an id.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), rule).where("doc_id <=> component_id")
+    found = found.select(F.xxhash64("doc_id", "text_hash").alias("_row")).distinct()
+    own = docs.withColumn("_row", F.xxhash64("doc_id", F.xxhash64("text")))
+    return own.join(found, "_row", "left_semi").dropDuplicates(["_row", "doc_id"]).select([F.col(f"`{c}`") for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat_format, decontamination, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, wrapper_induction
+from lexloom.llm import chat_format, decontamination, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, url_filters, wrapper_induction
 
 TOKEN_MODEL, PACKING_TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json"
 
@@ -33,8 +33,46 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(turns.unionByName(hostile)))
 
 
+#: The pages have no fetch date and there is no list, so both are derived: the date from the page's number, and for a
+#: third of the domains a listing, a delisting and a second listing from the domain's hash.
+def _derived_list(domains: DataFrame) -> DataFrame:
+    numbered = domains.select("domain", F.conv(F.substring(F.md5("domain"), 1, 4), 16, 10).cast("long").alias("n")).where("n % 3 = 0")
+    steps = F.explode(F.array(*[F.struct(F.lit(d).alias("days"), F.lit(on).alias("listed")) for d, on in ((0, True), (60, False), (150, True))]))
+    listed = numbered.withColumn("step", steps)
+    at = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("n") % 200 + F.col("step.days")).cast("int"))
+    return listed.select(F.when(F.col("n") % 2 == 0, "spam").otherwise("malware").alias("category"), "domain", at.alias("at"), "step.listed")
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")))
+    domains = pages.select(F.regexp_replace(url_filters.host_of(F.col("url")), r"^(www|blog|m)\.", "").alias("domain")).where("domain <> ''").distinct()
+    found = url_filters.filter_urls(captures, _derived_list(domains))
+    return found.select("page_id", "url", "host", "fetched", F.array_join("categories", ",").alias("categories"), "blocked")
+
+
+_OP3_SQL = r"""
+WITH captures AS (
+  SELECT page_id, url, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)', 1)) AS host,
+         DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched FROM pages),
+domains AS (SELECT DISTINCT regexp_replace(host, '^(www|blog|m)\.', '') AS domain FROM captures WHERE host <> ''),
+numbered AS (SELECT domain, CAST('0x' || substr(md5(domain), 1, 4) AS BIGINT) AS n FROM domains),
+entries AS (
+  SELECT CASE WHEN n % 2 = 0 THEN 'spam' ELSE 'malware' END AS category, domain, DATE '2024-01-01' + CAST(n % 200 + step AS INTEGER) AS since, listed
+  FROM numbered, (VALUES (0, true), (60, false), (150, true)) AS steps(step, listed) WHERE n % 3 = 0),
+intervals AS (SELECT *, lead(since) OVER (PARTITION BY category, domain ORDER BY since) AS valid_to FROM entries),
+active AS (
+  SELECT c.page_id, string_agg(DISTINCT i.category, ',' ORDER BY i.category) AS categories
+  FROM captures c JOIN intervals i ON (c.host = i.domain OR ends_with(c.host, '.' || i.domain))
+   AND i.listed AND c.fetched >= i.since AND (i.valid_to IS NULL OR c.fetched < i.valid_to) GROUP BY c.page_id)
+SELECT c.page_id, c.url, c.host, c.fetched, coalesce(a.categories, '') AS categories, a.categories IS NOT NULL AS blocked
+FROM captures c LEFT JOIN active a USING (page_id)
+"""
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = ngram_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +111,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_format": op2_chat_format,
+    "op3_url_filters": op3_url_filters,
     "op4_ngram_join": op4_ngram_join,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
@@ -83,5 +128,6 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_wrapper_induction": op9_wrapper_induction,
     "op10_quality_classifier": op10_quality_classifier,
+    "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_url_filters": _OP3_SQL}
