@@ -59,8 +59,6 @@ class WordTokenizer:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, missing: set[bytes]) -> None:
-        if len(self.words) + len(missing) > 1 << 19:
-            self.words.clear()
         if len(self.bases) + len(missing) > 3 << 18:
             self.bases.clear()
         split, unknown = [], set()
@@ -88,7 +86,11 @@ class WordTokenizer:
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
         """The little-endian 32-bit ids of each text, with the end id."""
         split = [t.lower().split() if b"<|" not in t else t.split() for t in texts]
-        missing = set().union(*split).difference(self.words)
+        seen = set().union(*split)
+        missing = seen.difference(self.words)
+        if len(self.words) + len(missing) > 1 << 19:
+            self.words.clear()
+            missing = seen
         if missing:
             self._learn(missing)
         of = self.words.__getitem__
