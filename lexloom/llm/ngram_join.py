@@ -2,10 +2,12 @@
 
 Equal shingle sets are one class. Classes are banded by set size; two sets that link differ in few enough shingles
 that, with the hashed universe cut into more parts than differences, they agree on whole parts (the pigeonhole
-principle). Each non-empty part is a key, and the classes with one key in one band are a tile. Every class of a tile
-is compared with the tile's first class; pairs that this leaves in different components are compared in blocks of
-bounded size. Before sorted arrays are intersected, the bit counts of hashed bitmaps bound the overlap from above.
-No tile, bucket or number of partners is capped. Keys are 64-bit hashes, classes 128-bit hashes of the sets.
+principle). Each non-empty part is a key, and the classes with one key in one band are a tile. In a few rounds, every
+class of a tile is compared with one leader, the class that stands in most tiles; this joins a group of near copies in
+time linear in its size. Pairs of a tile that are still in different components are then all compared, in blocks of
+bounded size where the tile is large. Each pair is first bounded from above by the bit counts of hashed bitmaps; only
+what passes has its sorted arrays intersected. No tile, bucket or number of partners is capped. Keys are 64-bit
+hashes, classes 128-bit hashes of the sets.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing; texts of fewer words than a shingle
 are one shingle; repeated rows get equal rows; rows without an id take part through an equal set that has one (else
@@ -32,11 +34,16 @@ from lexloom.llm.components import connected_components
 
 #: Candidate documents whose ids may be broadcast to pick their texts; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Sets in a block of a tile, and shingles in one at most (a set that is larger is alone with one other).
-BLOCK_SETS, BLOCK_SHINGLES = 256, 2_000_000
+#: Rounds with leaders; the largest tile whose pairs are listed by a join; sets in a block of a larger one, and
+#: shingles in one at most (a set that is larger is alone with one other).
+ROUNDS, LISTED, BLOCK_SETS, BLOCK_SHINGLES = 3, 64, 256, 8_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
+def _times(odd: np.uint64, n: int) -> np.uint64:
+    return np.uint64(int(odd) * n & (1 << 64) - 1)
+
+
 @dataclass(frozen=True)
 class Rule:
     """Sets link when 100 * overlap >= percent * union."""
@@ -97,7 +104,7 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     n = max(0, len(hashes) - words + 1)
     rolled = np.zeros(n, np.uint64)
     for j in range(words):
-        rolled += mix(hashes[j : j + n] + _ODD[j % len(_ODD)] * np.uint64(j + 1)) * _ODD[(j + 1) % len(_ODD)]
+        rolled += mix(hashes[j : j + n] + _times(_ODD[j % len(_ODD)], j + 1)) * _ODD[(j + 1) % len(_ODD)]
     rolled = mix(rolled)
     sets, at = [], 0
     for count in counts.tolist():
@@ -119,11 +126,11 @@ def part_keys(shingles: np.ndarray, rule: Rule) -> np.ndarray:
     keys = []
     for band in bands_of(len(shingles), rule):
         _, _, parts, spare = bands(rule)[band]
-        spread = mix(shingles + np.uint64(band + 1) * _ODD[3])
+        spread = mix(shingles + _times(_ODD[3], band + 1))
         part = ((spread >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         sums, filled = np.zeros(parts, np.uint64), np.bincount(part, minlength=parts)
         np.add.at(sums, part, spread * _ODD[2])
-        named = mix(sums + np.arange(1, parts + 1, dtype=np.uint64) * _ODD[0] + np.uint64(band + 1) * _ODD[1])
+        named = mix(sums + np.arange(1, parts + 1, dtype=np.uint64) * _ODD[0] + _times(_ODD[1], band + 1))
         keys.append(named if (filled == 0).sum() > spare else named[filled > 0])
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
@@ -143,14 +150,11 @@ def fold(words: np.ndarray, n: int) -> np.ndarray:
     return words
 
 
-def links(a: np.ndarray, b: np.ndarray, a_bits: np.ndarray, b_bits: np.ndarray, rule: Rule) -> bool:
-    """Whether two sorted sets link: first the bound by bit counts, then the exact intersection."""
-    least = rule.overlap(len(a) + len(b))
-    n = min(len(a_bits), len(b_bits))
-    x, y = fold(a_bits, n), fold(b_bits, n)
-    if min(len(a) - int(np.bitwise_count(x & ~y).sum()), len(b) - int(np.bitwise_count(y & ~x).sum())) < least:
-        return False
-    return overlap(a, b) >= least
+def bound(n_a: int, a: np.ndarray, n_b: int, b: np.ndarray) -> int:
+    """The most that two sets can overlap, by the bits of one bitmap that the other lacks."""
+    n = min(len(a), len(b))
+    x, y = fold(a, n), fold(b, n)
+    return min(n_a - int(np.bitwise_count(x & ~y).sum()), n_b - int(np.bitwise_count(y & ~x).sum()))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -159,27 +163,22 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(a) and len(b) else 0
 
 
-def tile_links(ids: np.ndarray, sets: list[np.ndarray], groups: np.ndarray, blocks: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
-    """Links that connect different groups within a block, or across two: a union-find spares pairs once connected."""
+def tile_pairs(ids: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], groups: np.ndarray, blocks: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+    """Pairs of different groups, within a block or across two, whose bound allows a link."""
     order = np.argsort(ids, kind="stable")
-    ids, groups, blocks, sets = ids[order], groups[order].copy(), blocks[order], [sets[i] for i in order]
-    maps = [bitmap(s) for s in sets]
+    ids, sizes, groups, blocks, maps = ids[order], sizes[order], groups[order], blocks[order], [maps[i] for i in order]
     n = min(map(len, maps))
-    bits, sizes = np.stack([fold(m, n) for m in maps]), np.array([len(s) for s in sets])
-    across, found = blocks[0] != blocks[-1] or len(set(blocks.tolist())) > 1, []
+    bits = np.stack([fold(m, n) for m in maps])
+    across, found = len(set(blocks.tolist())) > 1, []
     for i in range(len(ids) - 1):
         open_ = groups[i + 1 :] != groups[i]
         if across:
             open_ &= blocks[i + 1 :] != blocks[i]
         js = np.flatnonzero(open_) + i + 1
-        if not len(js):
-            continue
-        mine, other = bits[i], bits[js]
-        bound = np.minimum(sizes[i] - np.bitwise_count(mine & ~other).sum(1), sizes[js] - np.bitwise_count(other & ~mine).sum(1))
-        for j in js[bound >= rule.overlap(sizes[i] + sizes[js])].tolist():
-            if groups[j] != groups[i] and overlap(sets[i], sets[j]) >= rule.overlap(int(sizes[i] + sizes[j])):
-                found.append((int(ids[i]), int(ids[j])))
-                groups[groups == groups[j]] = groups[i]
+        if len(js):
+            mine, other = bits[i], bits[js]
+            most = np.minimum(sizes[i] - np.bitwise_count(mine & ~other).sum(1), sizes[js] - np.bitwise_count(other & ~mine).sum(1))
+            found += [(int(ids[i]), int(ids[j])) for j in js[most >= rule.overlap(sizes[i] + sizes[js])]]
     return found
 
 
@@ -204,28 +203,43 @@ def _set_hashes(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
 
 
 def _sets(rule: Rule):
-    @F.arrow_udf(T.StructType().add("h1", T.LongType()).add("h2", T.LongType()).add("shingles", T.ArrayType(T.LongType())))
+    kind = T.StructType().add("h1", T.LongType()).add("h2", T.LongType()).add("shingles", T.ArrayType(T.LongType())).add("bits", T.BinaryType())
+
+    @F.arrow_udf(kind)
     def sets(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             found = [s for part in byte_texts(column) for s in shingle_sets(part, rule.words)]
             flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
             lists = list_array(flat, np.array([len(s) for s in found], np.int64), pa.int64())
-            yield pa.StructArray.from_arrays([*_set_hashes(found), lists], ["h1", "h2", "shingles"])
+            maps = pa.array([bitmap(s).tobytes() for s in found], pa.binary())
+            yield pa.StructArray.from_arrays([*_set_hashes(found), lists, maps], ["h1", "h2", "shingles", "bits"])
 
     return sets
 
 
-def _linked(rule: Rule):
-    def arrays(column: pa.Array) -> list[np.ndarray]:
-        values, offsets = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
-        return np.split(values, (offsets - offsets[0])[1:-1]) if len(column) else []
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    values, offsets = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
+    return np.split(values, (offsets - offsets[0])[1:-1]) if len(column) else []
 
+
+def _bounded(rule: Rule):
     @F.arrow_udf(T.BooleanType())
-    def linked(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def bounded(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in columns:
+            n_a, a, n_b, b = (c.to_pylist() for c in batch)
+            words = lambda x: np.frombuffer(x, np.uint64)
+            yield pa.array([bound(i, words(x), j, words(y)) >= rule.overlap(i + j) for i, x, j, y in zip(n_a, a, n_b, b, strict=True)], pa.bool_())
+
+    return bounded
+
+
+def _overlapping(rule: Rule):
+    @F.arrow_udf(T.BooleanType())
+    def overlapping(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in columns:
-            yield pa.array([links(a, b, bitmap(a), bitmap(b), rule) for a, b in zip(arrays(left), arrays(right), strict=True)], pa.bool_())
+            yield pa.array([overlap(a, b) >= rule.overlap(len(a) + len(b)) for a, b in zip(_arrays(left), _arrays(right), strict=True)], pa.bool_())
 
-    return linked
+    return overlapping
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -251,27 +265,12 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     members = stages.keep(rows.join(shared, "key").distinct())
     tiles = members.join(classes.select("h1", "rep", "n"), "h1").select("key", "rep", "n")
     tiles = stages.keep(tiles)
-    first = tiles.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("size"))
-    pairs = stages.keep(tiles.join(first.select("key", "first"), "key").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
-
     candidates = tiles.select(F.col("rep").alias("doc_id")).distinct()
     sets = _texts_of(texts, candidates).withColumn("s", _sets(rule)("text")).select("doc_id", "s.*")
     # by their hashes, as an id may stand on several texts
-    sets = sets.join(classes.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"]).dropDuplicates(["doc_id"])
-    sets = stages.keep(sets.select(F.col("doc_id").alias("rep"), "shingles"))
-
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left_set"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right_set"))
-    checked = pairs.join(left, "a").join(right, "b").where(_linked(rule)("left_set", "right_set")).select("a", "b")
-    edges = stages.keep(checked.distinct())
-    labels = connected_components(edges, stages)
-
-    rest = tiles.join(first, "key").where("rep <> first AND size > 2").drop("first")
-    rest = rest.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    split = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("n").alias("most")).where("lo <> hi")
-    rest = stages.keep(rest.join(split.select("key", "most"), "key"))
-    if rest.limit(1).count():
-        labels = _finish_tiles(rest, sets, edges, rule, stages)
+    sets = sets.join(classes.select("h1", "h2", "n", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"]).dropDuplicates(["doc_id"])
+    sets = stages.keep(sets.select(F.col("doc_id").alias("rep"), "n", "bits", "shingles"))
+    labels = _connect(tiles, sets, rule, stages)
 
     named = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     named = named.select("h1", "h2", F.coalesce("label", "rep").alias("component"))
@@ -280,24 +279,62 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash")
 
 
-def _finish_tiles(rest: DataFrame, sets: DataFrame, edges: DataFrame, rule: Rule, stages: Stages) -> DataFrame:
-    """Compare what the first classes left unconnected, in pairs of blocks, and label anew."""
+def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule, stages: Stages) -> DataFrame:
+    """The pairs (a, b) that link: bitmaps first, then whole sets for what passes."""
+    side = lambda c, *what: sets.select(F.col("rep").alias(c), *[F.col(w).alias(f"{w}_{c}") for w in what])
+    passed = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").where(_bounded(rule)("n_a", "bits_a", "n_b", "bits_b"))
+    passed = stages.keep(passed.select("a", "b"))
+    whole = passed.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").where(_overlapping(rule)("shingles_a", "shingles_b"))
+    return stages.keep(whole.select("a", "b"))
+
+
+def _connect(tiles: DataFrame, sets: DataFrame, rule: Rule, stages: Stages) -> DataFrame:
+    """(node, label) of the classes that link."""
+    degree = tiles.groupBy("rep").agg(F.count("*").alias("degree"))
+    open_ = tiles.join(degree, "rep").withColumn("label", F.col("rep"))
+    edges, labels = None, None
+    for _ in range(ROUNDS):
+        open_ = stages.keep(open_)
+        if not open_.limit(1).count():
+            return labels if labels is not None else tiles.where("false").select(F.col("rep").alias("node"), F.col("rep").alias("label"))
+        leaders = stages.keep(open_.groupBy("key").agg(F.max_by("rep", "degree").alias("leader"), F.max_by("label", "degree").alias("leader_label")))
+        led = open_.join(leaders, "key")
+        pairs = led.where("rep <> leader AND label <> leader_label").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+        found = _verified(pairs, sets, rule, stages)
+        edges = found if edges is None else edges.unionByName(found)
+        labels = connected_components(edges, stages)
+        rest = led.where("rep <> leader").select("key", "rep", "n", "degree")
+        rest = rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        several = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        open_ = rest.join(several, "key")
+    open_ = stages.keep(open_.select("key", "rep", "n", "label"))
+    if not open_.limit(1).count():
+        return labels
+    sized = stages.keep(open_.join(open_.groupBy("key").agg(F.count("*").alias("size"), F.max("n").alias("most")), "key"))
+    small = sized.where(f"size <= {LISTED}").select("key", "rep", "label")
+    listed = small.alias("x").join(small.alias("y"), F.expr("x.key = y.key AND x.rep < y.rep AND x.label <> y.label"))
+    listed = listed.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    pairs = stages.keep(listed.unionByName(_blocked_pairs(sized.where(f"size > {LISTED}"), sets, rule)).distinct())
+    return connected_components(edges.unionByName(_verified(pairs, sets, rule, stages)), stages)
+
+
+def _blocked_pairs(large: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of large tiles that the bitmaps allow, from pairs of blocks of bounded size."""
     capacity = F.greatest(F.lit(1), F.least(F.lit(BLOCK_SETS), F.expr(f"cast({BLOCK_SHINGLES} div most as int)")))
-    blocked = rest.withColumn("blocks", F.ceil(F.col("size") / capacity).cast("int"))
-    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
-    blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocked = blocked.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    blocked = blocked.join(sets, "rep").select("key", "i", "j", "block", "rep", "label", "shingles")
+    rows = large.withColumn("blocks", F.ceil(F.col("size") / capacity).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    rows = rows.join(sets.select("rep", "bits"), "rep").select("key", "i", "j", "block", "rep", "n", "label", "bits")
 
     def compare(tile: pd.DataFrame) -> pd.DataFrame:
         found = []
         if tile["label"].nunique() > 1 and (tile["i"].iat[0] == tile["j"].iat[0] or tile["block"].nunique() > 1):
-            sets = [np.asarray(s, np.int64).view(np.uint64) for s in tile["shingles"]]
-            found = tile_links(tile["rep"].to_numpy(), sets, tile["label"].to_numpy(), tile["block"].to_numpy(), rule)
+            maps = [np.frombuffer(x, np.uint64) for x in tile["bits"]]
+            found = tile_pairs(tile["rep"].to_numpy(), tile["n"].to_numpy(), maps, tile["label"].to_numpy(), tile["block"].to_numpy(), rule)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    more = blocked.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
-    return connected_components(stages.keep(edges.unionByName(more)), stages)
+    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule(words=5, percent=80)) -> DataFrame:
