@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker takes apart at once (a longer single text is taken alone).
 SLICE_BYTES = 2 << 20
-_MEMO_WORDS = 1 << 19
+#: Bytes of an Arrow batch in the steps that write a stage table, so that two workers fit beside an executor's heap.
+BATCH_BYTES = 16 << 20
+_MEMO_WORDS = 1 << 17
 _local_dir: str | None = None
 
 
@@ -29,6 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most `BATCH_BYTES` meanwhile; the session keeps its own setting."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    told = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, told)
+
+
 class Stages:
     """Tables written between the steps of one operator: they cut the lineage and survive lost executors."""
 
@@ -40,7 +56,8 @@ class Stages:
         """Write `df` and read it back."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
+        with _small_batches(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
@@ -72,6 +89,22 @@ def byte_texts(column: pa.Array) -> Iterator[list[bytes]]:
         yield [t or b"" for t in column.slice(a, b - a).to_pylist()]
 
 
+def over_slices(df: DataFrame, make: Callable[[list[bytes]], list[pa.Array]], schema: str, text: str = "text") -> DataFrame:
+    """The other columns of `df` and what `make` gives for slices of its texts: a slice is in memory at a time."""
+    others = [c for c in df.columns if c != text]
+    names = T._parse_datatype_string(schema).names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in byte_texts(batch.column(text)):
+                part = batch.slice(at, len(texts))
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *make(texts)], names)
+
+    return df.mapInArrow(run, schema)
+
+
 class Memo(dict):
     """A bounded memory of a function of one argument."""
 

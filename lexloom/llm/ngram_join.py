@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.common import Stages, byte_texts, list_array, mix, word_hashes
+from lexloom.llm.common import Stages, list_array, mix, over_slices, word_hashes
 from lexloom.llm.components import connected_components
 
 #: Candidate documents whose ids may be broadcast to pick their texts; beyond it they are joined by a shuffle.
@@ -183,15 +183,12 @@ def tile_pairs(ids: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], group
 
 
 def _keyed(rule: Rule):
-    @F.arrow_udf(T.StructType().add("n", T.LongType()).add("h1", T.LongType()).add("h2", T.LongType()).add("keys", T.ArrayType(T.LongType())))
-    def keyed(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in columns:
-            sets = [s for part in byte_texts(column) for s in shingle_sets(part, rule.words)]
-            keys = [part_keys(s, rule) for s in sets]
-            flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
-            lists = list_array(flat, np.array([len(k) for k in keys], np.int64), pa.int64())
-            fields = [pa.array([len(s) for s in sets], pa.int64()), *_set_hashes(sets), lists]
-            yield pa.StructArray.from_arrays(fields, ["n", "h1", "h2", "keys"])
+    def keyed(texts: list[bytes]) -> list[pa.Array]:
+        sets = shingle_sets(texts, rule.words)
+        keys = [part_keys(s, rule) for s in sets]
+        flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
+        lists = list_array(flat, np.array([len(k) for k in keys], np.int64), pa.int64())
+        return [pa.array([len(s) for s in sets], pa.int64()), *_set_hashes(sets), lists]
 
     return keyed
 
@@ -203,16 +200,11 @@ def _set_hashes(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
 
 
 def _sets(rule: Rule):
-    kind = T.StructType().add("h1", T.LongType()).add("h2", T.LongType()).add("shingles", T.ArrayType(T.LongType())).add("bits", T.BinaryType())
-
-    @F.arrow_udf(kind)
-    def sets(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in columns:
-            found = [s for part in byte_texts(column) for s in shingle_sets(part, rule.words)]
-            flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-            lists = list_array(flat, np.array([len(s) for s in found], np.int64), pa.int64())
-            maps = pa.array([bitmap(s).tobytes() for s in found], pa.binary())
-            yield pa.StructArray.from_arrays([*_set_hashes(found), lists, maps], ["h1", "h2", "shingles", "bits"])
+    def sets(texts: list[bytes]) -> list[pa.Array]:
+        found = shingle_sets(texts, rule.words)
+        flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+        lists = list_array(flat, np.array([len(s) for s in found], np.int64), pa.int64())
+        return [*_set_hashes(found), lists, pa.array([bitmap(s).tobytes() for s in found], pa.binary())]
 
     return sets
 
@@ -254,8 +246,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     spark = docs.sparkSession
     stages = Stages(spark, "ngram-join")
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    keyed = texts.withColumn("k", _keyed(rule)("text")).select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), "k.*")
-    keyed = stages.keep(keyed)
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    keyed = stages.keep(over_slices(hashed, _keyed(rule), "doc_id long, text_hash long, n long, h1 long, h2 long, keys array<long>"))
     classes = keyed.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     classes = stages.keep(classes.where("rep is not null"))
 
@@ -266,7 +258,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     tiles = members.join(classes.select("h1", "rep", "n"), "h1").select("key", "rep", "n")
     tiles = stages.keep(tiles)
     candidates = tiles.select(F.col("rep").alias("doc_id")).distinct()
-    sets = _texts_of(texts, candidates).withColumn("s", _sets(rule)("text")).select("doc_id", "s.*")
+    sets = over_slices(_texts_of(texts, candidates), _sets(rule), "doc_id long, h1 long, h2 long, shingles array<long>, bits binary")
     # by their hashes, as an id may stand on several texts
     sets = sets.join(classes.select("h1", "h2", "n", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"]).dropDuplicates(["doc_id"])
     sets = stages.keep(sets.select(F.col("doc_id").alias("rep"), "n", "bits", "shingles"))
