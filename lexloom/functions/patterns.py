@@ -12,9 +12,9 @@ ANNEX = r"(?:^|\n)[ \t]{0,4}(ANEXO[ \t]+(?:[IVXLCDM]+|\d+|Único|ÚNICO))[ \t]*[
 HEADER = r"^[ \t]*(?:[.:\-–—]+[ \t]*)*([^.\n]{2,90}?)\.[ \t]*[-–—]?[ \t]*([A-ZÁÉÍÓÚÑ¿][\s\S]*)$"
 BODY_OPENING = (
     r"^(esta|este|estos|estas|la|el|los|las|se|para|por|en|toda|todo|todos|todas|ser[aá]n?|es|son|cr[eé]ase|cuando|sin|a[ \t]+fin|"
-    r"de[ \t]+acuerdo|de[ \t]+conformidad|proteger|garantizar)\b"
+    r"de[ \t]+acuerdo|de[ \t]+conformidad|proteger|garantizar)(?:[^\p{L}\p{N}_]|$)"
 )
-CITED_BEFORE = r"\b(el|del|los|las|al|en|presente|mismo|citado|referido|dicho|este|esta)[ \t]*$"
+CITED_BEFORE = r"(?:^|[^\p{L}\p{N}_])(el|del|los|las|al|en|presente|mismo|citado|referido|dicho|este|esta)[ \t]*\n?\z"
 CITED_AFTER = r"^[\s,.\d]*(?:n[uú]meral[\s\d,]*)?(?:de la|del)[ \t]+(constituci|ley|c[oó]digo|reglamento|norma)"
 ARTIFACT_LINE = r"^\s*(?:\d{1,4}|\d{1,3}\s*/\s*\d{1,3}|[\w.+-]+@[\w.-]+\.\w+)\s*$"
 DATE = r"(\d{1,2})\s+de\s+(\w+)\s+de\s+(\d{4})"
@@ -24,6 +24,9 @@ CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 MONTHS = "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
 VARIANT_ARTICLE = r"(?:^|\n)(?:#{1,4}[ \t]+|[-*+][ \t]+|\d+\.[ \t]+)?[ \t]{0,6}Art(?:ículo|iculo|\.)[ \t]+(\d+[\w]*)[ \t]*[.\-–—]?[ \t]*([^\n]{0,250})"
 
+VARIANT_KINDS = ["RESOLUCIÓN", "PROYECTO DE LEY", "LEY ORGÁNICA", "LEY", "NORMATIVA"]
+MARKDOWN_HEADING = r"^(#{1,6})[ \t]+(.*)$"
+
 # Levels of compliance and defaults of search, grading and chunking.
 LEVELS = ["cumple", "parcial", "omision", "no_aplica"]
 TOP_K, TOP_N, MIN_SCORE, OVERFETCH, MAX_TOKENS, MISSING_SCORE = 5, 3, 0.30, 5, 512, 0.5

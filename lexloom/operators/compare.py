@@ -10,10 +10,11 @@ from lexloom.functions import patterns as P
 
 
 def lexical_join(sections: DataFrame, articles: DataFrame) -> DataFrame:
-    """(chunk_id, element_id, numero, match_type, similarity, rank): articles whose number a section cites."""
+    """(chunk_id, element_id, numero, match_type, similarity, rank): articles of the section's own document whose
+    number it cites. The document is part of the key, so the rows grow with the citations and no number is a hot key."""
     cited = F.explode(F.array_distinct(F.regexp_extract_all("texto", F.lit("(?U)" + P.CITATION), F.lit(1))))
-    numbers = sections.select("chunk_id", cited.alias("numero"))
-    found = numbers.join(articles.select("numero", "element_id", "orden"), "numero")
+    numbers = sections.select("chunk_id", "doc_id", cited.alias("numero"))
+    found = numbers.join(articles.select("doc_id", "numero", "element_id", "orden"), ["doc_id", "numero"])
     rank = F.row_number().over(W.partitionBy("chunk_id").orderBy("orden", "element_id"))
     return found.select("chunk_id", "element_id", "numero", F.lit("exacto").alias("match_type"), F.lit(1.0).alias("similarity"), rank.alias("rank"))
 

@@ -143,3 +143,47 @@ def normativa(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("orden", orden)
     text = embed_text(F.col("seccion"), F.col("tipo_elemento"), F.col("numero"), F.col("encabezado"), F.col("contenido"))
     return rows.withColumns({"element_id": F.format_string("%s_%04d", F.col("doc_id").cast("string"), "orden"), "embed_text": text}).drop("rango", "seq")
+
+
+def variant(docs: DataFrame) -> DataFrame:
+    """The second style of article parsing: header on the anchor's line, bodies of at most 3500 characters, the single
+    latest marker as section, the kind of norm by priority."""
+    pattern = FLAGS["article"] + P.VARIANT_ARTICLE
+    arts = parts(docs, pattern)
+    last = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("seq"))) == 1
+    body = F.when(last, F.substring("tail", 1, 4000)).otherwise(F.col("tail"))
+    arts = arts.select(
+        "doc_id", "seq", F.regexp_extract("match", pattern, 1).alias("numero"), strip(F.regexp_extract("match", pattern, 2)).alias("encabezado"),
+        F.substring(strip(body), 1, 3500).alias("contenido"), "posicion",
+    )
+    marks = headings(docs).unionByName(provisions(docs).select("doc_id", "posicion", F.col("numero").alias("label")))
+    head = F.upper(F.substring("md", 1, 800))
+    kind = F.coalesce(*[F.when(F.contains(head, F.lit(k)), k) for k in P.VARIANT_KINDS], F.lit("NORMATIVA"))
+    return with_section(arts, marks, last=1).join(docs.select("doc_id", kind.alias("tipo_norma")), "doc_id")
+
+
+def heading_chunks(docs: DataFrame, most: int = P.MAX_TOKENS) -> DataFrame:
+    """(doc_id, chunk, heading_path, texto, n_tokens, embed_text): words between headings in runs of at most `most`.
+
+    Levels nest: a heading holds until one of its own or a higher level. White-space words stand for tokens.
+    """
+    lines = docs.select("doc_id", F.posexplode(F.split("md", "\n", -1)).alias("at", "line"))
+    level = F.length(F.regexp_extract("line", P.MARKDOWN_HEADING, 1))
+    lines = lines.withColumns({"level": level, "title": strip(F.regexp_extract("line", P.MARKDOWN_HEADING, 2))})
+    so_far = W.partitionBy("doc_id").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    names = {f"p{i}": F.max(F.when(F.col("level") == i, F.col("at"))).over(so_far) for i in (1, 2, 3)}
+    names |= {f"t{i}": F.last(F.when(F.col("level") == i, F.col("title")), ignorenulls=True).over(so_far) for i in (1, 2, 3)}
+    names["section"] = F.sum((F.col("level") > 0).cast("int")).over(so_far)
+    seen = lines.withColumns(names)
+    above2 = F.coalesce("p1", F.lit(-1))
+    above3 = F.greatest(above2, F.coalesce("p2", F.lit(-1)))
+    path = F.concat_ws(" > ", "t1", F.when(F.col("p2") > above2, F.col("t2")), F.when(F.col("p3") > above3, F.col("t3")))
+    body = seen.withColumn("path", path).where("level = 0")
+    words = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: F.filter(F.split(x.line, r"[ \t]+"), lambda w: w != "")))
+    sections = body.groupBy("doc_id", "section").agg(F.max("path").alias("heading_path"), words.alias("words")).where("size(words) > 0")
+    cut = sections.select("doc_id", "section", "heading_path", "words", F.explode(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / most))).alias("part"))
+    part = F.slice("words", (F.col("part") * most + 1).cast("int"), most)
+    cut = cut.select("doc_id", "section", "part", "heading_path", F.array_join(part, " ").alias("texto"), F.size(part).alias("n_tokens"))
+    number_ = F.row_number().over(W.partitionBy("doc_id").orderBy("section", "part")) - 1
+    text = F.concat_ws("\n", F.nullif("heading_path", F.lit("")), "texto")
+    return cut.select("doc_id", number_.alias("chunk"), "heading_path", "texto", "n_tokens", text.alias("embed_text"))

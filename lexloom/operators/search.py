@@ -77,7 +77,7 @@ def rerank(candidates: DataFrame, n: int = P.TOP_N) -> DataFrame:
 def ivf_search(queries: DataFrame, corpus: DataFrame, k: int = P.TOP_K, sample: int = 50_000, seed: int = 7) -> DataFrame:
     """Approximate top-k: cells by k-means on a bounded sample, every row indexed, the nearest cells probed exactly.
 
-    Of sqrt(sample rows) cells, at least 4, half are probed; cells hold (element_id, embedding) and are joined by their
+    Of sqrt(sample rows) cells, at least 4, three quarters are probed, as vectors without clusters need; cells hold (element_id, embedding) and are joined by their
     number, so the search is a shuffle join and not a scan of all pairs.
     """
     from pyspark.ml.clustering import KMeans
@@ -90,7 +90,7 @@ def ivf_search(queries: DataFrame, corpus: DataFrame, k: int = P.TOP_K, sample:
     centers = [[float(x) for x in c] for c in model.clusterCenters()]
     ranked = lambda v: F.array_sort(F.array(*[F.struct((-dot(v, F.array(*map(F.lit, c)))).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centers)]))
     indexed = corpus.select("element_id", "embedding", ranked(F.col("embedding"))[0]["cell"].alias("cell"))
-    probed = queries.select("query_id", F.col("embedding").alias("q"), F.explode(F.slice(ranked(F.col("embedding")), 1, max(1, len(centers) // 2))).alias("x"))
+    probed = queries.select("query_id", F.col("embedding").alias("q"), F.explode(F.slice(ranked(F.col("embedding")), 1, max(1, -(-3 * len(centers) // 4)))).alias("x"))
     probed = probed.select("query_id", "q", F.col("x.cell").alias("cell"))
     scored = probed.join(indexed, "cell").where("query_id <> element_id").select("query_id", "element_id", F.round(dot(F.col("q"), F.col("embedding")), 9).alias("score"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "element_id")
