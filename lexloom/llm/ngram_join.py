@@ -36,7 +36,7 @@ from lexloom.llm.components import connected_components
 BROADCAST_IDS = 1_000_000
 #: Rounds with leaders; the largest tile whose pairs are listed by a join; sets in a block of a larger one, and
 #: shingles in one at most (a set that is larger is alone with one other).
-ROUNDS, LISTED, BLOCK_SETS, BLOCK_SHINGLES = 3, 64, 256, 8_000_000
+ROUNDS, LISTED, BLOCK_SETS, BLOCK_SHINGLES = 3, 64, 2048, 8_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
