@@ -11,16 +11,23 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
+def _once(value: Column, body) -> Column:
+    """`body(value)` with the value computed once for each row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def l2_normalize(v: Column) -> Column:
     """`v` over its norm; a zero vector stays zero."""
-    norm = F.sqrt(dot(v, v))
-    safe = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
-    return F.transform(F.array(safe), lambda n: F.transform(v, lambda x: x.cast("double") / n))[0]
+
+    def scaled(u: Column) -> Column:
+        norm = F.sqrt(dot(u, u))
+        return _once(F.when(norm == 0, F.lit(1.0)).otherwise(norm), lambda n: F.transform(u, lambda x: x.cast("double") / n))
+
+    return _once(v, scaled)
 
 
 def hash_embedding(words: Column, dim: int = 64) -> Column:
     """A deterministic offline embedding: counts of words by md5 bucket, normalised."""
-    bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim
-    buckets = F.transform(words, bucket)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    return l2_normalize(counts)
+    buckets = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim)
+    places = F.sequence(F.lit(0), F.lit(dim - 1))
+    return l2_normalize(_once(buckets, lambda bs: F.transform(places, lambda i: F.size(F.filter(bs, lambda b: b == i)).cast("double"))))
