@@ -1,11 +1,12 @@
 """Quality rules: repetition within a text, and lines that many documents of a host share.
 
 Only DataFrame functions are used. Normalised lines are hashed and counted over the distinct documents of each host
-(`source`). Copies are no sign of boilerplate, so documents count by identity: exact copies are one text, and texts
-with the same smallest 8-word hash (near copies mostly) are one identity. A line is above the limit of its host if it
-stands in more than `line_share` of the host's identities, in more than `line_docs` of them, and if the identities
-are at least `line_spread` of the texts that hold it. Such lines are removed; a document that loses more than
-`max_lost` of its words is depleted and rejected.
+(`source`). Exact copies are one document. Near copies are one too where their own lines tell so: a line is a text's
+own if no other text of the host has it, and texts whose own lines have the same smallest 3-word hash count once. What
+a line under count holds thus never decides which document it stands in, and texts without own lines count by their
+text. A line is above the limit of its host if it stands in more than `line_share` of the host's documents and in more
+than `line_docs` of them. Such lines are removed; a document that loses more than `max_lost` of its words is depleted
+and rejected.
 
 Edge cases: a null text has no words and fails the base rules, as does an empty one; a null host is a host of its own;
 repeated rows give repeated rows and count as one text; an empty table gives an empty result; very long texts are taken
@@ -23,6 +24,7 @@ from lexloom.llm.common import Stages
 
 _BLANKS = "\t\n\x0b\x0c\r"
 _GRAM = 8
+_OWN_GRAM = 3
 
 
 @dataclass(frozen=True)
@@ -33,7 +35,6 @@ class Limits:
     max_repeated: float = 0.30
     line_docs: int = 12
     line_share: float = 0.002
-    line_spread: float = 0.5
     max_lost: float = 0.5
 
 
@@ -58,6 +59,12 @@ def _gram_hashes(words: Column) -> Column:
     )
 
 
+def _own_hash(words: Column) -> Column:
+    """Smallest 3-word hash of a line (of all its words if there are fewer)."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (_OWN_GRAM - 1), F.lit(1)))
+    return F.array_min(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, _OWN_GRAM))))
+
+
 def _repeated_words(hashes: Column) -> Column:
     """Words in windows that occur twice or more: sort the hashes with their places and join the runs of equal ones."""
     placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -77,7 +84,7 @@ def _normal_line(line: Column) -> Column:
 
 
 def measured(docs: DataFrame, limits: Limits) -> DataFrame:
-    """Per row of `docs` (doc_id, source, text): a key, the base counts, its identity and its lines."""
+    """Per row of `docs` (doc_id, source, text): a key, the base counts, its lines and its identity (smallest 8-word hash; not counted by)."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: _without(x, " \t\x0b\x0c\r") > 0)
     base = docs.select(
@@ -90,7 +97,9 @@ def measured(docs: DataFrame, limits: Limits) -> DataFrame:
     ))
     told = _let(F.col("whole_lines"), lambda ls: F.struct(
         (F.size(ls) - F.size(F.array_distinct(ls))).alias("n_dup_lines"),
-        F.transform(ls, lambda x: F.struct(F.xxhash64(_normal_line(x)).alias("line"), F.size(split_words(x)).alias("words"))).alias("lines"),
+        F.transform(ls, lambda x: _let(split_words(x), lambda w: F.struct(
+            F.xxhash64(_normal_line(x)).alias("line"), F.size(w).alias("words"), _own_hash(w).alias("own")
+        ))).alias("lines"),
     ))
     out = base.select("doc_id", "source", "text_hash", "word_chars", "n_symbols", facts.alias("f"), told.alias("l"))
     out = out.select(
@@ -103,14 +112,22 @@ def measured(docs: DataFrame, limits: Limits) -> DataFrame:
 
 def frequent_lines(facts: DataFrame, limits: Limits) -> DataFrame:
     """(source, line) above the limit; every count is combined before it is shuffled, one document a line at most."""
-    lines = facts.select("source", "text_hash", "identity", F.explode(F.array_distinct("lines.line")).alias("line"))
-    texts = lines.groupBy("source", "line", "identity", "text_hash").agg(F.lit(1).alias("one"))
-    identities = texts.groupBy("source", "line", "identity").agg(F.count("*").alias("texts"))
-    counted = identities.groupBy("source", "line").agg(F.count("*").alias("identities"), F.sum("texts").alias("texts"))
-    hosts = facts.groupBy("source", "identity").agg(F.lit(1).alias("one")).groupBy("source").agg(F.count("*").alias("all"))
-    counted = counted.where((F.col("identities") > limits.line_docs) & (F.col("identities") >= limits.line_spread * F.col("texts")))
-    both = counted.alias("c").join(hosts.alias("h"), F.expr("c.source <=> h.source"))
-    return both.where(F.col("identities") > limits.line_share * F.col("all")).select("c.source", "c.line")
+    lines = facts.select("source", "text_hash", F.explode("lines").alias("x")).select("source", "text_hash", "x.line", "x.own")
+    texts = lines.groupBy("source", "line", "text_hash").agg(F.min("own").alias("own"))
+    counted = texts.groupBy("source", "line").agg(F.count("*").alias("texts"), F.min("text_hash").alias("text_hash"), F.min("own").alias("own"))
+    own = counted.where("texts = 1").select("source", "text_hash", "own")
+    every = facts.select("source", "text_hash", F.lit(None).cast("bigint").alias("own"))
+    documents = own.unionByName(every).groupBy("source", "text_hash").agg(F.coalesce(F.min("own"), "text_hash").alias("document"))
+    hosts = documents.groupBy("source", "document").agg(F.lit(1).alias("one")).groupBy("source").agg(F.count("*").alias("all"))
+    # a line stands in as many texts as documents at least, so few lines need the count by document
+    over = lambda n: (F.col(n) > limits.line_docs) & (F.col(n) > limits.line_share * F.col("all"))
+    many = counted.where(F.col("texts") > limits.line_docs).alias("c").join(hosts.alias("h"), F.expr("c.source <=> h.source"))
+    many = many.where(over("texts")).select("c.source", "c.line", "h.all")
+    held = texts.alias("t").join(many.alias("m"), F.expr("t.line = m.line AND t.source <=> m.source")).select("t.source", "t.line", "t.text_hash", "m.all")
+    held = held.alias("t").join(documents.alias("d"), F.expr("t.text_hash = d.text_hash AND t.source <=> d.source"))
+    distinct = held.groupBy("t.source", "t.line", "d.document").agg(F.first("t.all").alias("all"))
+    found = distinct.groupBy("source", "line").agg(F.count("*").alias("documents"), F.first("all").alias("all"))
+    return found.where(over("documents")).select("source", "line")
 
 
 def _lost(facts: DataFrame, limits: Limits) -> DataFrame:

@@ -74,3 +74,31 @@ def test_clean(spark, documents):
     assert texts[3].startswith("u3x0") and len(kept) == 40 + 120 + 2 + 1 and {r.removed for r in kept} == {"x"}
     assert Q.clean(documents).columns == documents.columns
     assert Q.clean(documents.where("false")).count() == 0
+
+
+def test_lines_in_documents_that_are_mostly_boilerplate(spark):
+    """Many wordings of boilerplate, 60 to 90 % of each text: every wording's lines are counted as by brute force."""
+    words = lambda i, n: " ".join(f"u{i}x{j}" for j in range(n))
+    rows = []
+    for wording in range(40):
+        shared = [words(f"b{wording}p{k}", 15) for k in range(2)]  # 30 shared words
+        own, holders = (20, 13, 8, 4)[wording % 4], (13, 12, 60)[wording % 3]
+        for i in range(holders):
+            # some lack the second line, some exact copies
+            rows.append((len(rows), "\n".join([*shared[: 1 + (i != 5)], words(f"o{wording}d{i}", own)]), f"h{wording % 4}"))
+        rows += [(len(rows) + i, rows[-1][1], rows[-1][2]) for i in range(20)]
+    near = [words("n", 60).split() for _ in range(2)]
+    rows += [(10000 + i, " ".join([*near[0][:30], f"edit{i}", *near[0][31:]]) + "\nfooter of one host", "h9") for i in range(60)]
+    rows += [(20000 + i, words(f"s{i}", 25) + "\nfooter of one host", "h9") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    texts = defaultdict(set)
+    for _, text, source in rows:
+        for line in text.split("\n"):
+            texts[source, line].add(text)
+    frequent = {k for k, v in texts.items() if len(v) > 12}
+    assert len(frequent) > 40
+    got = {r.doc_id: r for r in Q.judge(docs).collect()}
+    for doc_id, text, source in rows:
+        lost = sum(len(x.split()) for x in set(text.split("\n")) if (source, x) in frequent)
+        assert got[doc_id].lost_words == lost, doc_id
+        assert got[doc_id].kept == (len(text.split()) >= 20 and lost <= 0.5 * len(text.split()))
