@@ -1,8 +1,9 @@
 """Chat formatting with a grammar round trip.
 
 A conversation is rendered as `<|im_start|>role\\ntext<|im_end|>\\n` for each turn. The rendered text is parsed again by
-a deterministic parser; where the recovered turns differ from the source, the texts in conflict are escaped and
-rendered anew until they are identical. The escape puts one more backslash behind the `<` of every `<|`, `<\\|`,
+a deterministic parser that takes every control string for one, so a role or text that holds one is no part of the
+grammar; where the recovered turns differ from the source, the texts in conflict are escaped and rendered anew until
+they are identical. The escape puts one more backslash behind the `<` of every `<|`, `<\\|`,
 `<\\\\|`, ...; the parser takes one away, so the map is one to one and a text without such strings stays as it is.
 
 Conversations are streams of sorted turns: a partition holds whole conversations, and a long one is written in parts
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 _OPEN, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
-_TURN = re.compile(re.escape(START) + r"(?P<role>[^\n]*)\n(?P<text>.*?)" + re.escape(END) + r"\n", re.S)
+_CONTROL = re.compile(f"{re.escape(START)}|{re.escape(END)}")
 PART_CHARS = 1 << 20
 
 
@@ -48,14 +49,18 @@ def unescape_role(role: str) -> str:
 
 def parse(rendered: str) -> list[tuple[str, str, int, int]] | None:
     """Role, text, and the span of the escaped text of each turn; None where the grammar doesn't hold."""
-    turns, at = [], 0
-    while at < len(rendered):
-        m = _TURN.match(rendered, at)
-        if m is None:
+    turns, at, controls = [], 0, _CONTROL.finditer(rendered)
+    for opening in controls:
+        closing = next(controls, None)
+        if closing is None or opening[0] != START or closing[0] != END or opening.start() != at:
             return None
-        turns.append((unescape_role(m["role"]), unescape(m["text"]), m.start("text"), m.end("text")))
-        at = m.end()
-    return turns
+        line = rendered.find("\n", opening.end(), closing.start())
+        if line < 0 or not rendered.startswith("\n", closing.end()):
+            return None
+        role, text = rendered[opening.end() : line], rendered[line + 1 : closing.start()]
+        turns.append((unescape_role(role), unescape(text), line + 1, closing.start()))
+        at = closing.end() + 1
+    return turns if at == len(rendered) else None
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[str, str, int, int]]]:
