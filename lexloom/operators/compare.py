@@ -9,16 +9,47 @@ from pyspark.sql import functions as F
 from lexloom.functions import patterns as P
 
 
-def lexical_join(sections: DataFrame, articles: DataFrame) -> DataFrame:
-    """(chunk_id, element_id, numero, match_type, similarity, rank): articles of the section's own document whose
-    number it cites. The document is part of the key, so the rows grow with the citations and no number is a hot key."""
+def cited_numbers(sections: DataFrame) -> DataFrame:
+    """(chunk_id, doc_id, numero): the distinct article numbers that each section cites."""
     cited = F.explode(F.array_distinct(F.regexp_extract_all("texto", F.lit("(?U)" + P.CITATION), F.lit(1))))
-    numbers = sections.select("chunk_id", "doc_id", cited.alias("numero"))
+    return sections.select("chunk_id", "doc_id", cited.alias("numero"))
+
+
+def lexical_join(sections: DataFrame, articles: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, element_id, numero, match_type, similarity, rank): articles of the norms in scope whose number the
+    section cites. `scope` has (chunk_id, norm_id), the documents whose articles a section is compared with; without
+    it, that is the section's own document. For all norms at once see `lexical_matches`."""
+    numbers = cited_numbers(sections)
+    if scope is not None:
+        numbers = numbers.drop("doc_id").join(scope.select("chunk_id", F.col("norm_id").alias("doc_id")).distinct(), "chunk_id")
     found = numbers.join(articles.select("doc_id", "numero", "element_id", "orden"), ["doc_id", "numero"])
-    rank = F.row_number().over(W.partitionBy("chunk_id").orderBy("orden", "element_id"))
+    order = ["orden", "element_id"] if scope is None else ["doc_id", "orden", "element_id"]
+    rank = F.row_number().over(W.partitionBy("chunk_id").orderBy(*order))
     return found.select("chunk_id", "element_id", "numero", F.lit("exacto").alias("match_type"), F.lit(1.0).alias("similarity"), rank.alias("rank"))
 
 
+def norm_numbers(articles: DataFrame) -> DataFrame:
+    """(norm_id, numero, articulos, element_ids): a row for each number of a norm, its articles in their order."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("orden", "element_id"))), lambda x: x.element_id)
+    return articles.groupBy(F.col("doc_id").alias("norm_id"), "numero").agg(F.count("*").alias("articulos"), ordered.alias("element_ids"))
+
+
+def lexical_matches(sections: DataFrame, articles: DataFrame) -> DataFrame:
+    """(chunk_id, numero, normas, articulos): cited numbers that articles of any norm have, and how many have them.
+
+    The result is factored: sections join one row per number, counted before, so a hot number costs a row for each
+    section that cites it. Its pairs are those of this table with `norm_numbers` by number.
+    """
+    per_norm = articles.groupBy("doc_id", "numero").agg(F.count("*").alias("n"))
+    counts = per_norm.groupBy("numero").agg(F.count("*").alias("normas"), F.sum("n").alias("articulos"))
+    return cited_numbers(sections).drop("doc_id").join(counts, "numero").select("chunk_id", "numero", "normas", "articulos")
+
+
+def cited_articles(sections: DataFrame, articles: DataFrame) -> DataFrame:
+    """The articles of any norm whose number some section cites (the links of `coverage` across documents)."""
+    return articles.join(cited_numbers(sections).select("numero").distinct(), "numero", "left_semi")
+
+
 def merge_grades(candidates: DataFrame, grades: DataFrame) -> DataFrame:
     """Left join of grades (the last of several wins); candidates without one count as relevant."""
     last = grades.groupBy("chunk_id", "element_id").agg(F.max_by(F.struct("relevante", "score_grade", "razon_grade"), "pos").alias("g"))

@@ -405,7 +405,8 @@ def compare_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     Sections whose id is divisible by 20 are the query set, against all articles.
     """
     words = lambda c: F.array_remove(F.split(F.lower(F.translate(c, "\n\t", "  ")), " "), "")
-    found, arts = _lexical(spark, sf_dir)
+    arts = extract.normativa(views.norm_md(spark, sf_dir)).where("tipo_elemento = 'articulo'")
+    found = compare.lexical_matches(views.sections(spark, sf_dir), arts)
     key = F.xxhash64("element_id")
     corpus = arts.select(key.alias("element_id"), V.hash_embedding(words(F.col("embed_text"))).alias("embedding"))
     secs = views.sections(spark, sf_dir).where("chunk_id % 20 = 0")
@@ -414,7 +415,7 @@ def compare_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     graded = compare.merge_grades(near.select(F.col("query_id").alias("chunk_id"), "element_id", "numero", "score", "rank"), spark.createDataFrame([], "chunk_id long, element_id long, pos int, relevante boolean, score_grade double, razon_grade string"))
     semantic = F.transform(F.array_sort(F.collect_list(F.struct("rank", "numero", "score"))), lambda x: F.struct(x.numero.alias("numero"), F.round(x.score, 4).alias("sim")))
     graded = graded.groupBy("chunk_id").agg(semantic.alias("articulos_semanticos_raw"), F.count_if("relevante").alias("n_rel"))
-    cited = found.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "numero"))), lambda x: x.numero).alias("articulos_lexicos"))
+    cited = found.groupBy("chunk_id").agg(F.array_sort(F.collect_list("numero")).alias("articulos_lexicos"), F.sum("articulos").alias("n_articulos_lexicos"))
     out = secs.select("chunk_id").join(cited, "chunk_id", "left").join(graded, "chunk_id", "left")
     kind = compare.match_type(F.coalesce(F.size("articulos_lexicos"), F.lit(0)), F.coalesce("n_rel", F.lit(0)))
-    return out.select("chunk_id", "articulos_lexicos", "articulos_semanticos_raw", kind.alias("tipo_coincidencia"))
+    return out.select("chunk_id", "articulos_lexicos", F.coalesce("n_articulos_lexicos", F.lit(0)).alias("n_articulos_lexicos"), "articulos_semanticos_raw", kind.alias("tipo_coincidencia"))

@@ -51,3 +51,29 @@ def test_compare_run(spark):
     assert {r.tipo_coincidencia for r in rows} <= {"lexica", "semantica", "ninguna"}
     assert all((r.tipo_coincidencia == "lexica") == bool(r.articulos_lexicos) for r in rows)
     assert len(rows) == len({r.chunk_id for r in rows}) > 0
+
+
+def test_citations_reach_other_documents(spark):
+    compare = catalog.compare
+    secs = spark.createDataFrame([(1, 1, "véase Art. 3 y Art. 4"), (2, 2, "según Art. 3"), (3, 3, "nada")], "chunk_id long, doc_id long, texto string")
+    rows = [(10, "3", "10_0", 0), (10, "3", "10_5", 5), (10, "4", "10_1", 1), (11, "3", "11_0", 0), (12, "9", "12_0", 0)]
+    arts = spark.createDataFrame(rows, "doc_id long, numero string, element_id string, orden int")
+    assert compare.lexical_join(secs, arts).count() == 0  # own documents only
+    scope = spark.createDataFrame([(1, 10), (1, 10), (2, 11), (3, 10)], "chunk_id long, norm_id long")
+    got = {(r.chunk_id, r.element_id, r["rank"]) for r in compare.lexical_join(secs, arts, scope).collect()}
+    assert got == {(1, "10_0", 1), (1, "10_1", 2), (1, "10_5", 3), (2, "11_0", 1)}
+    got = {(r.chunk_id, r.numero, r.normas, r.articulos) for r in compare.lexical_matches(secs, arts).collect()}
+    assert got == {(1, "3", 2, 3), (1, "4", 1, 1), (2, "3", 2, 3)}
+    numbers = {(r.norm_id, r.numero): r.element_ids for r in compare.norm_numbers(arts).collect()}
+    assert numbers[10, "3"] == ["10_0", "10_5"] and len(numbers) == 4
+    covered = compare.coverage(arts, compare.cited_articles(secs, arts)).first()
+    assert (covered.articulos, covered.cubiertos, covered.sin_cobertura) == (5, 4, 1)
+
+
+def test_compare_run_cites_across_documents(spark):
+    arts = catalog.extract.normativa(catalog.views.norm_md(spark, SF)).where("tipo_elemento = 'articulo'")
+    per = Counter(r.numero for r in arts.select("numero").collect())
+    cited = {(r.chunk_id, r.numero) for r in catalog.compare.cited_numbers(catalog.views.sections(spark, SF)).collect()}
+    for r in catalog.compare_run(spark, SF).collect():
+        want = sorted(n for c, n in cited if c == r.chunk_id and n in per)
+        assert (r.articulos_lexicos or []) == want and r.n_articulos_lexicos == sum(per[n] for n in want)
