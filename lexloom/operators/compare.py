@@ -64,6 +64,13 @@ def match_type(n_lexical: Column, n_relevant: Column) -> Column:
     return F.when(n_lexical > 0, "lexica").when(n_relevant > 0, "semantica").otherwise("ninguna")
 
 
+def stand_in_verdict(n_lexical: Column, n_relevant: Column, grade: Column) -> Column:
+    """The level of compliance by a deterministic stand-in for the analysis: nothing matches is an omission; else the
+    best grade of the relevant candidates decides, and a citation alone is partial."""
+    nothing = (n_lexical <= 0) & (n_relevant <= 0)
+    return F.when(nothing, "omision").when((n_relevant > 0) & (grade >= P.MISSING_SCORE), "cumple").otherwise("parcial")
+
+
 def compliance_summary(rows: DataFrame) -> DataFrame:
     """Counts and shares by level; null levels count in the total only."""
     total = F.sum("n").over(W.partitionBy())  # over at most a row for each level

@@ -77,3 +77,20 @@ def test_compare_run_cites_across_documents(spark):
     for r in catalog.compare_run(spark, SF).collect():
         want = sorted(n for c, n in cited if c == r.chunk_id and n in per)
         assert (r.articulos_lexicos or []) == want and r.n_articulos_lexicos == sum(per[n] for n in want)
+
+
+def test_compare_run_has_every_step(spark):
+    rows = catalog.compare_run(spark, SF).collect()
+    ids = {r.chunk_id for r in catalog.views.sections(spark, SF).select("chunk_id").collect()}
+    assert {r.chunk_id for r in rows} == ids and len(rows) == len(ids)
+    graded = [g for r in rows for g in r.articulos_validados or []]
+    assert {g.relevante for g in graded} == {True, False} and len({g.score for g in graded}) > 1
+    for r in rows:
+        raw, best = r.articulos_semanticos_raw or [], r.articulos_validados or []
+        assert len(best) == min(3, len(raw)) and {g.numero for g in best} <= {x.numero for x in raw}
+        assert not raw or r.chunk_id % 20 == 0
+        relevant = [g for g in best if g.relevante]
+        kind = "lexica" if r.articulos_lexicos else "semantica" if relevant else "ninguna"
+        assert r.tipo_coincidencia == kind
+        level = "omision" if kind == "ninguna" else "cumple" if any(g.score >= 0.5 for g in relevant) else "parcial"
+        assert r.nivel_cumplimiento == (level if r.buscada or r.articulos_lexicos else None)
