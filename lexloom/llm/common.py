@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker takes apart at once (a longer single text is taken alone).
@@ -23,11 +24,16 @@ _local_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, `spark.checkpoint.dir`; where that is unset (tests), one of our own."""
+    """The cluster's shared folder, `spark.checkpoint.dir`; where that is unset (tests), one of our own.
+
+    Without the setting a cluster's executors would write to disks of their own, so only a local master may go without.
+    """
     global _local_dir
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _local_dir is None:
         _local_dir = "file://" + tempfile.mkdtemp(prefix="lexloom-")
     return _local_dir
@@ -62,10 +68,43 @@ class Stages:
         self.paths[id(out)] = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete the files of a kept table that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df)))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete the files of kept tables that no later step reads."""
+        for df in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df)))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """`name`, with underscores before it until no column of a user's has it (names differ in more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: A key that holds more than one in so many rows (and more than HOT_ROWS) is dealt to several tasks; so there are fewer
+#: such keys than HOT_SHARE, whatever the data.
+HOT_SHARE, HOT_ROWS = 4096, 256
+
+
+def hot_join(rows: DataFrame, single: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """`rows` joined with `single`, which has one row for each `key`; the rows of hot keys are dealt by a salt as well.
+
+    `counts` has (key, n) of `rows` where they are known; both sides should be kept tables, as they are read twice.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts.select(key, "n")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    hot = [(r[0], -(-r[1] // limit)) for r in counts.where(F.col("n") > limit).where(F.col(key).isNotNull()).collect()]  # fewer than HOT_SHARE
+    if not hot:
+        return rows.join(single, key, how)
+    salts = rows.sparkSession.createDataFrame(hot, T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("_salts", T.IntegerType())]))
+    dealt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("_salts"))).cast("int")
+    left = rows.join(F.broadcast(salts), key, "left").withColumn("_salt", dealt).drop("_salts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    right = single.join(F.broadcast(salts), key, "left").withColumn("_salt", copies).drop("_salts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
 def slices(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

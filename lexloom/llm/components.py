@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Stages
+from lexloom.llm.common import Stages, hot_join
 
 
 def connected_components(edges: DataFrame, stages: Stages) -> DataFrame:
@@ -13,21 +13,23 @@ def connected_components(edges: DataFrame, stages: Stages) -> DataFrame:
 
     Each round takes the smallest label of the neighbours, hooks it on to the old label as well, and follows labels
     once; all minima are combined before they are shuffled. The rounds end when nothing changes: their number grows
-    with the logarithm of the longest chain.
+    with the logarithm of the longest chain. A node or label that very many rows have is dealt to several tasks.
     """
     both = stages.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stages.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
+    kept = stages.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label"), F.count("*").alias("n")))
+    degrees, labels, first = kept.select(F.col("node").alias("b"), "n"), kept.select("node", "label"), kept  # edges stand in both directions
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
+        near = hot_join(both, labels.withColumnRenamed("node", "b"), "b", counts=degrees).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
         seen = labels.join(near, "node").select("node", "label", F.least("label", "low").alias("low"))
         hooked = seen.groupBy(F.col("label").alias("node")).agg(F.min("low").alias("hook"))
         lower = seen.join(hooked, "node", "left").select("node", "label", F.least("low", "hook").alias("low"))
         lower = stages.keep(lower)
         jump = lower.select(F.col("node").alias("low"), F.col("low").alias("next"))
-        new = lower.join(jump, "low", "left").select("node", F.col("label").alias("old"), F.least("low", "next").alias("label"))
+        new = hot_join(lower, jump, "low", "left").select("node", F.col("label").alias("old"), F.least("low", "next").alias("label"))
         new = stages.keep(new)
         changed = new.where("label <> old").limit(1).count()
-        stages.drop(lower)
-        labels = new.select("node", "label")
+        stages.drop(lower, *([kept] if kept is not first else []))
+        kept, labels = new, new.select("node", "label")
         if not changed:
+            stages.drop(both, first)
             return labels

@@ -1,18 +1,23 @@
 """Exact Jaccard join of documents on word n-grams, in size-banded tiles.
 
-Equal shingle sets are one class. Classes are banded by set size; two sets that link differ in few enough shingles
-that, with the hashed universe cut into more parts than differences, they agree on whole parts (the pigeonhole
-principle). Each non-empty part is a key, and the classes with one key in one band are a tile. In a few rounds, every
-class of a tile is compared with one leader, the class that stands in most tiles; this joins a group of near copies in
-time linear in its size. Pairs of a tile that are still in different components are then all compared, in blocks of
-bounded size where the tile is large. Each pair is first bounded from above by the bit counts of hashed bitmaps; only
-what passes has its sorted arrays intersected. No tile, bucket or number of partners is capped. Keys are 64-bit
-hashes, classes 128-bit hashes of the sets.
+Equal shingle sets are one class. All shingles have one total order, in which those that are frequent in a sample come
+last (the sample decides the speed only, never the result). Two sets that link must share one of their first
+`n - ceil(threshold * n) + 1` shingles in that order: these are a set's keys. Classes are banded by set size, so that
+sets that can link by their sizes meet in a band; the classes with one key in one band are a tile. In a few rounds,
+every class of a tile is compared with one leader, the class that stands in most tiles; this joins a group of near
+copies in time linear in its size. Pairs of a tile that are still in different components are then all compared, in
+blocks of bounded size where the tile is large. Each pair is first bounded from above by the bit counts of hashed
+bitmaps; only what passes has its sorted arrays intersected. No tile, bucket or number of partners is capped, and
+joins deal hot keys, leaders and labels to several tasks. Shingles and classes in links are 64-bit hashes; copies are
+told by 128 bits.
+
+A tile of very many sets that don't link (texts with one frequent passage that the sample misses) is compared in full,
+blocks against blocks, which is quadratic in the tile.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing; texts of fewer words than a shingle
 are one shingle; repeated rows get equal rows; rows without an id take part through an equal set that has one (else
-their component is null); an empty table gives an empty result; very long texts are taken whole; further columns
-aren't read.
+their component is null); different texts with one id are told apart; an empty table gives an empty result; very long
+texts are taken whole; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -20,7 +25,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.common import Stages, list_array, mix, over_slices, word_hashes
+from lexloom.llm.common import Stages, free_name, hot_join, list_array, mix, over_slices, word_hashes
 from lexloom.llm.components import connected_components
 
-#: Candidate documents whose ids may be broadcast to pick their texts; beyond it they are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Bytes of candidates' ids that may be broadcast to pick their texts; beyond it they are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
+#: Rows of the sample that tells frequent shingles, and the most shingles that are told (8 bytes each are broadcast).
+ORDER_ROWS, ORDER_MOST = 4000, 1 << 17
 #: Rounds with leaders; the largest tile whose pairs are listed by a join; sets in a block of a larger one, and
 #: shingles in one at most (a set that is larger is alone with one other).
 ROUNDS, LISTED, BLOCK_SETS, BLOCK_SHINGLES = 3, 64, 2048, 8_000_000
@@ -60,43 +66,6 @@ class Rule:
         return 100 * size // self.percent
 
 
-@lru_cache(maxsize=8)
-def bands(rule: Rule, upto: int = 1 << 40) -> list[tuple[int, int, int, int]]:
-    """(least size, next band's least size, parts, empty parts to reckon with) of each band.
-
-    With d differences at most and d + 1 + s parts, s + 1 parts agree, and one of them isn't empty unless a set has
-    more than s empty parts; s is chosen so that this is rarer than one in a hundred thousand, and such sets also get keys for
-    their empty parts.
-    """
-    out, low = [], next(n for n in range(1, 1000) if rule.largest(n) > n)
-    while low < upto:
-        high = int(low * 1.4) + 1
-        most = high - 1 + rule.largest(high - 1)
-        d = most - 2 * rule.overlap(most)
-        s = 1
-        while True:
-            k = d + 1 + s
-            rare = math.lgamma(k + 1) - math.lgamma(d + 1) - math.lgamma(k - d + 1) + (low * math.log(d / k) if d else -math.inf)
-            if rare < math.log(1e-5) or s > 4 * d + 4:
-                break
-            s += 1 + s // 16
-        out.append((low, high, k, s))
-        low = high
-    return out
-
-
-def bands_of(size: int, rule: Rule) -> list[int]:
-    """The band of a set, and the one below if the set can link with that band's sets."""
-    all_bands = bands(rule)
-    if size < all_bands[0][0]:
-        return []
-    lo, hi = 0, len(all_bands) - 1
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        lo, hi = (mid, hi) if all_bands[mid][0] <= size else (lo, mid - 1)
-    return [lo, lo - 1] if lo and rule.largest(all_bands[lo][0] - 1) >= size else [lo]
-
-
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     split = [t.lower().split() for t in texts]
@@ -111,28 +80,31 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
         if count >= words:
             sets.append(np.unique(rolled[at : at + count - words + 1]))
         elif count:
-            few = np.uint64(count)
-            for h in hashes[at : at + count]:
-                few = mix(np.array([few * _ODD[0] + h]))[0]
-            sets.append(np.array([few], np.uint64))
+            few = np.array([count], np.uint64)
+            for i in range(at, at + count):
+                few = mix(few * _ODD[0] + hashes[i : i + 1])
+            sets.append(few)
         else:
             sets.append(np.zeros(0, np.uint64))
         at += count
     return sets
 
 
-def part_keys(shingles: np.ndarray, rule: Rule) -> np.ndarray:
-    """The keys of a set's non-empty parts in its bands."""
-    keys = []
-    for band in bands_of(len(shingles), rule):
-        _, _, parts, spare = bands(rule)[band]
-        spread = mix(shingles + _times(_ODD[3], band + 1))
-        part = ((spread >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        sums, filled = np.zeros(parts, np.uint64), np.bincount(part, minlength=parts)
-        np.add.at(sums, part, spread * _ODD[2])
-        named = mix(sums + np.arange(1, parts + 1, dtype=np.uint64) * _ODD[0] + _times(_ODD[1], band + 1))
-        keys.append(named if (filled == 0).sum() > spare else named[filled > 0])
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+def prefix_keys(sets: list[np.ndarray], rule: Rule, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all sets in a row, and how many each has: the first shingles, those in `frequent` (sorted) last.
+
+    Were two sets without a common key, the one whose keys end first in the order would share none of them; so at most
+    ceil(threshold * n) - 1 of its n shingles are common, and the sets don't link.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat, of = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), sizes)
+    late = np.zeros(len(flat), bool)
+    if len(frequent):
+        late = frequent[np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)] == flat
+    order = np.lexsort((mix(flat), late, of))
+    wanted = np.where(sizes > 0, sizes - -(-rule.percent * sizes // 100) + 1, 0)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return flat[order[place < np.repeat(wanted, sizes)]], wanted
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
@@ -182,17 +154,32 @@ def tile_pairs(ids: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], group
     return found
 
 
-def _keyed(rule: Rule):
+def _keyed(rule: Rule, frequent):
     def keyed(texts: list[bytes]) -> list[pa.Array]:
         sets = shingle_sets(texts, rule.words)
-        keys = [part_keys(s, rule) for s in sets]
-        flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
-        lists = list_array(flat, np.array([len(k) for k in keys], np.int64), pa.int64())
-        return [pa.array([len(s) for s in sets], pa.int64()), *_set_hashes(sets), lists]
+        keys, counts = prefix_keys(sets, rule, frequent.value)
+        return [pa.array([len(s) for s in sets], pa.int64()), *_set_hashes(sets), list_array(keys.view(np.int64), counts, pa.int64())]
 
     return keyed
 
 
+def _shingles(rule: Rule):
+    def shingles(texts: list[bytes]) -> list[pa.Array]:
+        sets = shingle_sets(texts, rule.words)
+        return [list_array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64), np.array([len(s) for s in sets], np.int64), pa.int64())]
+
+    return shingles
+
+
+def frequent_shingles(texts: DataFrame, rule: Rule) -> np.ndarray:
+    """Shingles of several texts of a sample of about `ORDER_ROWS` rows, the most frequent `ORDER_MOST` of them, sorted."""
+    n = texts.count()
+    part = texts.select("text").sample(ORDER_ROWS / n, seed=5) if n > ORDER_ROWS else texts.select("text")
+    each = over_slices(part, _shingles(rule), "shingles array<long>").select(F.explode("shingles").alias("shingle"))
+    most = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(ORDER_MOST)
+    return np.sort(np.array([r.shingle for r in most.select("shingle").collect()], np.int64).view(np.uint64))
+
+
 def _set_hashes(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
     """Two 64-bit hashes of each set."""
     hashed = (np.array([mix(s + odd).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for odd in (_ODD[1], _ODD[4]))
@@ -235,95 +222,132 @@ def _overlapping(rule: Rule):
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of `docs` whose doc_id is `wanted`: by broadcast while the ids are few, else by a shuffle."""
-    if wanted.count() <= BROADCAST_IDS:
+    """Rows of `docs` (doc_id, text) of the documents `wanted`: by broadcast while the ids are few, else by a shuffle."""
+    if wanted.count() * 40 <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
-    return docs.join(wanted, "doc_id")
+    return docs.join(wanted, ["doc_id", "text_hash"])
+
+
+def _banded(tiles: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """`tiles` (key, node, n) by key and band of sizes, and the keys (key, n) of several classes.
+
+    A band is as wide as the sizes of two sets that link may differ, and a set stands in its band and the next one: so
+    two that may link meet in a band.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / rule.percent) * 1.000001)).cast("long")
+    rows = tiles.withColumn("band", F.explode(F.array(band, band + 1)))
+    rows = rows.select(F.xxhash64("key", "band").alias("key"), "node", "n")
+    several = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return rows, several
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id, text_hash."""
     spark = docs.sparkSession
     stages = Stages(spark, "ngram-join")
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    keyed = stages.keep(over_slices(hashed, _keyed(rule), "doc_id long, text_hash long, n long, h1 long, h2 long, keys array<long>"))
-    classes = keyed.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    classes = stages.keep(classes.where("rep is not null"))
-
-    # tiles of more than one class; counts are combined before the shuffle, and a hot key's rows can be split in the join
-    rows = keyed.where("doc_id is not null").select("h1", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
-    members = stages.keep(rows.join(shared, "key").distinct())
-    tiles = members.join(classes.select("h1", "rep", "n"), "h1").select("key", "rep", "n")
-    tiles = stages.keep(tiles)
-    candidates = tiles.select(F.col("rep").alias("doc_id")).distinct()
-    sets = over_slices(_texts_of(texts, candidates), _sets(rule), "doc_id long, h1 long, h2 long, shingles array<long>, bits binary")
-    # by their hashes, as an id may stand on several texts
-    sets = sets.join(classes.select("h1", "h2", "n", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"]).dropDuplicates(["doc_id"])
-    sets = stages.keep(sets.select(F.col("doc_id").alias("rep"), "n", "bits", "shingles"))
-    labels = _connect(tiles, sets, rule, stages)
-
-    named = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    named = named.select("h1", "h2", F.coalesce("label", "rep").alias("component"))
-    out = keyed.select("doc_id", "text_hash", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
+    frequent = spark.sparkContext.broadcast(frequent_shingles(hashed, rule))
+    keyed = stages.keep(over_slices(hashed, _keyed(rule, frequent), "doc_id long, text_hash long, n long, h1 long, h2 long, keys array<long>"))
+    facts = stages.keep(keyed.drop("keys"))
+    classes = facts.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("n").alias("n"))
+    classes = stages.keep(classes.select("h1", "h2", "n", "one.*"))
+
+    # from here on keys are those of one document for each class
+    one = ["h1", "h2", "doc_id", "text_hash"]
+    firsts = keyed.join(classes.select(one), one, "left_semi").dropDuplicates(one).select(F.col("h1").alias("node"), "n", "keys")
+    firsts = stages.keep(firsts)
+    stages.drop(keyed)
+    rows = firsts.select(F.explode("keys").alias("key"), "node", "n")
+    shared = stages.keep(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    tiles = stages.keep(hot_join(rows, shared.select("key"), "key", counts=shared))
+    stages.drop(firsts, shared)
+    rows, several = _banded(tiles, rule)
+    several = stages.keep(several)
+    banded = stages.keep(hot_join(rows, several.select("key"), "key", counts=several))
+    stages.drop(tiles, several)
+
+    nodes = banded.select(F.col("node").alias("h1")).distinct()
+    wanted = stages.keep(classes.join(nodes, "h1", "left_semi").select("h1", "n", "doc_id", "text_hash"))
+    texts = _texts_of(hashed, wanted.select("doc_id", "text_hash")).dropDuplicates(["doc_id", "text_hash"])
+    sets = over_slices(texts, _sets(rule), "doc_id long, text_hash long, h1 long, h2 long, shingles array<long>, bits binary")
+    sets = stages.keep(sets.join(wanted.select("h1", "n"), "h1").select(F.col("h1").alias("node"), "n", "bits", "shingles"))
+    labels = _connect(banded, sets, rule, stages)
+    stages.drop(banded, wanted, sets)
+
+    named = classes.join(labels.select(F.col("node").alias("h1"), "label"), "h1", "left").select("h1", "h2", "doc_id", F.coalesce("label", "h1").alias("label"))
+    least = stages.keep(named.groupBy("label").agg(F.min("doc_id").alias("component")))
+    named = stages.keep(hot_join(stages.keep(named), least, "label").select("h1", "h2", "component"))
+    out = facts.join(named, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule, stages: Stages) -> DataFrame:
-    """The pairs (a, b) that link: bitmaps first, then whole sets for what passes."""
-    side = lambda c, *what: sets.select(F.col("rep").alias(c), *[F.col(w).alias(f"{w}_{c}") for w in what])
-    passed = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").where(_bounded(rule)("n_a", "bits_a", "n_b", "bits_b"))
-    passed = stages.keep(passed.select("a", "b"))
-    whole = passed.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").where(_overlapping(rule)("shingles_a", "shingles_b"))
-    return stages.keep(whole.select("a", "b"))
+    """The pairs (a, b), a kept table, that link: bitmaps first, then whole sets for what passes."""
+    side = lambda c, *what: sets.select(F.col("node").alias(c), *[F.col(w).alias(f"{w}_{c}") for w in what])
+
+    def both(rows: DataFrame, *what: str) -> DataFrame:
+        return hot_join(hot_join(rows, side("a", *what), "a"), side("b", *what), "b", counts=rows.groupBy("b").agg(F.count("*").alias("n")))
+
+    passed = stages.keep(both(pairs, "n", "bits").where(_bounded(rule)("n_a", "bits_a", "n_b", "bits_b")).select("a", "b"))
+    found = stages.keep(both(passed, "shingles").where(_overlapping(rule)("shingles_a", "shingles_b")).select("a", "b"))
+    stages.drop(passed)
+    return found
 
 
 def _connect(tiles: DataFrame, sets: DataFrame, rule: Rule, stages: Stages) -> DataFrame:
-    """(node, label) of the classes that link."""
-    degree = tiles.groupBy("rep").agg(F.count("*").alias("degree"))
-    open_ = tiles.join(degree, "rep").withColumn("label", F.col("rep"))
+    """(node, label) of the classes that link; `tiles` has (key, node, n)."""
+    degree = tiles.groupBy("node").agg(F.count("*").alias("degree"))
+    open_ = tiles.join(degree, "node").withColumn("label", F.col("node"))
+    fits = F.expr(f"100 * least(n, leader_n) >= {rule.percent} * greatest(n, leader_n)")
     edges, labels = None, None
     for _ in range(ROUNDS):
         open_ = stages.keep(open_)
         if not open_.limit(1).count():
-            return labels if labels is not None else tiles.where("false").select(F.col("rep").alias("node"), F.col("rep").alias("label"))
-        leaders = stages.keep(open_.groupBy("key").agg(F.max_by("rep", "degree").alias("leader"), F.max_by("label", "degree").alias("leader_label")))
-        led = open_.join(leaders, "key")
-        pairs = led.where("rep <> leader AND label <> leader_label").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+            break
+        best = F.max(F.struct("degree", "node", "n", "label")).alias("x")
+        leaders = open_.groupBy("key").agg(best, F.count("*").alias("n"))
+        leaders = stages.keep(leaders.select("key", "n", F.col("x.node").alias("leader"), F.col("x.n").alias("leader_n"), F.col("x.label").alias("leader_label")))
+        led = stages.keep(hot_join(open_, leaders.drop("n"), "key", counts=leaders))
+        pairs = led.where("node <> leader AND label <> leader_label").where(fits)
+        pairs = stages.keep(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
         found = _verified(pairs, sets, rule, stages)
         edges = found if edges is None else edges.unionByName(found)
         labels = connected_components(edges, stages)
-        rest = led.where("rep <> leader").select("key", "rep", "n", "degree")
-        rest = rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        several = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        open_ = rest.join(several, "key")
-    open_ = stages.keep(open_.select("key", "rep", "n", "label"))
-    if not open_.limit(1).count():
-        return labels
-    sized = stages.keep(open_.join(open_.groupBy("key").agg(F.count("*").alias("size"), F.max("n").alias("most")), "key"))
-    small = sized.where(f"size <= {LISTED}").select("key", "rep", "label")
-    listed = small.alias("x").join(small.alias("y"), F.expr("x.key = y.key AND x.rep < y.rep AND x.label <> y.label"))
-    listed = listed.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    pairs = stages.keep(listed.unionByName(_blocked_pairs(sized.where(f"size > {LISTED}"), sets, rule)).distinct())
-    return connected_components(edges.unionByName(_verified(pairs, sets, rule, stages)), stages)
+        rest = led.where("node <> leader").select("key", "node", "n", "degree")
+        rest = stages.keep(rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        several = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        several = stages.keep(several.select("key", "n"))
+        stages.drop(open_, leaders, led, pairs)
+        open_ = hot_join(rest, several.select("key"), "key", counts=several)
+    else:
+        open_ = stages.keep(open_.select("key", "node", "n", "label"))
+        tile_sizes = stages.keep(open_.groupBy("key").agg(F.count("*").alias("size"), F.max("n").alias("most")))
+        sized = stages.keep(hot_join(open_, tile_sizes, "key", counts=tile_sizes.withColumn("n", F.col("size"))))
+        small = sized.where(f"size <= {LISTED}").select("key", "node", "n", "label")
+        fits = f"100 * least(x.n, y.n) >= {rule.percent} * greatest(x.n, y.n)"
+        listed = small.alias("x").join(small.alias("y"), F.expr(f"x.key = y.key AND x.node < y.node AND x.label <> y.label AND {fits}"))
+        listed = listed.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        pairs = stages.keep(listed.unionByName(_blocked_pairs(sized.where(f"size > {LISTED}"), sets, rule)).distinct())
+        labels = connected_components(edges.unionByName(_verified(pairs, sets, rule, stages)), stages)
+        stages.drop(open_, tile_sizes, sized, pairs)
+    return labels if labels is not None else tiles.select("node", F.col("node").alias("label")).where("false")
 
 
 def _blocked_pairs(large: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of large tiles that the bitmaps allow, from pairs of blocks of bounded size."""
     capacity = F.greatest(F.lit(1), F.least(F.lit(BLOCK_SETS), F.expr(f"cast({BLOCK_SHINGLES} div most as int)")))
     rows = large.withColumn("blocks", F.ceil(F.col("size") / capacity).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    rows = rows.join(sets.select("rep", "bits"), "rep").select("key", "i", "j", "block", "rep", "n", "label", "bits")
+    rows = rows.join(sets.select("node", "bits"), "node").select("key", "i", "j", "block", "node", "n", "label", "bits")
 
     def compare(tile: pd.DataFrame) -> pd.DataFrame:
         found = []
         if tile["label"].nunique() > 1 and (tile["i"].iat[0] == tile["j"].iat[0] or tile["block"].nunique() > 1):
             maps = [np.frombuffer(x, np.uint64) for x in tile["bits"]]
-            found = tile_pairs(tile["rep"].to_numpy(), tile["n"].to_numpy(), maps, tile["label"].to_numpy(), tile["block"].to_numpy(), rule)
+            found = tile_pairs(tile["node"].to_numpy(), tile["n"].to_numpy(), maps, tile["label"].to_numpy(), tile["block"].to_numpy(), rule)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
@@ -335,7 +359,8 @@ def keep_one(docs: DataFrame, rule: Rule = Rule(words=5, percent=80)) -> DataFra
     Of equal rows one stays. Different texts with one id stand for their components together; rows without an id stay
     unless an equal set has an id.
     """
+    row = free_name(docs.columns, "_row")
     found = near_duplicates(docs.select("doc_id", "text"), rule).where("doc_id <=> component_id")
-    found = found.select(F.xxhash64("doc_id", "text_hash").alias("_row")).distinct()
-    own = docs.withColumn("_row", F.xxhash64("doc_id", F.xxhash64("text")))
-    return own.join(found, "_row", "left_semi").dropDuplicates(["_row", "doc_id"]).select([F.col(f"`{c}`") for c in docs.columns])
+    found = found.select(F.xxhash64("doc_id", "text_hash").alias(row)).distinct()
+    own = docs.withColumn(row, F.xxhash64("doc_id", F.xxhash64("text")))
+    return own.join(found, row, "left_semi").dropDuplicates([row, "doc_id"]).select([F.col(f"`{c}`") for c in docs.columns])

@@ -66,21 +66,37 @@ def test_small_blocks_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 3)
     monkeypatch.setattr(ngram_join, "LISTED", 3)
     monkeypatch.setattr(ngram_join, "ROUNDS", 1)
-    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", -1)
+    monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(ngram_join, "ORDER_ROWS", 50)
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, Rule())
 
 
-def test_linking_sets_share_a_key():
+@pytest.mark.parametrize("share", [0, 0.3, 1])
+def test_linking_sets_share_a_key(share):
     rng = np.random.default_rng(5)
     for rule in (Rule(), Rule(5, 80)):
-        for n in [9, 10, 13, 18, 19, 20, 54, 120, 1000, 5000] * 5:
+        for n in [1, 2, 9, 10, 13, 18, 19, 20, 54, 120, 1000, 5000] * 5:
             a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            frequent = np.sort(a[: int(share * n)])
             for m in range(n, rule.largest(n) + 1, max(1, n // 40)):
                 least = rule.overlap(n + m)
                 if least <= n:
                     b = np.concatenate([a[:least], rng.integers(0, 1 << 63, m - least, dtype=np.uint64)])
-                    assert set(ngram_join.part_keys(a, rule).tolist()) & set(ngram_join.part_keys(b, rule).tolist()), (rule, n, m)
+                    keys, counts = ngram_join.prefix_keys([np.sort(a), np.sort(b)], rule, frequent)
+                    assert counts.sum() == len(keys) and set(keys[: counts[0]].tolist()) & set(keys[counts[0] :].tolist()), (rule, n, m)
+
+
+def test_hot_keys_are_joined_whole(spark, monkeypatch):
+    from lexloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.createDataFrame([(i % 3 if i < 300 else i, i) for i in range(400)] + [(None, 1)], "key long, x long")
+    single = spark.createDataFrame([(k, -k) for k in (0, 1, 350, 9999)], "key long, y long")
+    for how in ("inner", "left"):
+        got, want = common.hot_join(rows, single, "key", how), rows.join(single, "key", how)
+        assert got.columns == want.columns
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
 
 
 def test_bitmaps_never_reject_a_link():
@@ -99,5 +115,15 @@ def test_one_of_each_group_stays(spark, documents):
     assert len(ids) == len(set(ids)) and 900006 in ids and 900002 in ids
 
 
+def test_clashing_names_and_ids(spark):
+    texts = ["a b c d e f g h i j", "a b c d e f g h i j k", "other words that stand alone in this text", None]
+    rows = [(7, texts[0], "x", 1), (7, texts[2], "y", 2), (8, texts[1], "z", 3), (9, texts[3], "v", 4), (9, texts[3], "w", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string, n long")
+    got = Counter((r.doc_id, r.text_hash is None, r.component_id) for r in ngram_join.near_duplicates(docs, Rule(3, 80)).collect())
+    assert got == Counter([(7, False, 7), (7, False, 7), (8, False, 7), (9, False, 9), (9, False, 9)])
+    kept = ngram_join.keep_one(docs, Rule(3, 80)).collect()
+    assert sorted((r.doc_id, r._row in ("v", "w") or r._row) for r in kept) == [(7, "x"), (7, "y"), (9, True)]
+
+
 def test_empty_table(documents):
     assert ngram_join.near_duplicates(documents.where("false")).count() == 0
