@@ -94,11 +94,12 @@ def hot_join(rows: DataFrame, single: DataFrame, key: str, how: str = "inner", c
     `counts` has (key, n) of `rows` where they are known; both sides should be kept tables, as they are read twice.
     """
     counts = rows.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts.select(key, "n")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    limit = max(HOT_ROWS, total // HOT_SHARE)
-    hot = [(r[0], -(-r[1] // limit)) for r in counts.where(F.col("n") > limit).where(F.col(key).isNotNull()).collect()]  # fewer than HOT_SHARE
-    if not hot:
+    counts = counts.where(F.col(key).isNotNull())
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    limit = max(HOT_ROWS, (total or 0) // HOT_SHARE)
+    if (most or 0) <= limit:
         return rows.join(single, key, how)
+    hot = [(r[0], -(-r[1] // limit)) for r in counts.where(F.col("n") > limit).collect()]  # fewer than HOT_SHARE
     salts = rows.sparkSession.createDataFrame(hot, T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("_salts", T.IntegerType())]))
     dealt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("_salts"))).cast("int")
     left = rows.join(F.broadcast(salts), key, "left").withColumn("_salt", dealt).drop("_salts")
