@@ -42,7 +42,7 @@ BROADCAST_BYTES = 8 << 20
 ORDER_ROWS, ORDER_MOST = 4000, 1 << 17
 #: Rounds with leaders; the largest tile whose pairs are listed by a join; sets in a block of a larger one, and
 #: shingles in one at most (a set that is larger is alone with one other).
-ROUNDS, LISTED, BLOCK_SETS, BLOCK_SHINGLES = 3, 64, 2048, 8_000_000
+ROUNDS, LISTED, BLOCK_SETS, BLOCK_SHINGLES = 2, 64, 2048, 8_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -108,8 +108,8 @@ def prefix_keys(sets: list[np.ndarray], rule: Rule, frequent: np.ndarray) -> tup
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """A hashed bitmap of at least 8 bits for each shingle, as 64-bit words; halves fold on to each other."""
-    bits = 1 << max(6, (8 * max(1, len(shingles)) - 1).bit_length())
+    """A hashed bitmap of two to four bits for each shingle, as 64-bit words; halves fold on to each other."""
+    bits = 1 << max(6, (2 * max(1, len(shingles)) - 1).bit_length())
     out = np.zeros(bits // 8, np.uint8)
     at = (shingles & np.uint64(bits - 1)).astype(np.int64)
     np.bitwise_or.at(out, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
@@ -158,7 +158,8 @@ def _keyed(rule: Rule, frequent):
     def keyed(texts: list[bytes]) -> list[pa.Array]:
         sets = shingle_sets(texts, rule.words)
         keys, counts = prefix_keys(sets, rule, frequent.value)
-        return [pa.array([len(s) for s in sets], pa.int64()), *_set_hashes(sets), list_array(keys.view(np.int64), counts, pa.int64())]
+        maps = pa.array([bitmap(s).tobytes() for s in sets], pa.binary())
+        return [pa.array([len(s) for s in sets], pa.int64()), *_set_hashes(sets), list_array(keys.view(np.int64), counts, pa.int64()), maps]
 
     return keyed
 
@@ -186,16 +187,6 @@ def _set_hashes(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
     return tuple(map(pa.array, hashed))
 
 
-def _sets(rule: Rule):
-    def sets(texts: list[bytes]) -> list[pa.Array]:
-        found = shingle_sets(texts, rule.words)
-        flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-        lists = list_array(flat, np.array([len(s) for s in found], np.int64), pa.int64())
-        return [*_set_hashes(found), lists, pa.array([bitmap(s).tobytes() for s in found], pa.binary())]
-
-    return sets
-
-
 def _arrays(column: pa.Array) -> list[np.ndarray]:
     values, offsets = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
     return np.split(values, (offsets - offsets[0])[1:-1]) if len(column) else []
@@ -221,11 +212,23 @@ def _overlapping(rule: Rule):
     return overlapping
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of `docs` (doc_id, text) of the documents `wanted`: by broadcast while the ids are few, else by a shuffle."""
-    if wanted.count() * 40 <= BROADCAST_BYTES:
-        wanted = F.broadcast(wanted)
-    return docs.join(wanted, ["doc_id", "text_hash"])
+class _Sets:
+    """Whole sets of classes, taken from the texts once a class stands in a pair that its bitmaps allow."""
+
+    def __init__(self, texts: DataFrame, classes: DataFrame, rule: Rule, stages: Stages):
+        self.texts, self.classes, self.rule, self.stages, self.known = texts, classes, rule, stages, None
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """(node, shingles) of all classes in `pairs` (a, b), and of those asked for before."""
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        if self.known is not None:
+            nodes = nodes.join(self.known, "node", "left_anti")
+        wanted = self.stages.keep(self.classes.join(nodes.withColumnRenamed("node", "h1"), "h1", "left_semi").select("doc_id", "text_hash", F.col("h1").alias("node")))
+        few = wanted.count() * 40 <= BROADCAST_BYTES  # else the join is a shuffle
+        texts = self.texts.join(F.broadcast(wanted) if few else wanted, ["doc_id", "text_hash"]).dropDuplicates(["node"])
+        sets = self.stages.keep(over_slices(texts, _shingles(self.rule), "doc_id long, text_hash long, node long, shingles array<long>").select("node", "shingles"))
+        self.known = sets if self.known is None else self.known.unionByName(sets)
+        return self.known
 
 
 def _banded(tiles: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
@@ -247,15 +250,16 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     stages = Stages(spark, "ngram-join")
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(hashed, rule))
-    keyed = stages.keep(over_slices(hashed, _keyed(rule, frequent), "doc_id long, text_hash long, n long, h1 long, h2 long, keys array<long>"))
-    facts = stages.keep(keyed.drop("keys"))
+    keyed = stages.keep(over_slices(hashed, _keyed(rule, frequent), "doc_id long, text_hash long, n long, h1 long, h2 long, keys array<long>, bits binary"))
+    facts = stages.keep(keyed.drop("keys", "bits"))
     classes = facts.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("n").alias("n"))
     classes = stages.keep(classes.select("h1", "h2", "n", "one.*"))
 
     # from here on keys are those of one document for each class
     one = ["h1", "h2", "doc_id", "text_hash"]
-    firsts = keyed.join(classes.select(one), one, "left_semi").dropDuplicates(one).select(F.col("h1").alias("node"), "n", "keys")
+    firsts = keyed.join(classes.select(one), one, "left_semi").dropDuplicates(one).select(F.col("h1").alias("node"), "n", "keys", "bits")
     firsts = stages.keep(firsts)
+    maps = stages.keep(firsts.select("node", "n", "bits"))
     stages.drop(keyed)
     rows = firsts.select(F.explode("keys").alias("key"), "node", "n")
     shared = stages.keep(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
@@ -266,13 +270,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     banded = stages.keep(hot_join(rows, several.select("key"), "key", counts=several))
     stages.drop(tiles, several)
 
-    nodes = banded.select(F.col("node").alias("h1")).distinct()
-    wanted = stages.keep(classes.join(nodes, "h1", "left_semi").select("h1", "n", "doc_id", "text_hash"))
-    texts = _texts_of(hashed, wanted.select("doc_id", "text_hash")).dropDuplicates(["doc_id", "text_hash"])
-    sets = over_slices(texts, _sets(rule), "doc_id long, text_hash long, h1 long, h2 long, shingles array<long>, bits binary")
-    sets = stages.keep(sets.join(wanted.select("h1", "n"), "h1").select(F.col("h1").alias("node"), "n", "bits", "shingles"))
-    labels = _connect(banded, sets, rule, stages)
-    stages.drop(banded, wanted, sets)
+    labels = _connect(banded, maps, _Sets(hashed, classes, rule, stages), rule, stages)
+    stages.drop(banded, maps)
 
     named = classes.join(labels.select(F.col("node").alias("h1"), "label"), "h1", "left").select("h1", "h2", "doc_id", F.coalesce("label", "h1").alias("label"))
     least = stages.keep(named.groupBy("label").agg(F.min("doc_id").alias("component")))
@@ -282,20 +281,20 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule, stages: Stages) -> DataFrame:
+def _verified(pairs: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages: Stages) -> DataFrame:
     """The pairs (a, b), a kept table, that link: bitmaps first, then whole sets for what passes."""
-    side = lambda c, *what: sets.select(F.col("node").alias(c), *[F.col(w).alias(f"{w}_{c}") for w in what])
 
-    def both(rows: DataFrame, *what: str) -> DataFrame:
-        return hot_join(hot_join(rows, side("a", *what), "a"), side("b", *what), "b", counts=rows.groupBy("b").agg(F.count("*").alias("n")))
+    def both(rows: DataFrame, of: DataFrame, *what: str) -> DataFrame:
+        side = lambda c: of.select(F.col("node").alias(c), *[F.col(w).alias(f"{w}_{c}") for w in what])
+        return hot_join(hot_join(rows, side("a"), "a"), side("b"), "b", counts=rows.groupBy("b").agg(F.count("*").alias("n")))
 
-    passed = stages.keep(both(pairs, "n", "bits").where(_bounded(rule)("n_a", "bits_a", "n_b", "bits_b")).select("a", "b"))
-    found = stages.keep(both(passed, "shingles").where(_overlapping(rule)("shingles_a", "shingles_b")).select("a", "b"))
+    passed = stages.keep(both(pairs, maps, "n", "bits").where(_bounded(rule)("n_a", "bits_a", "n_b", "bits_b")).select("a", "b"))
+    found = stages.keep(both(passed, sets.of(passed), "shingles").where(_overlapping(rule)("shingles_a", "shingles_b")).select("a", "b"))
     stages.drop(passed)
     return found
 
 
-def _connect(tiles: DataFrame, sets: DataFrame, rule: Rule, stages: Stages) -> DataFrame:
+def _connect(tiles: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages: Stages) -> DataFrame:
     """(node, label) of the classes that link; `tiles` has (key, node, n)."""
     degree = tiles.groupBy("node").agg(F.count("*").alias("degree"))
     open_ = tiles.join(degree, "node").withColumn("label", F.col("node"))
@@ -311,7 +310,7 @@ def _connect(tiles: DataFrame, sets: DataFrame, rule: Rule, stages: Stages) -> D
         led = stages.keep(hot_join(open_, leaders.drop("n"), "key", counts=leaders))
         pairs = led.where("node <> leader AND label <> leader_label").where(fits)
         pairs = stages.keep(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
-        found = _verified(pairs, sets, rule, stages)
+        found = _verified(pairs, maps, sets, rule, stages)
         edges = found if edges is None else edges.unionByName(found)
         labels = connected_components(edges, stages)
         rest = led.where("node <> leader").select("key", "node", "n", "degree")
@@ -328,26 +327,26 @@ def _connect(tiles: DataFrame, sets: DataFrame, rule: Rule, stages: Stages) -> D
         fits = f"100 * least(x.n, y.n) >= {rule.percent} * greatest(x.n, y.n)"
         listed = small.alias("x").join(small.alias("y"), F.expr(f"x.key = y.key AND x.node < y.node AND x.label <> y.label AND {fits}"))
         listed = listed.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        pairs = stages.keep(listed.unionByName(_blocked_pairs(sized.where(f"size > {LISTED}"), sets, rule)).distinct())
-        labels = connected_components(edges.unionByName(_verified(pairs, sets, rule, stages)), stages)
+        pairs = stages.keep(listed.unionByName(_blocked_pairs(sized.where(f"size > {LISTED}"), maps, rule)).distinct())
+        labels = connected_components(edges.unionByName(_verified(pairs, maps, sets, rule, stages)), stages)
         stages.drop(open_, tile_sizes, sized, pairs)
     return labels if labels is not None else tiles.select("node", F.col("node").alias("label")).where("false")
 
 
-def _blocked_pairs(large: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def _blocked_pairs(large: DataFrame, maps: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of large tiles that the bitmaps allow, from pairs of blocks of bounded size."""
     capacity = F.greatest(F.lit(1), F.least(F.lit(BLOCK_SETS), F.expr(f"cast({BLOCK_SHINGLES} div most as int)")))
     rows = large.withColumn("blocks", F.ceil(F.col("size") / capacity).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    rows = rows.join(sets.select("node", "bits"), "node").select("key", "i", "j", "block", "node", "n", "label", "bits")
+    rows = rows.join(maps.select("node", "bits"), "node").select("key", "i", "j", "block", "node", "n", "label", "bits")
 
     def compare(tile: pd.DataFrame) -> pd.DataFrame:
         found = []
         if tile["label"].nunique() > 1 and (tile["i"].iat[0] == tile["j"].iat[0] or tile["block"].nunique() > 1):
-            maps = [np.frombuffer(x, np.uint64) for x in tile["bits"]]
-            found = tile_pairs(tile["node"].to_numpy(), tile["n"].to_numpy(), maps, tile["label"].to_numpy(), tile["block"].to_numpy(), rule)
+            bits = [np.frombuffer(x, np.uint64) for x in tile["bits"]]
+            found = tile_pairs(tile["node"].to_numpy(), tile["n"].to_numpy(), bits, tile["label"].to_numpy(), tile["block"].to_numpy(), rule)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
