@@ -3,10 +3,10 @@
 Equal shingle sets are one class. All shingles have one total order, in which those that are frequent in a sample come
 last (the sample decides the speed only, never the result). Two sets that link must share one of their first
 `n - ceil(threshold * n) + 1` shingles in that order: these are a set's keys. Classes are banded by set size, so that
-sets that can link by their sizes meet in a band; the classes with one key in one band are a tile. In a few rounds,
-every class of a tile is compared with one leader, the class that stands in most tiles; this joins a group of near
-copies in time linear in its size. Pairs of a tile that are still in different components are then all compared, in
-blocks of bounded size where the tile is large. Each pair is first bounded from above by the bit counts of hashed
+sets that can link by their sizes meet in a band; the classes with one key in one band are a tile. While there are large
+tiles, in a few rounds every class of a tile is compared with one leader; this joins a group of near copies in time
+linear in its size. Pairs of a tile that no leader has joined are then all compared, in blocks of bounded size where
+the tile is large. Each pair is first bounded from above by the bit counts of hashed
 bitmaps; only what passes has its sorted arrays intersected. No tile, bucket or number of partners is capped, and
 joins deal hot keys, leaders and labels to several tasks. Shingles and classes in links are 64-bit hashes; copies are
 told by 128 bits.
@@ -40,9 +40,9 @@ from lexloom.llm.components import connected_components
 BROADCAST_BYTES = 8 << 20
 #: Rows of the sample that tells frequent shingles, and the most shingles that are told (8 bytes each are broadcast).
 ORDER_ROWS, ORDER_MOST = 4000, 1 << 17
-#: Rounds with leaders; the largest tile whose pairs are listed by a join; sets in a block of a larger one, and
+#: Rounds with leaders at most; the largest tile whose pairs are listed by a join; sets in a block of a larger one, and
 #: shingles in one at most (a set that is larger is alone with one other).
-ROUNDS, LISTED, BLOCK_SETS, BLOCK_SHINGLES = 2, 64, 2048, 8_000_000
+ROUNDS, LISTED, BLOCK_SETS, BLOCK_SHINGLES = 2, 128, 2048, 8_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -231,17 +231,14 @@ class _Sets:
         return self.known
 
 
-def _banded(tiles: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """`tiles` (key, node, n) by key and band of sizes, and the keys (key, n) of several classes.
+def _banded(rows: DataFrame, rule: Rule) -> DataFrame:
+    """`rows` (key, node, n) by key and band of sizes.
 
     A band is as wide as the sizes of two sets that link may differ, and a set stands in its band and the next one: so
     two that may link meet in a band.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / rule.percent) * 1.000001)).cast("long")
-    rows = tiles.withColumn("band", F.explode(F.array(band, band + 1)))
-    rows = rows.select(F.xxhash64("key", "band").alias("key"), "node", "n")
-    several = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return rows, several
+    return rows.withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("key", "band").alias("key"), "node", "n")
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -251,42 +248,39 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(hashed, rule))
     keyed = stages.keep(over_slices(hashed, _keyed(rule, frequent), "doc_id long, text_hash long, n long, h1 long, h2 long, keys array<long>, bits binary"))
-    facts = stages.keep(keyed.drop("keys", "bits"))
-    classes = facts.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("n").alias("n"))
-    classes = stages.keep(classes.select("h1", "h2", "n", "one.*"))
+    facts = keyed.select("doc_id", "text_hash", "n", "h1", "h2")
+    classes = facts.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
+    classes = stages.keep(classes.select("h1", "h2", "one.*"))
 
     # from here on keys are those of one document for each class
     one = ["h1", "h2", "doc_id", "text_hash"]
-    firsts = keyed.join(classes.select(one), one, "left_semi").dropDuplicates(one).select(F.col("h1").alias("node"), "n", "keys", "bits")
+    firsts = keyed.join(classes, one, "left_semi").dropDuplicates(one).select(F.col("h1").alias("node"), "n", "keys", "bits")
     firsts = stages.keep(firsts)
-    maps = stages.keep(firsts.select("node", "n", "bits"))
-    stages.drop(keyed)
     rows = firsts.select(F.explode("keys").alias("key"), "node", "n")
     shared = stages.keep(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    tiles = stages.keep(hot_join(rows, shared.select("key"), "key", counts=shared))
-    stages.drop(firsts, shared)
-    rows, several = _banded(tiles, rule)
-    several = stages.keep(several)
-    banded = stages.keep(hot_join(rows, several.select("key"), "key", counts=several))
-    stages.drop(tiles, several)
-
-    labels = _connect(banded, maps, _Sets(hashed, classes, rule, stages), rule, stages)
-    stages.drop(banded, maps)
+    tiles = stages.keep(_banded(hot_join(rows, shared.select("key"), "key", counts=shared), rule))
+    stages.drop(shared)
+    edges = _links(tiles, firsts.select("node", "n", "bits"), _Sets(hashed, classes, rule, stages), rule, stages)
+    labels = connected_components(edges, stages)
+    stages.drop(firsts)
 
     named = classes.join(labels.select(F.col("node").alias("h1"), "label"), "h1", "left").select("h1", "h2", "doc_id", F.coalesce("label", "h1").alias("label"))
-    least = stages.keep(named.groupBy("label").agg(F.min("doc_id").alias("component")))
-    named = stages.keep(hot_join(stages.keep(named), least, "label").select("h1", "h2", "component"))
+    named = stages.keep(named)
+    least = named.groupBy("label").agg(F.min("doc_id").alias("component"), F.count("*").alias("n"))
+    least = stages.keep(least)
+    named = hot_join(named, least.drop("n"), "label", counts=least).select("h1", "h2", "component")
     out = facts.join(named, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash")
 
 
 def _verified(pairs: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages: Stages) -> DataFrame:
-    """The pairs (a, b), a kept table, that link: bitmaps first, then whole sets for what passes."""
+    """The pairs (a, b), a kept table, that link: bitmaps first, then whole sets for what passes. Many rows may have
+    one b."""
 
     def both(rows: DataFrame, of: DataFrame, *what: str) -> DataFrame:
         side = lambda c: of.select(F.col("node").alias(c), *[F.col(w).alias(f"{w}_{c}") for w in what])
-        return hot_join(hot_join(rows, side("a"), "a"), side("b"), "b", counts=rows.groupBy("b").agg(F.count("*").alias("n")))
+        return hot_join(rows.join(side("a"), "a"), side("b"), "b", counts=rows.groupBy("b").agg(F.count("*").alias("n")))
 
     passed = stages.keep(both(pairs, maps, "n", "bits").where(_bounded(rule)("n_a", "bits_a", "n_b", "bits_b")).select("a", "b"))
     found = stages.keep(both(passed, sets.of(passed), "shingles").where(_overlapping(rule)("shingles_a", "shingles_b")).select("a", "b"))
@@ -294,43 +288,45 @@ def _verified(pairs: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages
     return found
 
 
-def _connect(tiles: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages: Stages) -> DataFrame:
-    """(node, label) of the classes that link; `tiles` has (key, node, n)."""
-    degree = tiles.groupBy("node").agg(F.count("*").alias("degree"))
-    open_ = tiles.join(degree, "node").withColumn("label", F.col("node"))
-    fits = F.expr(f"100 * least(n, leader_n) >= {rule.percent} * greatest(n, leader_n)")
-    edges, labels = None, None
-    for _ in range(ROUNDS):
-        open_ = stages.keep(open_)
-        if not open_.limit(1).count():
+def _links(tiles: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages: Stages) -> DataFrame:
+    """Pairs (a, b) of classes that link, enough of them to connect whatever links; `tiles` has (key, node, n).
+
+    While there are large tiles, the classes of each are compared with its leader, the class of the least hash, which
+    is the same one in most tiles of a group; those that link to one leader share a label, and pairs within a label
+    need no comparison.
+    """
+    fits = f"100 * least({{0}}.n, {{1}}.n) >= {rule.percent} * greatest({{0}}.n, {{1}}.n)"
+    rows, edges = tiles.withColumn("label", F.col("node")), None
+    leader = [F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("n").alias("most")]
+    for turn in range(ROUNDS + 1):
+        told = rows.groupBy("key").agg(*leader).where("lo <> hi")
+        told = stages.keep(told.select("key", F.col("size").alias("n"), F.col("x.node").alias("leader"), F.col("x.n").alias("leader_n"), "size", "most"))
+        largest = told.agg(F.max("n")).first()[0]
+        if largest is None or largest <= LISTED or turn == ROUNDS:
             break
-        best = F.max(F.struct("degree", "node", "n", "label")).alias("x")
-        leaders = open_.groupBy("key").agg(best, F.count("*").alias("n"))
-        leaders = stages.keep(leaders.select("key", "n", F.col("x.node").alias("leader"), F.col("x.n").alias("leader_n"), F.col("x.label").alias("leader_label")))
-        led = stages.keep(hot_join(open_, leaders.drop("n"), "key", counts=leaders))
-        pairs = led.where("node <> leader AND label <> leader_label").where(fits)
-        pairs = stages.keep(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+        led = stages.keep(hot_join(rows, told.drop("n", "size", "most"), "key", counts=told))
+        pairs = led.where("node <> leader AND label <> leader").where(f"100 * least(n, leader_n) >= {rule.percent} * greatest(n, leader_n)")
+        pairs = stages.keep(pairs.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
         found = _verified(pairs, maps, sets, rule, stages)
         edges = found if edges is None else edges.unionByName(found)
-        labels = connected_components(edges, stages)
-        rest = led.where("node <> leader").select("key", "node", "n", "degree")
-        rest = stages.keep(rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        several = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        several = stages.keep(several.select("key", "n"))
-        stages.drop(open_, leaders, led, pairs)
-        open_ = hot_join(rest, several.select("key"), "key", counts=several)
-    else:
-        open_ = stages.keep(open_.select("key", "node", "n", "label"))
-        tile_sizes = stages.keep(open_.groupBy("key").agg(F.count("*").alias("size"), F.max("n").alias("most")))
-        sized = stages.keep(hot_join(open_, tile_sizes, "key", counts=tile_sizes.withColumn("n", F.col("size"))))
+        labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
+        rest = led.where("node <> leader").select("key", "node", "n").join(labels, "node", "left")
+        rest = stages.keep(rest.withColumn("label", F.coalesce("label", "node")))
+        stages.drop(led, pairs, told, rows if turn else tiles)
+        rows = rest
+    if largest is not None:
+        sized = stages.keep(hot_join(rows, told.select("key", "size", "most"), "key", counts=told))
         small = sized.where(f"size <= {LISTED}").select("key", "node", "n", "label")
-        fits = f"100 * least(x.n, y.n) >= {rule.percent} * greatest(x.n, y.n)"
-        listed = small.alias("x").join(small.alias("y"), F.expr(f"x.key = y.key AND x.node < y.node AND x.label <> y.label AND {fits}"))
-        listed = listed.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        pairs = stages.keep(listed.unionByName(_blocked_pairs(sized.where(f"size > {LISTED}"), maps, rule)).distinct())
-        labels = connected_components(edges.unionByName(_verified(pairs, maps, sets, rule, stages)), stages)
-        stages.drop(open_, tile_sizes, sized, pairs)
-    return labels if labels is not None else tiles.select("node", F.col("node").alias("label")).where("false")
+        listed = small.alias("x").join(small.alias("y"), F.expr(f"x.key = y.key AND x.node < y.node AND x.label <> y.label AND {fits.format('x', 'y')}"))
+        listed = listed.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        if largest > LISTED:
+            listed = listed.unionByName(_blocked_pairs(sized.where(f"size > {LISTED}"), maps, rule))
+        pairs = stages.keep(listed.distinct())
+        found = _verified(pairs, maps, sets, rule, stages)
+        edges = found if edges is None else edges.unionByName(found)
+        stages.drop(sized, pairs)
+    stages.drop(told)
+    return edges if edges is not None else tiles.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
 
 
 def _blocked_pairs(large: DataFrame, maps: DataFrame, rule: Rule) -> DataFrame:
