@@ -42,7 +42,7 @@ BROADCAST_BYTES = 8 << 20
 ORDER_ROWS, ORDER_MOST = 4000, 1 << 17
 #: Rounds with leaders at most; the largest tile whose pairs are listed by a join; sets in a block of a larger one, and
 #: shingles in one at most (a set that is larger is alone with one other).
-ROUNDS, LISTED, BLOCK_SETS, BLOCK_SHINGLES = 2, 128, 2048, 8_000_000
+ROUNDS, LISTED, BLOCK_SETS, BLOCK_SHINGLES = 3, 128, 2048, 8_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -292,24 +292,23 @@ def _links(tiles: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages: S
     """Pairs (a, b) of classes that link, enough of them to connect whatever links; `tiles` has (key, node, n).
 
     While there are large tiles, the classes of each are compared with its leader, the class of the least hash, which
-    is the same one in most tiles of a group; those that link to one leader share a label, and pairs within a label
-    need no comparison.
+    is the same one in most tiles of a group; pairs within a component found so far need no comparison.
     """
     fits = f"100 * least({{0}}.n, {{1}}.n) >= {rule.percent} * greatest({{0}}.n, {{1}}.n)"
     rows, edges = tiles.withColumn("label", F.col("node")), None
-    leader = [F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("n").alias("most")]
+    leader = [F.count("*").alias("size"), F.min(F.struct("node", "n", "label")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("n").alias("most")]
     for turn in range(ROUNDS + 1):
         told = rows.groupBy("key").agg(*leader).where("lo <> hi")
-        told = stages.keep(told.select("key", F.col("size").alias("n"), F.col("x.node").alias("leader"), F.col("x.n").alias("leader_n"), "size", "most"))
+        told = stages.keep(told.select("key", F.col("size").alias("n"), F.col("x.node").alias("leader"), F.col("x.n").alias("leader_n"), F.col("x.label").alias("leader_label"), "size", "most"))
         largest = told.agg(F.max("n")).first()[0]
         if largest is None or largest <= LISTED or turn == ROUNDS:
             break
         led = stages.keep(hot_join(rows, told.drop("n", "size", "most"), "key", counts=told))
-        pairs = led.where("node <> leader AND label <> leader").where(f"100 * least(n, leader_n) >= {rule.percent} * greatest(n, leader_n)")
+        pairs = led.where("node <> leader AND label <> leader_label").where(f"100 * least(n, leader_n) >= {rule.percent} * greatest(n, leader_n)")
         pairs = stages.keep(pairs.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
         found = _verified(pairs, maps, sets, rule, stages)
         edges = found if edges is None else edges.unionByName(found)
-        labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
+        labels = connected_components(edges, stages)
         rest = led.where("node <> leader").select("key", "node", "n").join(labels, "node", "left")
         rest = stages.keep(rest.withColumn("label", F.coalesce("label", "node")))
         stages.drop(led, pairs, told, rows if turn else tiles)
