@@ -6,8 +6,9 @@ grammar; where the recovered turns differ from the source, the texts in conflict
 they are identical. The escape puts one more backslash behind the `<` of every `<|`, `<\\|`,
 `<\\\\|`, ...; the parser takes one away, so the map is one to one and a text without such strings stays as it is.
 
-Conversations are streams of sorted turns: a partition holds whole conversations, and a long one is written in parts
-of at most `part_chars` characters (or one turn), so no conversation is collected. Each part is a row with its text
+Conversations are streams of sorted turns: a partition holds whole conversations (one conversation is one task,
+however long), and a long one is written in parts of at most `part_chars` characters (or one turn), so no conversation
+is collected. Each part is a row with its text
 and the spans of assistant texts in it (the loss mask), counted in code points.
 
 Edge cases: null texts and roles are empty; turns with equal numbers follow by role and text, null numbers come first;
@@ -79,6 +80,18 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[str, str, int,
     raise ValueError("the escape isn't reversible")  # not reached: escaped turns hold no control string
 
 
+def _ids(column: pd.Series) -> list[int | None]:
+    """Ids from their strings: as numbers they would become floats beside a null, and large ones would meet."""
+    return [None if pd.isna(x) else int(x) for x in column.tolist()]
+
+
+def _with_ids(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """A frame whose first column holds ids that may be null, without a float between."""
+    out = pd.DataFrame(rows, columns=columns)
+    out[columns[0]] = pd.array([r[0] for r in rows], dtype="Int64")
+    return out
+
+
 def _parts(batches: Iterable[pd.DataFrame], part_chars: int) -> Iterator[pd.DataFrame]:
     """Rendered parts of conversations whose turns come in order; one part is in memory at a time."""
     key, number, size, turns, rows = None, 0, 0, [], []
@@ -90,8 +103,7 @@ def _parts(batches: Iterable[pd.DataFrame], part_chars: int) -> Iterator[pd.Data
 
     columns = ["conv_id", "part", "n_turns", "formatted", "loss_spans"]
     for batch in batches:
-        for conv, role, text in zip(batch["conv_id"].tolist(), batch["role"].tolist(), batch["text"].tolist(), strict=True):
-            conv = None if pd.isna(conv) else int(conv)
+        for conv, role, text in zip(_ids(batch["conv_id"]), batch["role"].tolist(), batch["text"].tolist(), strict=True):
             if turns and (conv != key or size + len(text) > part_chars):
                 close()
                 number = number + 1 if conv == key else 0
@@ -100,11 +112,11 @@ def _parts(batches: Iterable[pd.DataFrame], part_chars: int) -> Iterator[pd.Data
             size += len(text)
             turns.append((role, text))
         if rows:
-            yield pd.DataFrame(rows, columns=columns).astype({"conv_id": "Int64"})
+            yield _with_ids(rows, columns)
             rows = []
     if turns:
         close()
-        yield pd.DataFrame(rows, columns=columns).astype({"conv_id": "Int64"})
+        yield _with_ids(rows, columns)
 
 
 def format_conversations(turns: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
@@ -112,7 +124,7 @@ def format_conversations(turns: DataFrame, part_chars: int = PART_CHARS) -> Data
     rows = turns.select("conv_id", "turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     schema = "conv_id long, part long, n_turns long, formatted string, loss_spans array<struct<start: long, stop: long>>"
-    return rows.select("conv_id", "role", "text").mapInPandas(lambda it: _parts(it, part_chars), schema)
+    return rows.select(F.col("conv_id").cast("string"), "role", "text").mapInPandas(lambda it: _parts(it, part_chars), schema)
 
 
 def _digests(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,8 +137,7 @@ def _digests(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         rows = []
-        for conv, text, spans in zip(batch["conv_id"].tolist(), batch["formatted"].tolist(), batch["loss_spans"].tolist(), strict=True):
-            conv = None if pd.isna(conv) else int(conv)
+        for conv, text, spans in zip(_ids(batch["conv_id"]), batch["formatted"].tolist(), batch["loss_spans"].tolist(), strict=True):
             if any_ and conv != key:
                 rows.append(row())
             if not any_ or conv != key:
@@ -140,12 +151,12 @@ def _digests(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 sums[3].update(under.encode())
             sums[4] += len(text)
         if rows:
-            yield pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+            yield _with_ids(rows, names)
     if any_:
-        yield pd.DataFrame([row()], columns=names).astype({"conv_id": "Int64"})
+        yield _with_ids([row()], names)
 
 
 def read_back(parts: DataFrame) -> DataFrame:
     """Per conversation, from the formatted parts as `format_conversations` returns them (no shuffle between)."""
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return parts.select("conv_id", "formatted", "loss_spans").mapInPandas(_digests, schema)
+    return parts.select(F.col("conv_id").cast("string"), "formatted", "loss_spans").mapInPandas(_digests, schema)

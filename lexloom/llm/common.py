@@ -88,24 +88,26 @@ def free_name(columns: list[str], name: str) -> str:
 HOT_SHARE, HOT_ROWS = 4096, 256
 
 
-def hot_join(rows: DataFrame, single: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+def hot_join(rows: DataFrame, single: DataFrame, key: str | list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """`rows` joined with `single`, which has one row for each `key`; the rows of hot keys are dealt by a salt as well.
 
-    `counts` has (key, n) of `rows` where they are known; both sides should be kept tables, as they are read twice.
+    `counts` has the key and n of `rows` where they are known; both sides should be kept tables, as they are read twice.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts.select(key, "n")
-    counts = counts.where(F.col(key).isNotNull())
+    keys = [key] if isinstance(key, str) else list(key)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts.select(*keys, "n")
+    counts = counts.dropna(subset=keys)
     total, most = counts.agg(F.sum("n"), F.max("n")).first()
     limit = max(HOT_ROWS, (total or 0) // HOT_SHARE)
     if (most or 0) <= limit:
-        return rows.join(single, key, how)
-    hot = [(r[0], -(-r[1] // limit)) for r in counts.where(F.col("n") > limit).collect()]  # fewer than HOT_SHARE
-    salts = rows.sparkSession.createDataFrame(hot, T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("_salts", T.IntegerType())]))
+        return rows.join(single, keys, how)
+    hot = [(*(r[k] for k in keys), -(-r["n"] // limit)) for r in counts.where(F.col("n") > limit).collect()]  # fewer than HOT_SHARE
+    fields = [T.StructField(k, rows.schema[k].dataType) for k in keys]
+    salts = F.broadcast(rows.sparkSession.createDataFrame(hot, T.StructType([*fields, T.StructField("_salts", T.IntegerType())])))
     dealt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("_salts"))).cast("int")
-    left = rows.join(F.broadcast(salts), key, "left").withColumn("_salt", dealt).drop("_salts")
+    left = rows.join(salts, keys, "left").withColumn("_salt", dealt).drop("_salts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
-    right = single.join(F.broadcast(salts), key, "left").withColumn("_salt", copies).drop("_salts")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    right = single.join(salts, keys, "left").withColumn("_salt", copies).drop("_salts")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def slices(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

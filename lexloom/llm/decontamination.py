@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.common import Stages, byte_texts
+from lexloom.llm.common import Stages, byte_texts, free_name
 
 #: Bytes of benchmark text compiled and sent to the executors at once; a larger benchmark is searched in turns.
 CHUNK_BYTES = 2 << 20
@@ -171,32 +171,43 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = 13, chunk_
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     turns = max(1, -(-total // chunk_bytes))
-    stages = Stages(spark, "decontamination") if turns > 1 else None
-    clear = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast(T.ArrayType(_SPAN)).alias("spans"), F.array().cast("array<string>").alias("items"))
-    found = docs.withColumn("_found", clear)
+    now = free_name(docs.columns, "_found")
+    searches = []
     for turn in range(turns):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(turns)) == turn) if turns > 1 else items
         search = Search([(r.item_id, bytes(r.text or b"")) for r in mine.collect()], size)  # at most about `chunk_bytes`
-        shared = spark.sparkContext.broadcast(search)
-        found = found.withColumn("_now", _scanner(shared)(F.col("text").cast("binary")))
-        if turns == 1:
-            found = found.withColumn("_found", F.col("_now"))
-        else:
-            both = F.concat("_found.spans", "_now.spans")
-            joined = F.struct(F.col("_now.n_words").alias("n_words"), both.alias("spans"), F.array_distinct(F.concat("_found.items", "_now.items")).alias("items"))
-            found = stages.keep(found.withColumn("_found", joined).drop("_now"))
+        searches.append(spark.sparkContext.broadcast(search))
+    text = F.col("text").cast("binary")
+    if turns == 1:
+        found = docs.withColumn(now, _scanner(searches[0])(text))
+    else:
+        # each turn reads the texts and writes (row key, spans, items) of texts with hits only; equal texts share a key
+        stages = Stages(spark, "decontamination")
+        parts = None
+        for shared in searches:
+            part = docs.select(F.xxhash64("text").alias("k"), F.xxhash64(F.reverse("text")).alias("k2"), _scanner(shared)(text).alias("f"))
+            part = stages.keep(part.where(F.size("f.spans") > 0).select("k", "k2", "f.spans", "f.items").dropDuplicates(["k", "k2"]))
+            parts = part if parts is None else parts.unionByName(part)
+        merged = parts.groupBy("k", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        merged = stages.keep(merged).alias("m")
+        keyed = docs.withColumn(now, _scanner(spark.sparkContext.broadcast(Search([], size)))(text)).alias("d")  # counts words
+        keyed = keyed.join(merged, F.expr("xxhash64(d.text) = m.k AND xxhash64(reverse(d.text)) = m.k2"), "left")
+        empty = {"spans": F.array().cast(T.ArrayType(_SPAN)), "items": F.array().cast("array<string>")}
+        joined = F.struct(F.col(f"d.{now}.n_words").alias("n_words"), *[F.coalesce(f"m.{c}", e).alias(c) for c, e in empty.items()])
+        found = keyed.select(*[F.col(f"d.`{c}`") for c in docs.columns], joined.alias(now))
     # spans of several turns may overlap: words are counted once, in order
     start = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("upto"))
     step = lambda acc, s: F.struct(
         (acc.hit + F.greatest(F.lit(0), s.stop - F.greatest(s.start, acc.upto))).alias("hit"), F.greatest(acc.upto, s.stop).alias("upto")
     )
-    n_hit = F.aggregate(F.array_sort("_found.spans"), start, step, lambda acc: acc.hit)
-    outputs = {"n_words": F.col("_found.n_words"), "n_hit": n_hit, "spans": F.array_sort("_found.spans"), "items": F.array_sort("_found.items")}
-    return found.withColumns(outputs).drop("_found", "_now")
+    n_hit = F.aggregate(F.array_sort(f"{now}.spans"), start, step, lambda acc: acc.hit)
+    outputs = {"n_words": F.col(f"{now}.n_words"), "n_hit": n_hit, "spans": F.array_sort(f"{now}.spans"), "items": F.array_sort(f"{now}.items")}
+    return found.withColumns(outputs).drop(now)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
     """`docs` without those of which at least a twentieth of the words is in benchmark windows."""
-    found = find_benchmark(docs.select(*docs.columns, *[F.col(c).alias(f"_own_{c}") for c in docs.columns if c in ("n_words", "n_hit", "spans", "items")]), benchmark, size)
+    mine = free_name(docs.columns, "_row")  # the user's row in one struct, so that no name of it meets an output's
+    found = find_benchmark(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(mine), "text"), benchmark, size)
     clean = found.where((F.col("n_hit") == 0) | (20 * F.col("n_hit") < F.col("n_words")))
-    return clean.select([F.col(f"_own_{c}").alias(c) if f"_own_{c}" in clean.columns else F.col(c) for c in docs.columns])
+    return clean.select([F.col(f"{mine}.`{c}`").alias(c) for c in docs.columns])

@@ -30,8 +30,8 @@ from lexloom.llm.common import Memo, Stages, byte_texts
 WINDOW = 4096
 #: Combinations of each number of lengths above two that the least-squares problem gets, and the most lengths in one.
 PATTERNS, DEPTH = 1024, 8
-#: Cut documents whose keys may be broadcast; beyond it they are joined by a shuffle.
-BROADCAST_KEYS = 200_000
+#: Bytes of keys and parts of cut documents that may be broadcast; beyond it they are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 _TAIL = b".,!%&*#$|;:?()-"
 
 
@@ -263,7 +263,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
         F.collect_set(F.struct("start", "length", "sequence_id", "offset")).alias("parts"), F.first("doc_tokens").alias("doc_tokens")
     )
     wanted = stages.keep(wanted)
-    if wanted.count() <= BROADCAST_KEYS:
+    if (wanted.agg(F.sum(F.size("parts") * 48 + 64)).first()[0] or 0) <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
     texts = rows.alias("t").join(wanted.alias("w"), (F.expr("t.doc_id <=> w.doc_id")) & (F.expr("t.text_hash = w.text_hash")))
     texts = texts.select("t.doc_id", "t.text_hash", "t.text", "w.parts", "w.doc_tokens")

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Stages
+from lexloom.llm.common import Stages, free_name
 
 _BLANKS = "\t\n\x0b\x0c\r"
 _GRAM = 8
@@ -158,8 +158,9 @@ def clean(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     stages = Stages(docs.sparkSession, "quality-clean")
     verdicts = stages.keep(judge(docs.select("doc_id", "source", "text"), limits).where("kept").select("doc_id", "source", "text_hash", "removed"))
     verdicts = verdicts.dropDuplicates(["doc_id", "source", "text_hash"]).withColumnRenamed("removed", "removed_lines")
-    own = docs.withColumn("_text_hash", F.xxhash64("text")).alias("d")
-    same = F.expr("d.doc_id <=> v.doc_id AND d._text_hash = v.text_hash AND d.source <=> v.source")
+    mine = free_name(docs.columns, "_text_hash")
+    own = docs.withColumn(mine, F.xxhash64("text")).alias("d")
+    same = F.expr(f"d.doc_id <=> v.doc_id AND d.{mine} = v.text_hash AND d.source <=> v.source")
     both = own.join(verdicts.alias("v"), same)
     kept_lines = F.filter(F.split("d.text", "\n"), lambda x: ~F.array_contains("v.removed_lines", F.xxhash64(_normal_line(x))))
     text = F.when(F.col("v.removed_lines").isNull(), F.col("d.text")).otherwise(F.array_join(kept_lines, "\n"))

@@ -1,12 +1,16 @@
-"""Substring dedup by factors against an index of reference blocks (relative Lempel-Ziv parsing, hashed).
-
-Every window of `size` words has an anchor: its smallest 14-word hash, so equal windows have equal anchors at equal
-places. A text is parsed greedily into factors, the maximal runs of windows with one anchor; the words of a run are
-its block. All blocks of all texts are indexed by anchor. An anchor that stands alone ends there: no window of its
-factor occurs elsewhere. If all blocks of an anchor are equal, the whole factor is a duplicate. Only where blocks
-differ, at factor boundaries, are windows compared: once for each distinct block, by their hashes, weighted by how
-often the block occurs. Counts are combined before each shuffle and joins may split hot keys, so one passage in a
-third of all texts is no hot task. Hashes have 64 bits.
+"""Substring dedup: texts are parsed into factors, and each factor is held against the corpus as one reference.
+
+The dealt method is relative Lempel-Ziv parsing, which factors a document greedily by its longest matches in reference
+blocks. A longest match depends on which blocks one worker holds, and an exact result needs every text as a reference,
+so the factors here are cut by the text itself and the matching is a join: every window of `size` words has an anchor,
+its smallest 14-word hash, and the maximal runs of windows with one anchor are a text's factors; the words of a run are
+its block. Equal windows have equal anchors at equal places, so equal passages give equal factors but at their ends.
+All blocks of all texts are indexed by anchor. An anchor that stands alone ends there: no window of its factor occurs
+elsewhere. If all blocks of an anchor are equal, the whole factor is a duplicate. Only where blocks differ, at the ends
+of a repeated passage, are windows compared: once for each distinct block, within their anchor, weighted by how often
+the block occurs. Windows are equal if their anchors' and their own hashes are, 128 bits together. Counts are combined
+before each shuffle, and joins deal hot anchors, blocks and windows to several tasks, so that one passage in a third of
+all texts is no hot task.
 
 Edge cases: null and empty texts have no words; texts shorter than a window lose nothing; repeated rows are
 duplicates of each other; a repetition within one text counts; an empty table gives an empty result; very long texts
@@ -26,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.common import Stages, byte_texts, list_array, mix, word_hashes
+from lexloom.llm.common import Stages, byte_texts, free_name, hot_join, list_array, mix, word_hashes
 
 SIZE, GRAM = 35, 14
-#: Ids that may be broadcast to pick texts; beyond it they are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Bytes of ids (40 for each) that may be broadcast to pick texts; beyond it they are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 _BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
@@ -51,7 +55,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Factors:
-    """The runs of windows with one anchor of a slice of texts, in order."""
+    """The factors of a slice of texts, in order: runs of windows with one anchor."""
 
     words: list[list[bytes]]
     counts: np.ndarray
@@ -188,7 +192,7 @@ def _same(a: str, b: str):
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """One row with its text for each key of `wanted`, with the other columns of `wanted`."""
-    if wanted.count() <= BROADCAST_IDS:
+    if wanted.count() * 40 <= BROADCAST_BYTES:
         # the keys alone are broadcast; what belongs to them is joined to the texts that are left
         rows = rows.alias("r").join(F.broadcast(wanted.select(_KEY)).alias("k"), _same("r", "k"), "left_semi")
     rows = rows.dropDuplicates(_KEY)
@@ -206,8 +210,9 @@ def find_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     runs = parsed.select(*_KEY, F.posexplode(F.arrays_zip("anchors", "blocks")).alias("run", "x"))
     runs = runs.select(*_KEY, "run", F.col("x.anchors").alias("anchor"), F.col("x.blocks").alias("block"))
     index = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("block").alias("lo"), F.max("block").alias("hi"))
-    index = index.where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
-    found = stages.keep(runs.join(index, "anchor"))
+    index = stages.keep(index.where("n > 1").select("anchor", "n", (F.col("lo") != F.col("hi")).alias("mixed")))
+    found = stages.keep(hot_join(runs, index.drop("n"), "anchor", counts=index))
+    stages.drop(index)
 
     # windows of each distinct block of anchors whose blocks differ
     mixed = found.where("mixed")
@@ -218,12 +223,16 @@ def find_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     hashed = hashed.select(*_KEY, F.explode(F.arrays_zip("wanted", "hashes")).alias("x")).select(*_KEY, F.col("x.wanted").alias("run"), F.col("x.hashes").alias("hashes"))
     windows = blocks.alias("b").join(hashed.alias("h"), _same("b", "h") & F.expr("b.run = h.run"))
     windows = stages.keep(windows.select("b.anchor", "b.block", "b.n", F.posexplode("h.hashes").alias("bit", "window")))
-    twice = windows.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
-    bits = windows.join(twice, "window").groupBy("anchor", "block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    twice = windows.groupBy("anchor", "window").agg(F.sum("n").alias("times"), F.count("*").alias("n")).where("times > 1")
+    twice = stages.keep(twice.select("anchor", "window", "n"))
+    bits = hot_join(windows, twice.drop("n"), ["anchor", "window"], counts=twice).groupBy("anchor", "block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    bits = stages.keep(bits)
+    stages.drop(windows, twice, asked)
 
     marks = found.where("NOT mixed").select(*_KEY, "run", F.lit(-1).cast("long").alias("bits"))
-    marks = marks.unionByName(mixed.join(bits, ["anchor", "block"]).select(*_KEY, "run", "bits"))
+    marks = marks.unionByName(hot_join(mixed, bits, ["anchor", "block"], counts=blocks).select(*_KEY, "run", "bits"))
     marks = stages.keep(marks.groupBy(_KEY).agg(F.collect_set(F.struct("run", "bits")).alias("marks")))
+    stages.drop(found, blocks, bits)
     cut = _texts(rows, marks).withColumn("c", _cut(size)("text", "marks")).select(*_KEY, "c.*")
     cut = stages.keep(cut)
     out = parsed.select(*_KEY, "n_words", "sha256").alias("p").join(cut.alias("c"), _same("p", "c"), "left")
@@ -236,8 +245,9 @@ def find_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
 def dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """`docs` with the repeated words cut out of the texts (and n_chars, if there, counted anew)."""
     cut = find_repeats(docs.select("doc_id", "text"), size).where("kept_text IS NOT NULL").dropDuplicates(_KEY)
-    own = docs.withColumn("_text_hash", F.xxhash64("text")).alias("d")
-    both = own.join(cut.select(*_KEY, "kept_text").alias("c"), F.expr("d.doc_id <=> c.doc_id AND d._text_hash = c.text_hash"), "left")
+    mine = free_name(docs.columns, "_text_hash")
+    own = docs.withColumn(mine, F.xxhash64("text")).alias("d")
+    both = own.join(cut.select(*_KEY, "kept_text").alias("c"), F.expr(f"d.doc_id <=> c.doc_id AND d.{mine} = c.text_hash"), "left")
     text = F.coalesce("c.kept_text", "d.text")
     n_chars = F.when(F.col("c.kept_text").isNotNull(), F.length("c.kept_text")).otherwise(F.col("d.n_chars")) if "n_chars" in docs.columns else None
     new = {"text": text} | ({"n_chars": n_chars.cast(docs.schema["n_chars"].dataType)} if n_chars is not None else {})

@@ -64,3 +64,11 @@ def test_hostile_conversation_is_escaped(spark, part):
     assert spans == [C.escape(said)] and C.unescape(spans[0]) == said
     template = sum(len(f"{C.START}{role}\n{C.END}\n") for role in ("user", "assistant"))
     assert C.read_back(C.format_conversations(rows, part)).first().formatted_chars == template + 2 * (len(said) + 2)
+
+
+def test_large_ids_beside_a_null(spark):
+    ids = [(1 << 60) + 1, (1 << 60) + 2, (1 << 60) + 3, None]
+    rows = [(i, 0, "user", f"said {n}") for n, i in enumerate(ids)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    got = C.read_back(C.format_conversations(turns)).collect()
+    assert sorted((r.conv_id is None, r.conv_id or 0, r.n_turns) for r in got) == sorted((i is None, i or 0, 1) for i in ids)

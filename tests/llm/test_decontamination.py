@@ -53,5 +53,16 @@ def test_empty_benchmark_and_clashing_names(spark, documents):
     assert {r.n_words for r in kept.collect()} == {"clash"}
 
 
+@pytest.mark.parametrize("chunk", [2 << 20, 2000])
+def test_rows_whose_columns_have_inner_names(spark, monkeypatch, chunk):
+    monkeypatch.setattr(decontamination, "CHUNK_BYTES", chunk)
+    rows = [(1, "clean words only", "a", "b", "c", "d"), (2, "said so twice", "e", "f", "g", "h"), (3, None, "i", "j", "k", "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _found string, _now string, _row string, items string")
+    bench = spark.createDataFrame([(9, "said so")], "item_id long, text string")
+    kept = decontamination.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted((rows[0], rows[2]))
+    assert sorted((r._found, r._now) for r in decontamination.find_benchmark(docs, bench, chunk_bytes=4).collect()) == [("a", "b"), ("e", "f"), ("i", "j")]
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

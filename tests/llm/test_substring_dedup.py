@@ -38,7 +38,7 @@ def passages(seed=1):
 
 @pytest.mark.parametrize("broadcast", [500_000, -1])
 def test_equals_brute_force(spark, documents, broadcast, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "BROADCAST_IDS", broadcast)
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", broadcast)
     rows = [(r.doc_id, r.text) for r in documents.collect()] + passages()
     got = substring_dedup.find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = Counter(brute(rows, 35))
@@ -59,3 +59,10 @@ def test_cut_texts(spark, documents):
 
 def test_empty_table(documents):
     assert substring_dedup.find_repeats(documents.where("false")).count() == 0
+
+
+def test_rows_whose_columns_have_inner_names(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, "s", text, "mine"), (2, "s", text[::-1], "too")], "doc_id long, source string, text string, _text_hash string")
+    got = substring_dedup.dedup(docs)
+    assert got.columns == docs.columns and sorted(r._text_hash for r in got.collect()) == ["mine", "too"]
