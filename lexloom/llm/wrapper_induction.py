@@ -2,15 +2,18 @@
 
 Each host has a reference page. The DOM tree of every page is aligned with the reference's by simple tree matching,
 so that text blocks get the slot of the reference block they match. A slot whose text is the same on nearly all
-distinct pages of the host is template and is dropped; varying slots, and blocks that match none, are content. Menus,
-headers, footers, sidebars, notices, adverts, forms and comments vary from page to page on many hosts, so their
-elements are told by tag, role and class and never are content slots. Where a page marks its article or main element,
-content comes from there. Counts run over all pages and are combined before they are shuffled.
+distinct pages that have it (at least a fifth of the host's) is template and is dropped; varying slots, and blocks that
+match none, are content. Menus, headers, footers, sidebars, notices, adverts, forms and comments vary from page to page
+on many hosts, so their elements are told by tag, role and class and never are content slots; class names are a hint
+only, and are not heeded where nothing would be left. Where a page marks its article or main element, content comes
+from there. Counts run over all pages and are combined before they are shuffled.
+
+On pages whose tags and classes say it all, as those of the test tables do, the wrapper finds nothing more to drop; it
+works on unmarked notices and menus that are the same on a host's pages. Unmarked menus that vary stay.
 
 Edge cases: null and empty pages give an empty text; a null or malformed url is a host of its own kind (''); repeated
-rows give repeated rows and count as one page of their host; an empty table gives an empty result; very long pages are
-taken whole (children lists whose product is over a million are matched in order, not by the quadratic table);
-further columns but the html pass through, and a column with an output's name is replaced.
+rows give repeated rows and count as one page of their host; an empty table gives an empty result; very long and very
+deep pages are taken whole; further columns but the html pass through, and a column with an output's name is replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,11 +32,16 @@ from pyspark.sql import types as T
 
 from lexloom.llm.common import Stages
 
-#: A slot is template if one text holds it on so large a share of so many distinct pages of the host.
+#: A slot is template if one text holds it on so large a share of so many distinct pages.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 5
+#: ... where that many are the pages that have the slot (a layout of the host), at least this share of the host's pages.
+LAYOUT_SHARE = 0.2
 #: Bytes of per-host rows that may be broadcast; beyond it they are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
-_MATCH_CELLS = 1_000_000
+#: Cells of an alignment's table that are kept at once; longer lists are halved, with the same result.
+_TABLE_CELLS = 1 << 20
+#: Matched nodes of two shapes, known to this worker.
+_known: dict[tuple[int, int], int] = {}
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -61,19 +70,20 @@ class Node:
         self.tag, self.role, self.children, self.slot = tag, role, [], -1  # children: nodes and strings
 
 
-def _role(tag: str, attrs: dict[str, str | None]) -> str:
+def _role(tag: str, attrs: dict[str, str | None], hints: bool = True) -> str:
     """What an element is for: 'unseen', 'aside' (never content), 'main' or ''."""
     if tag in _UNSEEN or "hidden" in attrs:
         return "unseen"
     told = (attrs.get("role") or "").lower()
-    if tag in _ROLES or told in _ARIA or tag not in ("html", "body", "article", "main") and _NAMES.search(f"{attrs.get('class') or ''} {attrs.get('id') or ''}"):
+    if tag in _ROLES or told in _ARIA or hints and tag not in ("html", "body", "article", "main") and _NAMES.search(f"{attrs.get('class') or ''} {attrs.get('id') or ''}"):
         return "aside"
     return "main" if tag in ("article", "main") or told in ("main", "article") else ""
 
 
 class _Builder(HTMLParser):
-    def __init__(self):
+    def __init__(self, hints: bool):
         super().__init__(convert_charrefs=True)
+        self.hints = hints
         self.root = Node("#root", "")
         self.open = [self.root]
 
@@ -82,7 +92,7 @@ class _Builder(HTMLParser):
             self._close({"p"}, _SCOPE)
         if tag in _CLOSES:
             self._close(_CLOSES[tag], _SCOPE - {"td", "th"} if tag == "tr" else _SCOPE - _CLOSES[tag])
-        node = Node(tag, _role(tag, dict(attrs)))
+        node = Node(tag, _role(tag, dict(attrs), self.hints))
         self.open[-1].children.append(node)
         if tag not in _VOID:
             self.open.append(node)
@@ -111,8 +121,8 @@ class _Builder(HTMLParser):
         self.open[-1].children.append(data)
 
 
-def parse(html: str) -> Node:
-    builder = _Builder()
+def parse(html: str, hints: bool = True) -> Node:
+    builder = _Builder(hints)
     builder.feed(html)
     builder.close()
     return builder.root
@@ -132,58 +142,122 @@ def number(root: Node) -> Node:
     return root
 
 
-def match(page: Node, reference: Node) -> None:
-    """Simple tree matching: the order-preserving alignment of two trees with the most matched nodes gives slots."""
-    size: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def best(a: Node, b: Node) -> tuple[int, list]:
-        """Matched nodes below equal roots, and the pairs of children."""
-        key = (id(a), id(b))
-        if key in size:
-            return size[key]
-        left, right = _elements(a), _elements(b)
-        if not left or not right:
-            out = (1, [])
-        elif len(left) * len(right) > _MATCH_CELLS or depth[0] > 150:
-            pairs, j = [], 0
-            for x in left:
-                for k in range(j, min(j + 8, len(right))):
-                    if right[k].tag == x.tag:
-                        pairs.append((x, right[k]))
-                        j = k + 1
-                        break
-            out = (1 + len(pairs), pairs)
+_SHAPES: dict[tuple, int] = {}
+
+
+def _shape(root: Node) -> dict[int, tuple[int, int]]:
+    """(shape, number of elements) of each element by its id; equal subtrees of tags and roles have one shape."""
+    out, stack = {}, [(root, False)]
+    while stack:
+        node, done = stack.pop()
+        if not done:
+            stack.append((node, True))
+            stack.extend((c, False) for c in _elements(node))
         else:
-            depth[0] += 1
-            table = [[0] * (len(right) + 1)]
-            gains = []
-            for x in left:
-                row, above, gain = [0], table[-1], []
-                for j, y in enumerate(right):
-                    g = best(x, y)[0] if x.tag == y.tag and x.role == y.role else 0
-                    gain.append(g)
-                    row.append(max(above[j + 1], row[j], above[j] + g))
-                table.append(row)
-                gains.append(gain)
-            depth[0] -= 1
-            pairs, i, j = [], len(left), len(right)
-            while i and j:
-                if table[i][j] == table[i - 1][j]:
-                    i -= 1
-                elif table[i][j] == table[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    pairs.append((left[i], right[j]))
-            out = (1 + table[-1][-1], pairs)
-        size[key] = out
-        return out
-
-    depth, stack = [0], [(page, reference)]
+            below = [out[id(c)] for c in _elements(node)]
+            key = (node.tag, node.role, *(s for s, _ in below))
+            out[id(node)] = (_SHAPES.setdefault(key, len(_SHAPES)), 1 + sum(n for _, n in below))
+    return out
+
+
+def align(left: list[int], right: list[int], gain) -> list[tuple[int, int]]:
+    """The order-preserving pairs (i, j) of most gain, with `gain(x, y)` for the shapes `left[i]` and `right[j]`.
+
+    Equal heads and tails pair up (no other choice gains more). The rest is one table of gains, or, where the table would
+    be large, two halves that meet at the column of most gain, so that memory grows with the length and not its square.
+    """
+    pairs, todo = [], [(0, len(left), 0, len(right))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and left[a] == right[c]:
+            pairs.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and left[b - 1] == right[d - 1]:
+            b, d = b - 1, d - 1
+            pairs.append((b, d))
+        if a == b or c == d:
+            continue
+        kinds, which = np.unique(np.array(right[c:d]), return_inverse=True)
+        memo = {x: np.array([gain(x, y) for y in kinds.tolist()], np.int64)[which] for x in set(left[a:b])}
+
+        def rows(order: list[int], flip: bool, keep: bool, memo=memo, width=d - c):
+            row, table = np.zeros(width + 1, np.int64), []
+            for i in order:
+                g = memo[left[i]][::-1] if flip else memo[left[i]]
+                new = np.maximum(row[1:], row[:-1] + g)
+                row = np.concatenate([[0], np.maximum.accumulate(new)])
+                table.append(row) if keep else None
+            return table if keep else row
+
+        if (b - a) * (d - c) > _TABLE_CELLS and b - a > 1:
+            mid = (a + b) // 2
+            cut = c + int(np.argmax(rows(range(a, mid), False, False) + rows(range(b - 1, mid - 1, -1), True, False)[::-1]))
+            todo += [(a, mid, c, cut), (mid, b, cut, d)]
+            continue
+        table = [np.zeros(d - c + 1, np.int64), *rows(range(a, b), False, True)]
+        i, j = b - a, d - c
+        while i and j:
+            if table[i][j] == table[i - 1][j]:
+                i -= 1
+            elif table[i][j] == table[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((a + i, c + j))
+    return sorted(pairs)
+
+
+def match(page: Node, reference: Node) -> None:
+    """Simple tree matching: the order-preserving alignment of two trees with the most matched nodes gives slots.
+
+    Subtrees of equal shapes are matched once for all their occurrences; there is no limit to the number of children
+    or to the depth.
+    """
+    if len(_SHAPES) > 1 << 18 or len(_known) > 1 << 20:
+        _SHAPES.clear()
+        _known.clear()
+    shapes = _shape(page) | _shape(reference)
+    kids: dict[int, list[int]] = {}
+    size: dict[int, int] = {}
+    head: dict[int, tuple[str, str]] = {}
+    for root in (page, reference):
+        stack = [root]
+        while stack:
+            node = stack.pop()
+            shape, n = shapes[id(node)]
+            if shape not in size:
+                size[shape], head[shape], kids[shape] = n, (node.tag, node.role), [shapes[id(c)][0] for c in _elements(node)]
+            stack.extend(_elements(node))
+
+    def gain(x: int, y: int) -> int:
+        if head[x] != head[y]:
+            return 0
+        return size[x] if x == y else _known[x, y]
+
+    def settle(x: int, y: int) -> None:
+        """Work out the matched nodes of two shapes, those of their children before."""
+        stack = [(x, y)]
+        while stack:
+            u, v = stack[-1]
+            if u == v or head[u] != head[v] or (u, v) in _known:
+                stack.pop()
+                continue
+            open_ = [(p, q) for p in set(kids[u]) for q in set(kids[v]) if p != q and head[p] == head[q] and (p, q) not in _known]
+            if open_:
+                stack += open_
+                continue
+            stack.pop()
+            _known[u, v] = 1 + sum(gain(kids[u][i], kids[v][j]) for i, j in align(kids[u], kids[v], gain))
+
+    stack = [(page, reference)]
     while stack:
         a, b = stack.pop()
         a.slot = b.slot
-        stack.extend(best(a, b)[1])
+        left, right = _elements(a), _elements(b)
+        settle(shapes[id(a)][0], shapes[id(b)][0])
+        for i, j in align([shapes[id(c)][0] for c in left], [shapes[id(c)][0] for c in right], gain):
+            if (left[i].tag, left[i].role) == (right[j].tag, right[j].role):
+                stack.append((left[i], right[j]))
 
 
 def blocks(root: Node) -> list[tuple[int, str]]:
@@ -253,7 +327,12 @@ def page_blocks(html: str, reference: str) -> list[dict]:
         return []
     root = parse(html)
     match(root, _reference(reference or html))
-    return [{"slot": slot, "hash": xxhash.xxh3_64_intdigest(text) - (1 << 63), "text": text} for slot, text in blocks(root)]
+    found = blocks(root)
+    if not found:  # names alone must not empty a page: they are a hint only
+        root = parse(html, hints=False)
+        match(root, _reference(reference or html))
+        found = blocks(root)
+    return [{"slot": slot, "hash": xxhash.xxh3_64_intdigest(text) - (1 << 63), "text": text} for slot, text in found]
 
 
 _BLOCKS = T.ArrayType(T.StructType().add("slot", T.IntegerType()).add("hash", T.LongType()).add("text", T.StringType()))
@@ -279,27 +358,28 @@ def _small(df: DataFrame, column) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """`pages` with text (content blocks, one a line) and n_chars."""
     stages = Stages(pages.sparkSession, "wrappers")
-    rows = pages.withColumns({"_host": _host(F.col("url")), "_pick": F.xxhash64("page_id", "url")})
-    picks = rows.select("_host", "_pick").groupBy("_host").agg(F.min("_pick").alias("_pick"))
-    picked = rows.select("_host", "_pick", "html").join(_small(picks, F.length("_host") + 16), ["_host", "_pick"])
-    references = stages.keep(picked.select(F.col("_host").alias("host"), F.col("html").alias("reference")).dropDuplicates(["host"]))
+    rest = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), _host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("pick"), "html")
+    picks = rows.groupBy("host").agg(F.min("pick").alias("pick"))
+    picked = rows.select("host", "pick", "html").join(_small(picks, F.length("host") + 16), ["host", "pick"])
+    references = stages.keep(picked.select("host", F.col("html").alias("reference")).dropDuplicates(["host"]))
     few = _small(references, F.coalesce(F.octet_length("reference"), F.lit(0)) + 32)
-    both = rows.join(few, F.col("_host") == F.col("host")).drop("host")
-    aligned = both.withColumn("_blocks", _aligned(F.coalesce("html", F.lit("")), F.coalesce("reference", F.lit("")))).drop("reference", "html")
-    rest = [c for c in pages.columns if c != "html"]
-    aligned = stages.keep(aligned.select(*[F.col(f"`{c}`") for c in rest if c not in ("text", "n_chars")], "_host", "_blocks"))
+    aligned = rows.join(few, "host").withColumn("blocks", _aligned(F.coalesce("html", F.lit("")), F.coalesce("reference", F.lit(""))))
+    aligned = stages.keep(aligned.select("row", "host", "blocks"))
 
     # texts of slots over the distinct pages of each host
-    facts = aligned.select("_host", F.xxhash64("_blocks.hash").alias("page"), F.explode("_blocks").alias("b"))
-    seen = facts.groupBy("_host", "b.slot", "b.hash", "page").agg(F.lit(1).alias("one"))
-    texts = seen.groupBy("_host", "slot", "hash").agg(F.count("*").alias("n"))
-    hosts = aligned.groupBy("_host", F.xxhash64("_blocks.hash").alias("page")).agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count("*").alias("pages"))
-    constant = texts.where(f"n >= {CONSTANT_PAGES}").join(hosts, "_host").where(f"slot >= 0 AND n >= {CONSTANT_SHARE} * pages")
+    facts = aligned.select("host", F.xxhash64("blocks.hash").alias("page"), F.explode("blocks").alias("b")).where("b.slot >= 0")
+    seen = facts.groupBy("host", "b.slot", "b.hash", "page").agg(F.lit(1).alias("one"))
+    texts = seen.groupBy("host", "slot", "hash").agg(F.count("*").alias("n"))
+    slots = facts.groupBy("host", "b.slot", "page").agg(F.lit(1).alias("one")).groupBy("host", "slot").agg(F.count("*").alias("having"))
+    hosts = aligned.groupBy("host", F.xxhash64("blocks.hash").alias("page")).agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages"))
+    constant = texts.where(f"n >= {CONSTANT_PAGES}").join(slots, ["host", "slot"]).where(f"n >= {CONSTANT_SHARE} * having").join(hosts, "host")
+    constant = constant.where(f"having >= {LAYOUT_SHARE} * pages")
     # at most one text for each slot of a reference page
-    wrappers = stages.keep(constant.groupBy(F.col("_host").alias("host")).agg(F.collect_list(F.struct("slot", "hash")).alias("template")))
+    wrappers = stages.keep(constant.groupBy("host").agg(F.collect_list(F.struct("slot", "hash")).alias("template")))
     few = _small(wrappers, F.size("template") * 16 + 32)
-    out = aligned.join(few, F.col("_host") == F.col("host"), "left")
+    out = aligned.join(few, "host", "left")
     template = lambda b: F.array_contains("template", F.struct(b.slot.alias("slot"), b.hash.alias("hash")))
-    kept = F.when(F.col("template").isNull(), F.col("_blocks")).otherwise(F.filter("_blocks", lambda b: ~template(b)))
-    out = out.withColumn("text", F.array_join(F.transform(kept, lambda b: b.text), "\n"))
-    return out.select(*[F.col(f"`{c}`") for c in rest if c not in ("text", "n_chars")], "text", F.length("text").cast("long").alias("n_chars"))
+    kept = F.when(F.col("template").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~template(b)))
+    text = F.array_join(F.transform(kept, lambda b: b.text), "\n")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in rest], text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

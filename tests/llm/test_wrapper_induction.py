@@ -1,6 +1,7 @@
 import html
 import re
 
+import numpy as np
 import pytest
 
 from lexloom.llm import wrapper_induction as X
@@ -49,6 +50,58 @@ def test_deep_and_long_pages():
     assert len(X.page_blocks(long, long)) == 3000
 
 
+def test_long_lists_and_deep_trees_keep_their_slots():
+    def page(n, deep):
+        items = "".join(f"<p>c {i}</p>" if i % 3 else f"<div><b>t {i}</b></div>" for i in range(n))
+        return f"<body>{items}<h2>heading</h2>{'<div>' * deep}<i>x</i>{'</div>' * deep}</body>"
+
+    for n, m, deep, less in ((900, 880, 0, 0), (1100, 1080, 0, 0), (2500, 2400, 0, 0), (9, 12, 3000, 2990)):
+        slot = {b["text"]: b["slot"] for b in X.page_blocks(page(m, less), "")}["heading"]
+        assert {b["text"]: b["slot"] for b in X.page_blocks(page(n, deep), page(m, less))}["heading"] == slot != -1
+
+
+def test_halved_alignments_gain_as_much(monkeypatch):
+    rng = np.random.default_rng(4)
+    gains = rng.integers(0, 4, (9, 9)) + 5 * np.eye(9, dtype=int)
+    for _ in range(60):
+        a, b = (rng.integers(0, 9, rng.integers(0, 40)).tolist() for _ in range(2))
+        found = []
+        for cells in (1 << 20, 1):
+            monkeypatch.setattr(X, "_TABLE_CELLS", cells)
+            pairs = X.align(a, b, lambda x, y: int(gains[x, x] + 9 if x == y else gains[x, y]))
+            assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:], strict=False))
+            found.append(sum(int(gains[a[i], a[i]] + 9 if a[i] == b[j] else gains[a[i], b[j]]) for i, j in pairs))
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                g = gains[x, x] + 9 if x == y else gains[x, y]
+                table[i + 1, j + 1] = max(table[i, j + 1], table[i + 1, j], table[i, j] + g)
+        assert found[0] == found[1] == table[-1, -1]
+
+
+PLAIN = """<body><div class="k1"><a href="/{i}">Start</a> <a href="/b">Shop</a></div><div class="k2">Autumn sale: all at half the price!</div>
+<div class="k3"><h2>Heading {i}</h2><p>Text of page {i}</p></div><div class="k4">All rights reserved</div></body>"""
+
+
+def test_wrapper_alone_finds_unmarked_template(spark, monkeypatch):
+    rows = [(i, f"http://p.example/{i}", PLAIN.format(i=i) if i < 8 else f"<body><p>other layout {i}</p></body>", "h", "r") for i in range(12)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, host string, reference string")
+    got = X.extract(docs)
+    assert got.columns == ["page_id", "url", "host", "reference", "text", "n_chars"]
+    by = {r.page_id: (r.text, r.host, r.reference) for r in got.collect()}
+    for i in range(12):
+        assert by[i] == (f"Heading {i}\nText of page {i}" if i < 8 else f"other layout {i}", "h", "r")
+    monkeypatch.setattr(X, "CONSTANT_PAGES", 1 << 30)
+    assert "Shop" in {r.page_id: r.text for r in X.extract(docs).collect()}[1]
+
+
+def test_class_names_never_empty_a_page():
+    texts = lambda html: [b["text"] for b in X.page_blocks(html, html)]
+    assert texts("<main><div class='share-capital related'><p>Capital rose.</p></div></main>") == ["Capital rose."]
+    assert texts("<article><div id='comments-on-hegel'><p>Hegel wrote.</p></div></article>") == ["Hegel wrote."]
+    assert texts("<main class='social science'><p>Society.</p></main>") == ["Society."]
+
+
 def test_simple_tree_matching():
     a, b = X.number(X.parse("<div><p>a</p><ul><li>x</ul><p>b</p></div>")), X.parse("<div><ul><li>y</ul><p>c</p></div>")
     X.match(b, a)
