@@ -42,7 +42,7 @@ BROADCAST_BYTES = 8 << 20
 ORDER_ROWS, ORDER_MOST = 4000, 1 << 17
 #: Rounds with leaders at most; the largest tile whose pairs are listed by a join; sets in a block of a larger one, and
 #: shingles in one at most (a set that is larger is alone with one other).
-ROUNDS, LISTED, BLOCK_SETS, BLOCK_SHINGLES = 3, 128, 2048, 8_000_000
+ROUNDS, LISTED, BLOCK_SETS, BLOCK_SHINGLES = 2, 128, 2048, 8_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -108,8 +108,8 @@ def prefix_keys(sets: list[np.ndarray], rule: Rule, frequent: np.ndarray) -> tup
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """A hashed bitmap of two to four bits for each shingle, as 64-bit words; halves fold on to each other."""
-    bits = 1 << max(6, (2 * max(1, len(shingles)) - 1).bit_length())
+    """A hashed bitmap of four to eight bits for each shingle, as 64-bit words; halves fold on to each other."""
+    bits = 1 << max(6, (4 * max(1, len(shingles)) - 1).bit_length())
     out = np.zeros(bits // 8, np.uint8)
     at = (shingles & np.uint64(bits - 1)).astype(np.int64)
     np.bitwise_or.at(out, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
@@ -291,12 +291,13 @@ def _verified(pairs: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages
 def _links(tiles: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages: Stages) -> DataFrame:
     """Pairs (a, b) of classes that link, enough of them to connect whatever links; `tiles` has (key, node, n).
 
-    While there are large tiles, the classes of each are compared with its leader, the class of the least hash, which
-    is the same one in most tiles of a group; pairs within a component found so far need no comparison.
+    While there are large tiles, the classes of each are compared with its leader, the class that stands in most tiles,
+    as the centre of a group of near copies does; pairs within a component found so far need no comparison.
     """
     fits = f"100 * least({{0}}.n, {{1}}.n) >= {rule.percent} * greatest({{0}}.n, {{1}}.n)"
-    rows, edges = tiles.withColumn("label", F.col("node")), None
-    leader = [F.count("*").alias("size"), F.min(F.struct("node", "n", "label")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("n").alias("most")]
+    rows = tiles.join(tiles.groupBy("node").agg(F.count("*").alias("degree")), "node").withColumn("label", F.col("node"))
+    rows, edges = stages.keep(rows), None
+    leader = [F.count("*").alias("size"), F.max(F.struct("degree", "node", "n", "label")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("n").alias("most")]
     for turn in range(ROUNDS + 1):
         told = rows.groupBy("key").agg(*leader).where("lo <> hi")
         told = stages.keep(told.select("key", F.col("size").alias("n"), F.col("x.node").alias("leader"), F.col("x.n").alias("leader_n"), F.col("x.label").alias("leader_label"), "size", "most"))
@@ -309,9 +310,9 @@ def _links(tiles: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages: S
         found = _verified(pairs, maps, sets, rule, stages)
         edges = found if edges is None else edges.unionByName(found)
         labels = connected_components(edges, stages)
-        rest = led.where("node <> leader").select("key", "node", "n").join(labels, "node", "left")
+        rest = led.where("node <> leader").select("key", "node", "n", "degree").join(labels, "node", "left")
         rest = stages.keep(rest.withColumn("label", F.coalesce("label", "node")))
-        stages.drop(led, pairs, told, rows if turn else tiles)
+        stages.drop(led, pairs, told, rows)
         rows = rest
     if largest is not None:
         sized = stages.keep(hot_join(rows, told.select("key", "size", "most"), "key", counts=told))
