@@ -107,5 +107,5 @@ def test_lines_in_documents_that_are_mostly_boilerplate(spark):
 def test_rows_whose_columns_have_inner_names(spark):
     text = " ".join(f"word{i}" for i in range(60))
     docs = spark.createDataFrame([(1, "s", text, "mine"), (2, "s", text[::-1], "too")], "doc_id long, source string, text string, _text_hash string")
-    got = quality_rules.clean(docs)
+    got = Q.clean(docs)
     assert got.columns == docs.columns and sorted(r._text_hash for r in got.collect()) == ["mine", "too"]
