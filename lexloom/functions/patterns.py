@@ -30,3 +30,13 @@ MARKDOWN_HEADING = r"^(#{1,6})[ \t]+(.*)$"
 # Levels of compliance and defaults of search, grading and chunking.
 LEVELS = ["cumple", "parcial", "omision", "no_aplica"]
 TOP_K, TOP_N, MIN_SCORE, OVERFETCH, MAX_TOKENS, MISSING_SCORE = 5, 3, 0.30, 5, 512, 0.5
+
+# The second style of parsing, and the texts around the articles that an analysis reads.
+VARIANT_HEADING = HEADING.replace("|ÚNICO)", "|Único|ÚNICO)")
+VARIANT_RESOLUTION = r"(?:^|\n)[ \t]{0,4}(CONSIDERANDO|RESUELVE|CERTIFICA|DISPONE)[ \t]*:"
+VARIANT_TITLE_END = r"Art(?:ículo|\.)[ \t]+\d.*$"
+VARIANT_TITLE_WORDS = ["LEY", "RESOLUCIÓN", "RESOLUCION", "PROYECTO", "REGLAMENTO", "DECRETO"]
+MONTH_DATE = r"(\d{1,2})\s+de\s+(" + "|".join(MONTHS) + r")\s+de\s+(\d{4})"
+NO_TITLE, NO_SECTION = "Sin título", "(sin sección)"
+CITED_TITLE, NEAR_TITLE = "COINCIDENCIAS LÉXICAS:\n", "CANDIDATOS SEMÁNTICOS VALIDADOS:\n"
+NO_REFERENCES = "Sin artículos normativos relevantes identificados."

@@ -32,3 +32,14 @@ def strip_repeated_lines(docs: DataFrame, text: str = "md", least: int = 3, long
     kept = lines.withColumn("n", times).where(f"key = '' OR n < {least} OR length(key) > {longest}")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x.line), "\n")
     return kept.groupBy("doc_id").agg(joined.alias(text))
+
+
+def cleaning_chain(docs: DataFrame, text: str = "md") -> DataFrame:
+    """The whole cleaning in its order: repeated lines, then tabs, artifact lines and runs of spaces."""
+    cleaned = strip_repeated_lines(docs, text)
+    return cleaned.withColumn(text, clean_text(F.col(text)))
+
+
+def collapse_lines(text: Column) -> Column:
+    """Three line breaks and more to two."""
+    return F.regexp_replace(text, "\n{3,}", "\n\n")

@@ -100,6 +100,39 @@ def coverage(articles: DataFrame, links: DataFrame) -> DataFrame:
     return counts.select("articulos", "cubiertos", (F.col("articulos") - F.col("cubiertos")).alias("sin_cobertura"), share.alias("porcentaje"))
 
 
+def adoption(articles: DataFrame, links: DataFrame, enough: float = 0.5) -> DataFrame:
+    """(element_id, secciones, mejor_seccion, nivel_adopcion): the comparison from the articles' side.
+
+    The best of the links (element_id, chunk_id, score) decides; citations of other norms need no section. Of equal
+    scores the smallest section is named.
+    """
+    best = F.max_by("chunk_id", F.struct("score", -F.col("chunk_id")))
+    per = links.groupBy("element_id").agg(F.count("*").alias("secciones"), F.max("score").alias("score"), best.alias("mejor_seccion"))
+    level = F.when(F.col("es_referencia"), "no_aplica").when(F.col("secciones").isNull(), "no_cubierto").when(F.col("score") >= enough, "cubierto").otherwise("parcial")
+    both = articles.select("element_id", "es_referencia").join(per, "element_id", "left")
+    return both.select("element_id", F.coalesce("secciones", F.lit(0)).alias("secciones"), "mejor_seccion", level.alias("nivel_adopcion"))
+
+
+def own_articles(articles: DataFrame, blocks: list[str] | None = None) -> DataFrame:
+    """Articles that are no citations of other norms, of the named blocks only where some are named."""
+    own = articles.where(~F.coalesce("es_referencia", F.lit(False)))
+    return own if blocks is None else own.where(F.col("tipo_bloque").isin(blocks))
+
+
+def value_counts(rows: DataFrame, *columns: str) -> DataFrame:
+    """(columna, valor, n): how often each value of each column stands; null values are not counted."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("columna"), F.col(c).cast("string").alias("valor")) for c in columns]))
+    each = rows.select(pairs.alias("x")).select("x.*").where("valor IS NOT NULL")
+    return each.groupBy("columna", "valor").agg(F.count("*").alias("n"))
+
+
+def column_widths(rows: DataFrame, most: int = 70) -> DataFrame:
+    """(columna, ancho): the longest text of each column, its name included, and four more, at most `most`."""
+    longest = rows.agg(*[F.max(F.length(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))).alias(f"w{i}") for i, c in enumerate(rows.columns)])
+    width = lambda i, c: F.least(F.greatest(F.coalesce(f"w{i}", F.lit(0)), F.lit(len(c))) + 4, F.lit(most))
+    return longest.select(F.explode(F.array(*[F.struct(F.lit(c).alias("columna"), width(i, c).alias("ancho")) for i, c in enumerate(rows.columns)])).alias("x")).select("x.*")
+
+
 def review_reasons(score: Column, relevant: Column, n_lexical: Column, level: Column, n_gaps: Column, least: float = P.MIN_SCORE, delta: float = 0.05) -> Column:
     """Why a section should be reviewed by hand, in a fixed order."""
     near = F.when((score >= least - delta) & (score <= least + delta), "umbral")

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions import patterns as P
-from lexloom.functions.text import strip
+from lexloom.functions.text import collapse_lines, strip
 
 FLAGS = {"article": "(?dmiu)", "heading": "(?dm)", "provision": "(?dmiu)", "annex": "(?dmiu)", "resolution": "(?dm)"}
 
@@ -162,6 +162,70 @@ def variant(docs: DataFrame) -> DataFrame:
     return with_section(arts, marks, last=1).join(docs.select("doc_id", kind.alias("tipo_norma")), "doc_id")
 
 
+def variant_marks(docs: DataFrame) -> DataFrame:
+    """(doc_id, posicion, label) of the second style: kind in capitals, name and a title of at most 80 characters; a
+    title ends where an article starts on its line."""
+    pattern = FLAGS["heading"] + P.VARIANT_HEADING
+    group = lambda i: strip(F.regexp_extract("match", pattern, i))
+    title = F.substring(strip(F.regexp_replace(group(3), P.VARIANT_TITLE_END, "")), 1, 80)
+    out = parts(docs, pattern).select("doc_id", "posicion", F.concat_ws(" ", F.upper(group(1)), group(2), F.nullif(title, F.lit(""))).alias("label"))
+    for other in (FLAGS["provision"] + P.PROVISION, FLAGS["resolution"] + P.VARIANT_RESOLUTION):
+        label = F.upper(strip(F.regexp_extract("match", other, 1)))
+        out = out.unionByName(parts(docs, other).select("doc_id", "posicion", label.alias("label")))
+    return out
+
+
+def _variant_bodies(rows: DataFrame, longest: int, most: int) -> DataFrame:
+    """contenido from tail: a document's last one ends after `longest` characters, all are cut at `most`."""
+    last = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("seq"))) == 1
+    body = F.when(last, F.substring("tail", 1, longest)).otherwise(F.col("tail"))
+    return rows.withColumn("contenido", F.substring(collapse_lines(strip(body)), 1, most))
+
+
+def variant_articles(docs: DataFrame) -> DataFrame:
+    """(doc_id, posicion, seq, numero, encabezado, contenido, seccion) in the second style; the section is the single
+    latest mark, and a missing header is null."""
+    pattern = FLAGS["article"] + P.VARIANT_ARTICLE
+    rows = _variant_bodies(parts(docs, pattern), 4000, 3500)
+    header = F.nullif(strip(F.regexp_extract("match", pattern, 2)), F.lit(""))
+    rows = rows.select("doc_id", "seq", F.regexp_extract("match", pattern, 1).alias("numero"), header.alias("encabezado"), "contenido", "posicion")
+    return with_section(rows, variant_marks(docs), last=1)
+
+
+def variant_annexes(docs: DataFrame) -> DataFrame:
+    """(doc_id, seq, identificador, titulo, contenido): an annex reaches to the next one, the last 6000 characters."""
+    pattern = FLAGS["annex"] + P.ANNEX
+    rows = _variant_bodies(parts(docs, pattern), 6000, 6000)
+    group = lambda i: strip(F.regexp_extract("match", pattern, i))
+    return rows.select("doc_id", "seq", F.upper(group(1)).alias("identificador"), group(2).alias("titulo"), "contenido")
+
+
+def variant_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, titulo, tipo_norma, fecha, n_articulos, n_secciones, n_anexos) in the second style."""
+    lines = F.transform(F.split("md", "\n", -1), strip)
+    named = F.filter(F.slice(lines, 1, 30), lambda x: (F.length(x) > 15) & F.exists(F.array(*map(F.lit, P.VARIANT_TITLE_WORDS)), lambda w: F.contains(F.upper(x), w)))
+    title = F.coalesce(F.get(named, F.lit(0)), F.get(F.filter(lines, lambda x: x != ""), F.lit(0)), F.lit(P.NO_TITLE))
+    head = F.upper(F.substring("md", 1, 800))
+    kind = F.coalesce(*[F.when(F.contains(head, F.lit(k)), k) for k in P.VARIANT_KINDS], F.lit("NORMATIVA"))
+    date = F.regexp_extract(F.substring("md", 1, 3000), "(?i)\\b" + P.MONTH_DATE + "\\b", 0)
+    group = lambda i: F.regexp_extract(date, "(?i)" + P.MONTH_DATE, i)
+    date = F.when(date == "", "").otherwise(F.concat_ws(" de ", group(1), F.lower(group(2)), group(3)))
+    out = docs.select("doc_id", F.substring(title, 1, 300).alias("titulo"), kind.alias("tipo_norma"), date.alias("fecha"))
+    found = {"n_articulos": parts(docs, FLAGS["article"] + P.VARIANT_ARTICLE), "n_secciones": variant_marks(docs), "n_anexos": parts(docs, FLAGS["annex"] + P.ANNEX)}
+    for name, rows in found.items():
+        out = out.join(rows.groupBy("doc_id").agg(F.count("*").alias(name)), "doc_id", "left")
+    return out.fillna(0, list(found))
+
+
+def overlapping(rows: DataFrame, words: str, size: int = 128, overlap: int = 32) -> DataFrame:
+    """`rows` once for each window of `size` words, each of which repeats the last `overlap` words of the one before;
+    (ventana, texto) instead of the array `words`. The other columns tell the parent."""
+    step = size - overlap
+    windows = F.greatest(F.lit(1), F.ceil((F.size(words) - overlap) / step)).cast("int")
+    each = rows.withColumn("ventana", F.explode(F.sequence(F.lit(0), windows - 1)))
+    return each.withColumn("texto", F.array_join(F.slice(words, F.col("ventana") * step + 1, size), " ")).drop(words)
+
+
 def heading_chunks(docs: DataFrame, most: int = P.MAX_TOKENS) -> DataFrame:
     """(doc_id, chunk, heading_path, texto, n_tokens, embed_text): words between headings in runs of at most `most`.
 

@@ -68,6 +68,20 @@ def filter_source(found: DataFrame, wanted: DataFrame, sources: DataFrame) -> Da
     return both.withColumn("rank", F.row_number().over(order))
 
 
+def filter_source_like(found: DataFrame, part: str, k: int = P.TOP_K) -> DataFrame:
+    """Of candidates (more than k were searched), the k best whose source holds `part`, in any case."""
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "element_id")
+    kept = found.where(F.contains(F.lower("source"), F.lit(part.lower())))
+    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def parents(found: DataFrame, parent: str) -> DataFrame:
+    """Candidates that are parts, as their parents: each with its best part's score, ranked anew."""
+    best = found.groupBy("query_id", parent).agg(F.max("score").alias("score"))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), parent)
+    return best.withColumn("rank", F.row_number().over(order))
+
+
 def rerank(candidates: DataFrame, n: int = P.TOP_N) -> DataFrame:
     """The n best by reranker_score; equal scores keep their order."""
     order = W.partitionBy("query_id").orderBy(F.desc("reranker_score"), "rank")
