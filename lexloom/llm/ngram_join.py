@@ -3,8 +3,8 @@
 Equal shingle sets are one class. All shingles have one total order, in which those that are frequent in a sample come
 last (the sample decides the speed only, never the result). Two sets that link must share one of their first
 `n - ceil(threshold * n) + 1` shingles in that order: these are a set's keys. Classes are banded by set size, so that
-sets that can link by their sizes meet in a band; the classes with one key in one band are a tile. While there are large
-tiles, in a few rounds every class of a tile is compared with one leader; this joins a group of near copies in time
+sets that can link by their sizes meet in a band; the classes with one key in one band are a tile. In a few rounds
+every class of a large tile is compared with one leader; this joins a group of near copies in time
 linear in its size. Pairs of a tile that no leader has joined are then all compared, in blocks of bounded size where
 the tile is large. Each pair is first bounded from above by the bit counts of hashed
 bitmaps; only what passes has its sorted arrays intersected. No tile, bucket or number of partners is capped, and
@@ -288,45 +288,66 @@ def _verified(pairs: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages
     return found
 
 
+def _labelled(rows: DataFrame, maps: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """`rows` with the label of their node: that of its component, or the node itself. One way at every size."""
+    named = maps.select("node", F.lit(None).cast("long").alias("label"))
+    named = named if labels is None else named.unionByName(labels)
+    named = named.groupBy("node").agg(F.coalesce(F.max("label"), "node").alias("label"))
+    return rows.drop("label").join(named, "node")
+
+
 def _links(tiles: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages: Stages) -> DataFrame:
     """Pairs (a, b) of classes that link, enough of them to connect whatever links; `tiles` has (key, node, n).
 
-    While there are large tiles, the classes of each are compared with its leader, the class that stands in most tiles,
-    as the centre of a group of near copies does; pairs within a component found so far need no comparison.
+    The classes of a large tile are compared with its leader, the class that stands in most of the large tiles, as the
+    centre of a group of near copies does; what is still large after that gets a new leader. Pairs within a component
+    found so far need no comparison. Small tiles take no part in these rounds.
     """
     fits = f"100 * least({{0}}.n, {{1}}.n) >= {rule.percent} * greatest({{0}}.n, {{1}}.n)"
-    rows = tiles.join(tiles.groupBy("node").agg(F.count("*").alias("degree")), "node").withColumn("label", F.col("node"))
-    rows, edges = stages.keep(rows), None
-    leader = [F.count("*").alias("size"), F.max(F.struct("degree", "node", "n", "label")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("n").alias("most")]
-    for turn in range(ROUNDS + 1):
-        told = rows.groupBy("key").agg(*leader).where("lo <> hi")
-        told = stages.keep(told.select("key", F.col("size").alias("n"), F.col("x.node").alias("leader"), F.col("x.n").alias("leader_n"), F.col("x.label").alias("leader_label"), "size", "most"))
-        largest = told.agg(F.max("n")).first()[0]
-        if largest is None or largest <= LISTED or turn == ROUNDS:
-            break
-        led = stages.keep(hot_join(rows, told.drop("n", "size", "most"), "key", counts=told))
-        pairs = led.where("node <> leader AND label <> leader_label").where(f"100 * least(n, leader_n) >= {rule.percent} * greatest(n, leader_n)")
-        pairs = stages.keep(pairs.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
-        found = _verified(pairs, maps, sets, rule, stages)
-        edges = found if edges is None else edges.unionByName(found)
-        labels = connected_components(edges, stages)
-        rest = led.where("node <> leader").select("key", "node", "n", "degree").join(labels, "node", "left")
-        rest = stages.keep(rest.withColumn("label", F.coalesce("label", "node")))
-        stages.drop(led, pairs, told, rows)
-        rows = rest
-    if largest is not None:
-        sized = stages.keep(hot_join(rows, told.select("key", "size", "most"), "key", counts=told))
-        small = sized.where(f"size <= {LISTED}").select("key", "node", "n", "label")
-        listed = small.alias("x").join(small.alias("y"), F.expr(f"x.key = y.key AND x.node < y.node AND x.label <> y.label AND {fits.format('x', 'y')}"))
-        listed = listed.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        if largest > LISTED:
-            listed = listed.unionByName(_blocked_pairs(sized.where(f"size > {LISTED}"), maps, rule))
-        pairs = stages.keep(listed.distinct())
-        found = _verified(pairs, maps, sets, rule, stages)
-        edges = found if edges is None else edges.unionByName(found)
-        stages.drop(sized, pairs)
-    stages.drop(told)
-    return edges if edges is not None else tiles.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+    size = [F.count("*").alias("size"), F.max("n").alias("most")]
+    told = stages.keep(tiles.groupBy("key").agg(*size).where("size > 1").select("key", F.col("size").alias("n"), "size", "most"))
+    largest = told.agg(F.max("n")).first()[0]
+    if largest is None:
+        stages.drop(told)
+        return tiles.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+    sized = stages.keep(hot_join(tiles, told.drop("n"), "key", counts=told))
+    small, edges, labels, listed = sized.where(f"size <= {LISTED}"), None, None, []
+
+    def pairs_of(rows: DataFrame) -> DataFrame:
+        both = rows.alias("x").join(rows.alias("y"), F.expr(f"x.key = y.key AND x.node < y.node AND x.label <> y.label AND {fits.format('x', 'y')}"))
+        return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+    kept = []
+    if largest > LISTED:
+        large = sized.where(f"size > {LISTED}").select("key", "node", "n")
+        rows = stages.keep(_labelled(large.join(large.groupBy("node").agg(F.count("*").alias("degree")), "node"), maps, None))
+        for _ in range(ROUNDS):
+            leader = [F.count("*").alias("n"), F.max(F.struct("degree", "node", "n", "label")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi")]
+            led_by = rows.groupBy("key").agg(*leader).where(f"lo <> hi AND n > {LISTED}")
+            led_by = stages.keep(led_by.select("key", "n", F.col("x.node").alias("leader"), F.col("x.n").alias("leader_n"), F.col("x.label").alias("leader_label")))
+            if not led_by.limit(1).count():
+                stages.drop(led_by)
+                break
+            led = hot_join(rows, led_by.drop("n"), "key", counts=led_by).where(f"node <> leader AND label <> leader_label AND 100 * least(n, leader_n) >= {rule.percent} * greatest(n, leader_n)")
+            pairs = stages.keep(led.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
+            found = _verified(pairs, maps, sets, rule, stages)
+            edges = found if edges is None else edges.unionByName(found)
+            labels = connected_components(edges, stages)
+            others = rows.join(led_by.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")  # a leader is done in its tile
+            rest = stages.keep(_labelled(others, maps, labels))
+            stages.drop(pairs, led_by, rows)
+            rows = rest
+        left = stages.keep(rows.groupBy("key").agg(*size, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", F.col("size").alias("n"), "size", "most"))
+        rest = stages.keep(hot_join(rows, left.drop("n"), "key", counts=left))
+        listed.append(_blocked_pairs(rest, maps, rule))
+        kept = [rows, left, rest]
+    small = stages.keep(_labelled(small, maps, labels).select("key", "node", "n", "label"))
+    listed.insert(0, pairs_of(small))
+    pairs = listed[0] if len(listed) == 1 else listed[0].unionByName(listed[1])
+    pairs = stages.keep(pairs.distinct())
+    found = _verified(pairs, maps, sets, rule, stages)
+    stages.drop(told, sized, small, pairs, *kept)
+    return found if edges is None else edges.unionByName(found)
 
 
 def _blocked_pairs(large: DataFrame, maps: DataFrame, rule: Rule) -> DataFrame:
