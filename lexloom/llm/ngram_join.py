@@ -231,14 +231,21 @@ class _Sets:
         return self.known
 
 
-def _banded(rows: DataFrame, rule: Rule) -> DataFrame:
-    """`rows` (key, node, n) by key and band of sizes.
+def _band(rule: Rule):
+    """The band of a set's size: as wide as the sizes of two sets that link may differ."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / rule.percent) * 1.000001)).cast("long")
 
-    A band is as wide as the sizes of two sets that link may differ, and a set stands in its band and the next one: so
-    two that may link meet in a band.
+
+def _banded(rows: DataFrame) -> DataFrame:
+    """`rows` (key, node, n, band, top) by key and band of sizes: (key, node, n, home).
+
+    A set is at home in its band and visits the next one: so two that may link meet in the higher of their bands, where
+    one of them at least is at home. In no band above `top`, the highest with this key, is a set at home.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / rule.percent) * 1.000001)).cast("long")
-    return rows.withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("key", "band").alias("key"), "node", "n")
+    home = lambda band, own: F.struct(band.alias("band"), F.lit(own).alias("home"))
+    band = F.col("band")
+    at = F.when(band < F.col("top"), F.array(home(band, True), home(band + 1, False))).otherwise(F.array(home(band, True)))
+    return rows.withColumn("at", F.explode(at)).select(F.xxhash64("key", "at.band").alias("key"), "node", "n", F.col("at.home").alias("home"))
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -256,9 +263,9 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     one = ["h1", "h2", "doc_id", "text_hash"]
     firsts = keyed.join(classes, one, "left_semi").dropDuplicates(one).select(F.col("h1").alias("node"), "n", "keys", "bits")
     firsts = stages.keep(firsts)
-    rows = firsts.select(F.explode("keys").alias("key"), "node", "n")
-    shared = stages.keep(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    tiles = stages.keep(_banded(hot_join(rows, shared.select("key"), "key", counts=shared), rule))
+    rows = firsts.select(F.explode("keys").alias("key"), "node", "n", _band(rule).alias("band"))
+    shared = stages.keep(rows.groupBy("key").agg(F.count("*").alias("n"), F.max("band").alias("top")).where("n > 1"))
+    tiles = stages.keep(_banded(hot_join(rows, shared.drop("n"), "key", counts=shared)))
     stages.drop(shared)
     edges = _links(tiles, firsts.select("node", "n", "bits"), _Sets(hashed, classes, rule, stages), rule, stages)
     labels = connected_components(edges, stages)
@@ -297,7 +304,8 @@ def _labelled(rows: DataFrame, maps: DataFrame, labels: DataFrame | None) -> Dat
 
 
 def _links(tiles: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages: Stages) -> DataFrame:
-    """Pairs (a, b) of classes that link, enough of them to connect whatever links; `tiles` has (key, node, n).
+    """Pairs (a, b) of classes that link, enough of them to connect whatever links; `tiles` has (key, node, n,
+    home).
 
     The classes of a large tile are compared with its leader, the class that stands in most of the large tiles, as the
     centre of a group of near copies does; what is still large after that gets a new leader. Pairs within a component
@@ -305,7 +313,7 @@ def _links(tiles: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages: S
     """
     fits = f"100 * least({{0}}.n, {{1}}.n) >= {rule.percent} * greatest({{0}}.n, {{1}}.n)"
     size = [F.count("*").alias("size"), F.max("n").alias("most")]
-    told = stages.keep(tiles.groupBy("key").agg(*size).where("size > 1").select("key", F.col("size").alias("n"), "size", "most"))
+    told = stages.keep(tiles.groupBy("key").agg(*size, F.max("home").alias("home")).where("size > 1 AND home").select("key", F.col("size").alias("n"), "size", "most"))
     largest = told.agg(F.max("n")).first()[0]
     if largest is None:
         stages.drop(told)
@@ -314,7 +322,7 @@ def _links(tiles: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages: S
     small, edges, labels, listed = sized.where(f"size <= {LISTED}"), None, None, []
 
     def pairs_of(rows: DataFrame) -> DataFrame:
-        both = rows.alias("x").join(rows.alias("y"), F.expr(f"x.key = y.key AND x.node < y.node AND x.label <> y.label AND {fits.format('x', 'y')}"))
+        both = rows.alias("x").join(rows.alias("y"), F.expr(f"x.key = y.key AND x.node < y.node AND (x.home OR y.home) AND x.label <> y.label AND {fits.format('x', 'y')}"))
         return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
     kept = []
@@ -341,7 +349,7 @@ def _links(tiles: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages: S
         rest = stages.keep(hot_join(rows, left.drop("n"), "key", counts=left))
         listed.append(_blocked_pairs(rest, maps, rule))
         kept = [rows, left, rest]
-    small = stages.keep(_labelled(small, maps, labels).select("key", "node", "n", "label"))
+    small = stages.keep(_labelled(small, maps, labels).select("key", "node", "n", "home", "label"))
     listed.insert(0, pairs_of(small))
     pairs = listed[0] if len(listed) == 1 else listed[0].unionByName(listed[1])
     pairs = stages.keep(pairs.distinct())
