@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat_format, decontamination, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, url_filters, wrapper_induction
+from lexloom.llm import chat_format, decontamination, divergence, fingerprints, merkle, ngram_join, packing, quality_classifier, quality_rules, substring_dedup
+from lexloom.llm import token_counts, url_filters, wrapper_induction
 
 TOKEN_MODEL, PACKING_TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json"
 
@@ -111,6 +112,99 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+_OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+words AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+sizes AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (
+  SELECT g.lang, g.source, coalesce(s.v, 0) AS v, coalesce(c.total, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN sizes s USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source) c USING (lang, source)),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + g.v)::HUGEINT AS p,
+         1 + (1000000000::HUGEINT * (k.n + 1)) // (s.total + s.v)::HUGEINT AS lang_p
+  FROM groups g JOIN kept k USING (lang) JOIN sizes s USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+term AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST(((p - lang_p) * (p - lang_p)) // lang_p AS BIGINT) AS value
+  FROM shares WHERE n > 0 AND p > lang_p),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbours(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    # one more by decimals, which the largest n_chars can't leave
+    more = [(F.col("n_chars").cast("decimal(20,0)") + 1) if c == "n_chars" else F.col(c) for c in fields]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, merkle.leaf(*more))
+    leaves = docs.select("doc_id", "lang", merkle.leaf(*map(F.col, fields)).alias("leaf"), tampered.alias("tampered"))
+    found = merkle.manifest(leaves, "lang", ["doc_id"])
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    out = found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+_OP13_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT range AS n, range AS c, 0 AS k FROM range(256)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+docs AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS g, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 7 = 0 AS changed,
+         concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-')) AS head,
+         n_chars, coalesce(strlen(text) || ':' || text, '-') AS tail FROM documents, crc),
+hashed AS (
+  SELECT doc_id, g, sha256(concat(head, coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-'), tail)) AS leaf,
+         CASE WHEN changed THEN sha256(concat(head, coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-'), tail)) END AS tampered FROM docs),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM hashed),
+nodes AS (
+  SELECT g, 0 AS lvl, pos, leaf AS node, n FROM leaves
+  UNION ALL SELECT g, lvl + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM nodes WHERE n > 1 GROUP BY g, lvl, pos // 2),
+tops AS (
+  SELECT 0 AS lvl, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, node, count(*) OVER () AS n, g FROM nodes WHERE n = 1
+  UNION ALL SELECT lvl + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 1) // 2, NULL FROM tops WHERE n > 1 GROUP BY lvl, pos // 2),
+up AS (
+  SELECT doc_id, g, leaf, pos AS row, 0 AS lvl, pos, n, coalesce(tampered, leaf) AS node, '' AS sides FROM leaves
+  UNION ALL
+  SELECT u.doc_id, u.g, u.leaf, u.row, u.lvl + 1, u.pos // 2, (u.n + 1) // 2,
+         sha256(CASE WHEN u.pos % 2 = 1 THEN s.node || u.node ELSE concat(u.node, s.node) END), concat(u.sides, s.node)
+  FROM up u LEFT JOIN nodes s ON s.g = u.g AND s.lvl = u.lvl AND s.pos = xor(u.pos, 1) WHERE u.n > 1),
+above AS (
+  SELECT u.doc_id, u.g, u.leaf, u.row, 0 AS lvl, t.pos, t.n, u.node, u.sides, t.node AS subroot FROM up u JOIN tops t ON t.lvl = 0 AND t.g = u.g WHERE u.n = 1
+  UNION ALL
+  SELECT u.doc_id, u.g, u.leaf, u.row, u.lvl + 1, u.pos // 2, (u.n + 1) // 2,
+         sha256(CASE WHEN u.pos % 2 = 1 THEN s.node || u.node ELSE concat(u.node, s.node) END), concat(u.sides, s.node), u.subroot
+  FROM above u LEFT JOIN tops s ON s.lvl = u.lvl AND s.pos = xor(u.pos, 1) WHERE u.n > 1)
+SELECT o.doc_id, o.leaf, o.subroot, r.node AS root, sha256(o.sides) AS proof_sha256, o.node AS folded_root, o.node = r.node AS verified
+FROM above o, tops r WHERE o.n = 1 AND r.n = 1
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -128,6 +222,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_wrapper_induction": op9_wrapper_induction,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_document_fingerprints": op12_document_fingerprints,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op3_url_filters": _OP3_SQL}
+ORACLES: dict[str, str] = {"op3_url_filters": _OP3_SQL, "op11_source_divergence": _OP11_SQL, "op13_merkle_manifest": _OP13_SQL}
