@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from lexloom.plans import catalog, dossier  # noqa: F401  both register queries
+from lexloom.plans import catalog, dossier, runs  # noqa: F401  all register queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations".split()
