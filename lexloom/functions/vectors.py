@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,8 +31,22 @@ def l2_normalize(v: Column) -> Column:
     return _once(v, scaled)
 
 
+@lru_cache(maxsize=1 << 17)
+def _bucket(word: str) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+
+
 def hash_embedding(words: Column, dim: int = 64) -> Column:
-    """A deterministic offline embedding: counts of words by md5 bucket, normalised."""
-    buckets = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim)
-    places = F.sequence(F.lit(0), F.lit(dim - 1))
-    return l2_normalize(_once(buckets, lambda bs: F.transform(places, lambda i: F.size(F.filter(bs, lambda b: b == i)).cast("double"))))
+    """A deterministic offline embedding: counts of words by md5 bucket, normalised; one pass over the words."""
+
+    @F.arrow_udf("array<double>")
+    def embedded(column: pa.Array) -> pa.Array:
+        out = np.zeros((len(column), dim))
+        for row, mine in zip(out, column.to_pylist(), strict=True):
+            if mine:
+                row += np.bincount([_bucket(w) % dim for w in mine], minlength=dim)
+                row /= np.sqrt(row @ row)
+        offsets = pa.array(np.arange(len(column) + 1, dtype=np.int32) * dim, pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+
+    return embedded(words)

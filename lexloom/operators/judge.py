@@ -31,10 +31,21 @@ def pair_text(num: Column, header: Column, body: Column) -> Column:
     return F.concat(name, F.lit("\n"), F.substring(F.coalesce(body, F.lit("")), 1, 600))
 
 
+def _scores(scorer: Callable[[list[tuple[str, str]]], list[float]], pairs: list[tuple[str, str]]) -> list[float] | None:
+    """A score for each pair; none where the scorer fails."""
+    try:
+        scores = [float(s) for s in scorer(pairs)]
+    except Exception:  # noqa: BLE001  a model may fail in any way
+        return None
+    return scores if len(scores) == len(pairs) else None
+
+
 def rerank_pairs(candidates: DataFrame, scorer: Callable[[list[tuple[str, str]]], list[float]] | None, n: int = P.TOP_N) -> DataFrame:
     """The n best candidates (chunk_id, rank, query, document, ...) by the scores of (query, document) pairs.
 
-    Equal scores keep their order. Without a scorer the first n stay as they are, without further columns.
+    Equal scores keep their order. Without a scorer the first n stay as they are, without further columns. Where a
+    scorer raises, or returns another number of scores, pairs are scored one by one; those that fail again have a null
+    score and come last.
     """
     if scorer is None:
         return candidates.where(F.col("rank") <= n)
@@ -42,9 +53,10 @@ def rerank_pairs(candidates: DataFrame, scorer: Callable[[list[tuple[str, str]]]
     @F.arrow_udf("double")
     def score(queries: pa.Array, documents: pa.Array) -> pa.Array:
         pairs = [(q or "", d or "") for q, d in zip(queries.to_pylist(), documents.to_pylist(), strict=True)]
-        return pa.array(map(float, scorer(pairs)), pa.float64())
+        scores = _scores(scorer, pairs)
+        return pa.array(scores if scores is not None else [(_scores(scorer, [p]) or [None])[0] for p in pairs], pa.float64())
 
-    order = W.partitionBy("chunk_id").orderBy(F.desc("reranker_score"), "rank")
+    order = W.partitionBy("chunk_id").orderBy(F.desc_nulls_last("reranker_score"), "rank")
     scored = candidates.withColumn("reranker_score", score("query", "document"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 

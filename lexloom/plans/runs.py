@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import patterns as P
-from lexloom.operators import chunks, compare, extract, judge
+from lexloom.operators import answers, chunks, compare, extract
+from lexloom.operators import run as whole
 from lexloom.plans import views
-from lexloom.plans.catalog import query
-from lexloom.plans.dossier import _GRADED, _TEXTS, _near
+from lexloom.plans.catalog import _EMBED, _LEXICAL, query
+from lexloom.plans.dossier import _GRADED, _SHARE, _TEXTS, _near, _with
 from lexloom.plans.views import parts_sql, strip_sql
 from lexloom.session import scratch, table
 from lexloom.streaming import resume
@@ -129,3 +130,80 @@ def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "resumed")
     resume.resume(secs, _versions(norms), _citations(norms), path, "v1", parts=2)
     return resume.resume(new_secs, _versions(new_norms), _citations(new_norms), path, "v1", parts=2)
+
+
+# Whole comparisons --------------------------------------------------------------------------------------------------
+
+_ANSWER = """CASE doc_id % 8 WHEN 2 THEN substring({good}, 1, length({good}) - 10) WHEN 3 THEN replace({good}, '"cumple"', '"excelente"') WHEN 4 THEN replace({good}, 'analisis_general', 'otro')
+WHEN 5 THEN NULL WHEN 6 THEN '  ' WHEN 7 THEN replace({good}, '["', '"') ELSE concat('Claro: ', {good}, ' Eso es todo.') END"""
+_GOOD = """concat('{{"tipo_coincidencia": "lexica", "nivel_cumplimiento": "cumple", "analisis_general": "', lang, ' ', doc_id, '", "brechas": ["', coalesce(source, ''), '", "b', doc_id % 3, '"]}}')"""
+_ANSWERED = _ANSWER.format(good=_GOOD.format())
+
+
+@query(
+    rf"""WITH a AS (SELECT doc_id, {_ANSWERED} AS a FROM documents), b AS (SELECT *, nullif(regexp_extract(a, '\{{.*\}}', 0, 's'), '') AS j FROM a),
+c AS (SELECT *, CASE WHEN a IS NULL OR trim(a) = '' THEN 'sin_respuesta' WHEN j IS NULL OR NOT json_valid(j) OR json_type(j, '$.brechas') <> 'ARRAY' THEN 'malformado'
+  WHEN json_extract_string(j, '$.analisis_general') IS NULL THEN 'incompleto' WHEN json_extract_string(j, '$.nivel_cumplimiento') NOT IN ('cumple', 'parcial', 'omision', 'no_aplica') THEN 'fuera_de_rango'
+  ELSE 'analizado' END AS estado_analisis FROM b)
+SELECT doc_id, estado_analisis, CASE WHEN estado_analisis = 'analizado' THEN json_extract_string(j, '$.nivel_cumplimiento') END AS nivel_cumplimiento,
+CASE WHEN estado_analisis = 'analizado' THEN json_extract_string(j, '$.analisis_general') END AS analisis_general,
+CASE WHEN estado_analisis = 'analizado' THEN array_to_string(CAST(json_extract(j, '$.brechas') AS VARCHAR[]), '; ') ELSE '' END AS brechas FROM c"""
+)
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as text, an eighth of each kind: good within prose, cut short, out of range, incomplete, missing, blank."""
+    asked = table(spark, sf_dir, "documents").select("doc_id", F.expr(_ANSWERED).alias("respuesta"))
+    told = answers.parse_verdict(asked, "respuesta")
+    return told.select("doc_id", "estado_analisis", "nivel_cumplimiento", "analisis_general", F.array_join("brechas", "; ").alias("brechas"))
+
+
+_RUN = f"""arts AS (SELECT doc_id || '_' || lpad(CAST(orden AS VARCHAR), CAST(greatest(4, length(CAST(orden AS VARCHAR))) AS INTEGER), '0') AS element_id, doc_id, numero, encabezado, contenido, orden,
+  {_EMBED} AS embed FROM placed WHERE tipo_elemento = 'articulo'),
+secs AS (SELECT doc_id AS chunk_id, coalesce(text, '') || ' según Art. ' || (doc_id % 9 + 1) AS texto, coalesce(lang, '') AS jerarquia FROM documents),
+lex AS (SELECT chunk_id, a.*, row_number() OVER (PARTITION BY chunk_id ORDER BY a.orden, element_id) AS rank FROM cited c JOIN arts a ON a.doc_id = c.chunk_id + 1 AND a.numero = c.numero),
+hashed AS (SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS b, count(*) AS n FROM (
+  SELECT id, unnest(list_filter(string_split(lower(translate(t, chr(10) || chr(9), '  ')), ' '), lambda w: w <> '')) AS w
+  FROM (SELECT 's' || chunk_id AS id, texto AS t FROM secs UNION ALL SELECT 'a' || element_id, embed FROM arts)) GROUP BY ALL),
+vectors AS (SELECT id, b, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS x FROM hashed),
+pairs AS (SELECT s.chunk_id, s.texto, a.* EXCLUDE (doc_id, orden, embed) FROM secs s JOIN arts a ON a.doc_id = s.chunk_id + 1),
+scores AS (SELECT p.chunk_id, p.element_id, round(sum(u.x * v.x), 9) AS score FROM pairs p JOIN vectors u ON u.id = 's' || p.chunk_id JOIN vectors v ON v.id = 'a' || p.element_id AND v.b = u.b GROUP BY ALL),
+near AS (SELECT * FROM (SELECT p.*, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY chunk_id ORDER BY coalesce(score, 0) DESC, element_id) AS rank
+  FROM pairs p LEFT JOIN scores USING (chunk_id, element_id)) WHERE rank <= 5 AND score >= 0.30),
+reranked AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY x DESC, rank) AS i FROM (
+  SELECT *, {_SHARE} AS x FROM (SELECT *, texto AS s, 'Artículo ' || numero || ': ' || encabezado || chr(10) || substring(contenido, 1, 600) AS d FROM near))),
+graded AS (SELECT *, {_SHARE} AS g FROM (SELECT * EXCLUDE (s, d), substring(texto, 1, 1500) AS s, substring(contenido, 1, 600) AS d FROM reranked WHERE i <= 3)),
+refs AS (SELECT chunk_id, list(numero ORDER BY rank) AS lexicos, list('Artículo ' || numero || ': ' || encabezado || chr(10) || substring(contenido, 1, 800) ORDER BY rank) FILTER (rank <= 3) AS cites FROM lex GROUP BY chunk_id),
+tops AS (SELECT chunk_id, list('[Top ' || t || '] Art.' || numero || ': ' || encabezado || chr(10) || d ORDER BY t) AS tops
+  FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY i) AS t FROM graded WHERE g >= 0.2) GROUP BY chunk_id),
+raw AS (SELECT chunk_id, string_agg(numero || ':' || CAST(round(score, 4) * 10000 AS BIGINT), ' ' ORDER BY rank) AS raw FROM near GROUP BY chunk_id),
+valid AS (SELECT chunk_id, string_agg(numero || ':' || (g >= 0.2) || ':' || CAST(round(g * 1000000) AS BIGINT), ' ' ORDER BY i) AS valid FROM graded GROUP BY chunk_id),
+told AS (SELECT s.*, coalesce(lexicos, []) AS lexicos, CASE WHEN lexicos IS NOT NULL THEN 'lexica' WHEN tops IS NOT NULL THEN 'semantica' ELSE 'ninguna' END AS kind, coalesce(raw, '') AS raw, coalesce(valid, '') AS valid,
+  coalesce(nullif(concat_ws(chr(10) || chr(10), '{P.CITED_TITLE}' || array_to_string(cites, chr(10) || chr(10)), '{P.NEAR_TITLE}' || array_to_string(tops, chr(10) || chr(10))), ''), '{P.NO_REFERENCES}') AS refs
+  FROM secs s LEFT JOIN refs USING (chunk_id) LEFT JOIN tops USING (chunk_id) LEFT JOIN raw USING (chunk_id) LEFT JOIN valid USING (chunk_id)),
+leveled AS (SELECT *, CASE kind WHEN 'lexica' THEN 'cumple' WHEN 'semantica' THEN 'parcial' ELSE 'omision' END AS level FROM told)"""
+
+
+@query(
+    _with(
+        """SELECT chunk_id, jerarquia, array_to_string(lexicos, ' ') AS articulos_lexicos, raw AS articulos_semanticos_raw, valid AS articulos_validados, kind AS tipo_coincidencia, level AS nivel_cumplimiento,
+kind || ': ' || level AS analisis_general, CASE WHEN kind = 'lexica' THEN 'citado' END AS analisis_lexico, CASE WHEN kind = 'semantica' THEN 'cercano' END AS analisis_semantico_top1,
+CASE WHEN level = 'cumple' THEN '' ELSE level || ': ' || length(refs) || ' / ' || least(length(texto), 2000) END AS brechas,
+array_to_string(list_sort(list_distinct(regexp_extract_all(refs, 'Art[.][0-9]+'))), ' ') AS entidades_normativas, 'analizado' AS estado_analisis FROM leveled""",
+        _LEXICAL, _RUN,
+    )
+)
+def compare_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole comparison of each section with the articles of the next document, by the default models."""
+    path = scratch(spark, "compare")
+    arts = extract.normativa(views.norm_md(spark, sf_dir)).where("tipo_elemento = 'articulo'")
+    arts.select("doc_id", "element_id", "numero", "encabezado", "contenido", "orden", "embed_text").write.parquet(path)
+    secs = views.sections(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("jerarquia")), "doc_id")
+    scope = secs.select("chunk_id", (F.col("chunk_id") + 1).alias("norm_id"))
+    out = whole.compare_all(secs, spark.read.parquet(path), scope)
+    shown = lambda c, of: F.array_join(F.transform(c, of), " ")
+    sim = lambda x: F.concat(x.numero, F.lit(":"), F.round(x.sim * 10000).cast("long").cast("string"))
+    grade = lambda x: F.concat_ws(":", x.numero, x.relevante.cast("string"), F.round(x.score * 1000000).cast("long").cast("string"))
+    return out.select(
+        "chunk_id", "jerarquia", F.array_join("articulos_lexicos", " ").alias("articulos_lexicos"), shown("articulos_semanticos_raw", sim).alias("articulos_semanticos_raw"),
+        shown("articulos_validados", grade).alias("articulos_validados"), "tipo_coincidencia", "nivel_cumplimiento", "analisis_general", "analisis_lexico",
+        "analisis_semantico_top1", F.array_join("brechas", "; ").alias("brechas"), F.array_join("entidades_normativas", " ").alias("entidades_normativas"), "estado_analisis",
+    )
