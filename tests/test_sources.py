@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +25,94 @@ def test_convert_directory_isolates_errors_and_reads_the_cache(spark, tmp_path):
     assert not corpus.read_markdown(spark, str(cache)).first().extraccion_pobre
 
 
+def counted(folder):
+    """A converter that leaves a file for each call."""
+
+    def convert(content: bytes) -> str:
+        import uuid
+
+        (folder / uuid.uuid4().hex).write_bytes(content)
+        if content == b"bad":
+            raise ValueError("broken")
+        return content.decode()
+
+    def calls():
+        seen = sorted(p.read_bytes() for p in folder.iterdir())
+        for p in folder.iterdir():
+            p.unlink()
+        return seen
+
+    return convert, calls
+
+
+def test_cache_is_written_and_read_through(spark, tmp_path):
+    src, cache, folder = tmp_path / "pdf", tmp_path / "md", tmp_path / "calls"
+    src.mkdir(), folder.mkdir()
+    for name, text in (("b", "dos"), ("a", "uno"), ("c", "bad"), ("L1-XVI-x", "no"), ("d", " "), ("e", "")):
+        (src / f"{name}.pdf").write_bytes(text.encode())
+    convert, calls = counted(folder)
+    get = lambda: [(r.archivo, r.md, r.error) for r in corpus.convert_directory(spark, str(src), convert, str(cache), exclude_prefix="L1-XVI").collect()]
+    want = [("a.pdf", "uno", None), ("b.pdf", "dos", None), ("c.pdf", None, "ValueError: broken"), ("d.pdf", " ", None)]
+    assert get() == want and calls() == [b" ", b"bad", b"dos", b"uno"]
+    assert get() == want and calls() == [b"bad"]  # failures are tried again, nothing else
+    os.utime(src / "a.pdf", (2_000_000_000, 2_000_000_000))
+    (src / "c.pdf").write_bytes(b"tres")
+    assert [x[1] for x in get()] == ["uno", "dos", "tres", " "] and calls() == [b"tres", b"uno"]
+    assert [x[1] for x in get()] == ["uno", "dos", "tres", " "] and calls() == []
+    sinks.write_markdown(spark.createDataFrame([("b", "otro")], "doc_id string, md string"), str(cache))
+    assert [x[1] for x in get()][1] == "otro" and calls() == []
+    assert corpus.convert_directory(spark, str(src), convert, pattern="z*").count() == 0
+
+
+def test_white_space_is_no_text(spark):
+    rows = spark.createDataFrame([("\n\t\u00a0 " * 100 + "x" * 199,), ("x" * 200,), (None,)], "md string")
+    assert [r.p for r in rows.select(corpus.poor(rows.md).alias("p")).collect()] == [True, False, True]
+
+
+def test_folders_to_rows(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    norm = "LEY\n\nArt. 1.- Objeto. Regula todo.\n\nArt. 2.- Fin. Acaba.\n\nDISPOSICIÓN FINAL Rige.\n\nANEXO I Tabla"
+    for name, text in (("b", norm), ("a", norm.replace("Regula", "Ordena")), ("c", "bad"), ("e", "")):
+        (src / f"{name}.pdf").write_bytes(text.encode())
+    convert = lambda content: (_ for _ in ()).throw(ValueError("broken")) if content == b"bad" else content.decode()
+    docs = corpus.convert_directory(spark, str(src), convert)
+    rows = corpus.norm_elements(docs).collect()
+    assert [(r.archivo, r.tipo_elemento, r.numero) for r in rows] == [
+        (f, k, n) for f in ("a.pdf", "b.pdf") for k, n in (("articulo", "1"), ("articulo", "2"), ("disposicion", "DISPOSICIÓN FINAL"), ("anexo", "ANEXO I"))
+    ] + [("c.pdf", None, None)]
+    assert rows[0].element_id == "a_0000" and rows[0].contenido == "Ordena todo." and rows[-1].error == "ValueError: broken"
+    (src / "b.pdf").write_bytes("# Uno\n\ntexto\f\n## Dos\n\nmás".encode())
+    got = [(r.chunk_id, r.fuente, r.pagina_inicio, r.jerarquia, r.texto, r.error) for r in corpus.manual_sections(docs).where("fuente > 'a.pdf'").collect()]
+    assert got == [("b_0000", "b.pdf", 1, "Uno", "texto\f", None), ("b_0001", "b.pdf", 2, "Uno > Dos", "más", None), (None, "c.pdf", None, None, None, "ValueError: broken")]
+
+
+def test_nested_documents_and_back(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "uno"), (2, "dos"), (3, None)], "doc_id long, titulo string")
+    marks = spark.createDataFrame([(1, 5, "TÍTULO I"), (1, 0, "B"), (1, 0, "A")], "doc_id long, posicion int, label string")
+    arts = spark.createDataFrame([(1, 9, "1", None), (2, 3, "2", "x"), (1, 7, "1", "y")], "doc_id long, posicion int, numero string, contenido string")
+    anns = spark.createDataFrame([(1, 0, "ANEXO I"), (1, 1, "ANEXO II")], "doc_id long, seq int, identificador string")
+    nested = sinks.nested_documents(docs, marks, arts, anns)
+    sinks.write_records(nested, f"{tmp_path}/n")
+    read = corpus.read_records(spark, f"{tmp_path}/n", nested.schema)
+    one = read.where("doc_id = 1").first()
+    assert (one.n_secciones, one.n_articulos, one.n_anexos, [a.posicion for a in one.articulos]) == (3, 2, 2, [7, 9])
+    assert read.where("doc_id = 3").first().articulos == []
+    for kind, rows in (("secciones", marks), ("articulos", arts), ("anexos", anns)):
+        assert sorted(map(tuple, sinks.elements_of(read, kind).collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+
+
+def test_sheets_with_names_that_begin_alike(spark, tmp_path):
+    long = "x" * 31
+    rows = [(long + "a", "1"), (long + "b", "2"), ("corto", "3"), (long + "a", "4")]
+    elements = spark.createDataFrame(rows, "doc_id string, numero string").withColumns({"encabezado": F.lit("e\x00"), "contenido": F.lit("c"), "seccion": F.lit(""), "fecha": F.lit("")})
+    sinks.write_sheets(elements, f"{tmp_path}/s")
+    got = spark.read.option("header", True).option("multiLine", True).csv(f"{tmp_path}/s")
+    sheets = {r.hoja: r.n for r in got.groupBy("hoja").agg(F.sort_array(F.collect_list(F.col("NUMERO").cast("string"))).alias("n")).collect()}
+    assert sorted(sheets.values()) == [["1", "4"], ["2"], ["3"]] and "corto" in sheets and all(len(h) == 31 for h in sheets if h != "corto")
+    assert {r.ARTICULO for r in got.collect()} == {"e\nc"}
+
+
 def test_index_keeps_its_model(spark, tmp_path):
     rows = spark.createDataFrame([(1, [1.0, 0.0])], "element_id long, embedding array<double>")
     sinks.save_index(rows, f"{tmp_path}/i", "hash", 2)
