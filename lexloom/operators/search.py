@@ -1,4 +1,4 @@
-"""Vector search: exact top-k in blocks of queries, its filters and reranking, and an inverted-file index."""
+"""Vector search: exact top-k in blocks of queries, its filters and reranking, and search by cells."""
 
 from __future__ import annotations
 
@@ -9,46 +9,95 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions import patterns as P
-from lexloom.functions.vectors import dot
 
-#: Queries that are broadcast and scored at once, and rows scored by one product.
-QUERY_BLOCK, ROW_BLOCK = 2048, 4096
+#: Bytes of queries in one broadcast (each such block is a scan of the rows), and queries and rows scored by one product.
+QUERY_BYTES, QUERY_BLOCK, ROW_BLOCK = 64 << 20, 2048, 4096
+
+
+class _Best:
+    """The k best rows of each query so far: scores fall, equal ones follow by id."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, cells: list[set] | None, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.scores, self.elements = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        self.probing: dict[int, np.ndarray] = {}
+        for i, mine in enumerate(cells or ()):
+            for c in mine:
+                self.probing.setdefault(c, []).append(i)
+        self.probing = {c: np.array(q) for c, q in self.probing.items()}
+
+    def meet(self, queries: np.ndarray, elements: np.ndarray, rows: np.ndarray) -> None:
+        """Score the rows against some of the queries, and keep what belongs to the best."""
+        for at in range(0, len(queries), QUERY_BLOCK):
+            mine = queries[at : at + QUERY_BLOCK]
+            scores = np.round(self.vectors[mine] @ rows.T, 9)
+            scores[self.ids[mine][:, None] == elements[None, :]] = -np.inf
+            least = self.scores[mine, -1]
+            if len(elements) > self.k:
+                least = np.maximum(least, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
+            query, row = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))  # ties at the end stay in
+            if not len(query):
+                continue
+            touched, place = np.unique(query, return_inverse=True)
+            held = np.repeat(np.arange(len(touched)), self.k)
+            who = np.concatenate([place, held])
+            value = np.concatenate([scores[query, row], self.scores[mine[touched]].ravel()])
+            element = np.concatenate([elements[row], self.elements[mine[touched]].ravel()])
+            order = np.lexsort((element, -value, who))
+            who, value, element = who[order], value[order], element[order]
+            nth = np.arange(len(who)) - np.searchsorted(who, who)
+            keep = nth < self.k
+            self.scores[mine[touched][who[keep]], nth[keep]] = value[keep]
+            self.elements[mine[touched][who[keep]], nth[keep]] = element[keep]
+
+    def found(self) -> pa.RecordBatch:
+        keep = np.isfinite(self.scores)
+        query = np.broadcast_to(self.ids[:, None], keep.shape)
+        return pa.record_batch([pa.array(query[keep]), pa.array(self.elements[keep]), pa.array(self.scores[keep])], ["query_id", "element_id", "score"])
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = P.TOP_K) -> DataFrame:
     """(query_id, element_id, score, rank): the k best of all rows by inner product, without the query itself.
 
-    `queries` has query_id and embedding, `corpus` element_id and embedding. Each block of queries is one broadcast of
-    bounded size; every task keeps its own k best for a query before anything is shuffled. Scores are rounded to nine
-    digits, equal ones follow by id.
+    `queries` has query_id and embedding, `corpus` element_id and embedding. Queries are broadcast in blocks of
+    QUERY_BYTES, of which there is one for most uses; a task keeps the k best for each query over all its rows, and
+    only these are shuffled. Scores are rounded to nine digits, equal ones follow by id. Where `queries` has cells (an
+    array) and `corpus` a cell, a query meets the rows of its own cells only.
     """
     spark = corpus.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    celled = "cells" in queries.columns and "cell" in corpus.columns
+    n, dim = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    blocks = max(1, -(-n * 8 * max(1, dim or 1) // QUERY_BYTES))
     found = None
     for block in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "embedding").collect()
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        mine = own.select("query_id", "embedding", *(["cells"] if celled else [])).collect()
         if not mine:
             continue
-        ids = np.array([r.query_id for r in mine])
-        shared = spark.sparkContext.broadcast((ids, np.array([r.embedding for r in mine], float)))
+        cells = [set(r.cells) for r in mine] if celled else None
+        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in mine]), np.array([r.embedding for r in mine], float), cells))
 
         def score(batches, shared=shared):
-            ids, vectors = shared.value
+            best, some = _Best(*shared.value, k), False
+            every = np.arange(len(best.ids))
             for batch in batches:
                 for at in range(0, batch.num_rows, ROW_BLOCK):
                     part = batch.slice(at, ROW_BLOCK)
                     elements = part.column(0).to_numpy()
-                    rows = np.array(part.column(1).to_pylist(), float).reshape(len(elements), -1)
-                    scores = np.round(vectors @ rows.T, 9)
-                    scores[ids[:, None] == elements[None, :]] = -np.inf
-                    order = np.lexsort((np.broadcast_to(elements, scores.shape), -scores), axis=1)[:, :k]
-                    best = np.take_along_axis(scores, order, 1)
-                    keep = np.isfinite(best)
-                    query = np.broadcast_to(ids[:, None], order.shape)
-                    yield pa.record_batch([pa.array(query[keep]), pa.array(elements[order][keep]), pa.array(best[keep])], ["query_id", "element_id", "score"])
-
-        part = corpus.select(F.col("element_id").cast("long"), "embedding").mapInArrow(score, "query_id long, element_id long, score double")
+                    rows = np.asarray(part.column(1).flatten(), float).reshape(len(elements), -1)
+                    some = True
+                    if celled:
+                        places = part.column(2).to_numpy()
+                        for c in np.unique(places).tolist():
+                            here = places == c
+                            best.meet(best.probing.get(c, every[:0]), elements[here], rows[here])
+                    else:
+                        best.meet(every, elements, rows)
+            if some:
+                yield best.found()
+
+        columns = [F.col("element_id").cast("long"), F.col("embedding").cast("array<double>"), *([F.col("cell").cast("int")] if celled else [])]
+        part = corpus.where("embedding IS NOT NULL").select(*columns).mapInArrow(score, "query_id long, element_id long, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, element_id long, score double, rank int")
@@ -86,26 +135,3 @@ def rerank(candidates: DataFrame, n: int = P.TOP_N) -> DataFrame:
     """The n best by reranker_score; equal scores keep their order."""
     order = W.partitionBy("query_id").orderBy(F.desc("reranker_score"), "rank")
     return candidates.withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= n).drop("rank").withColumnRenamed("new_rank", "rank")
-
-
-def ivf_search(queries: DataFrame, corpus: DataFrame, k: int = P.TOP_K, sample: int = 50_000, seed: int = 7) -> DataFrame:
-    """Approximate top-k: cells by k-means on a bounded sample, every row indexed, the nearest cells probed exactly.
-
-    Of sqrt(sample rows) cells, at least 4, three quarters are probed, as vectors without clusters need; cells hold (element_id, embedding) and are joined by their
-    number, so the search is a shuffle join and not a scan of all pairs.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    n = corpus.count()
-    part = corpus.where(F.pmod(F.xxhash64("element_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, n))))
-    cells = max(4, int(min(n, sample) ** 0.5))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(part.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")))
-    centers = [[float(x) for x in c] for c in model.clusterCenters()]
-    ranked = lambda v: F.array_sort(F.array(*[F.struct((-dot(v, F.array(*map(F.lit, c)))).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centers)]))
-    indexed = corpus.select("element_id", "embedding", ranked(F.col("embedding"))[0]["cell"].alias("cell"))
-    probed = queries.select("query_id", F.col("embedding").alias("q"), F.explode(F.slice(ranked(F.col("embedding")), 1, max(1, -(-3 * len(centers) // 4)))).alias("x"))
-    probed = probed.select("query_id", "q", F.col("x.cell").alias("cell"))
-    scored = probed.join(indexed, "cell").where("query_id <> element_id").select("query_id", "element_id", F.round(dot(F.col("q"), F.col("embedding")), 9).alias("score"))
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "element_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -10,9 +10,10 @@ from lexloom.operators import answers, chunks, compare, extract
 from lexloom.operators import run as whole
 from lexloom.plans import views
 from lexloom.plans.catalog import _EMBED, _LEXICAL, query
-from lexloom.plans.dossier import _GRADED, _SHARE, _TEXTS, _near, _with
+from lexloom.plans.dossier import _COLLAPSE, _GRADED, _SHARE, _STYLE, _TEXTS, _near, _varied, _with
 from lexloom.plans.views import parts_sql, strip_sql
 from lexloom.session import scratch, table
+from lexloom.sources import corpus, papers, sinks
 from lexloom.streaming import resume
 
 # Chunks -------------------------------------------------------------------------------------------------------------
@@ -207,3 +208,69 @@ def compare_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
         shown("articulos_validados", grade).alias("articulos_validados"), "tipo_coincidencia", "nivel_cumplimiento", "analisis_general", "analisis_lexico",
         "analisis_semantico_top1", F.array_join("brechas", "; ").alias("brechas"), F.array_join("entidades_normativas", " ").alias("entidades_normativas"), "estado_analisis",
     )
+
+
+# Documents and papers -----------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""{_STYLE}, s AS (SELECT doc_id, count(*) AS n, string_agg(posicion || '|' || label, chr(10) ORDER BY posicion) AS x FROM marks GROUP BY doc_id),
+a AS (SELECT doc_id, count(*) AS n, string_agg(posicion || '|' || regexp_extract(match, '(?im){P.VARIANT_ARTICLE}', 1) || '|' || md5(substring({_COLLAPSE.format(strip_sql("t"))}, 1, 3500)), chr(10) ORDER BY posicion) AS x
+  FROM (SELECT *, CASE WHEN seq = max(seq) OVER (PARTITION BY doc_id) THEN substring(tail, 1, 4000) ELSE tail END AS t FROM v0) GROUP BY doc_id),
+x AS (SELECT doc_id, count(*) AS n, string_agg(upper(regexp_extract(match, '(?im){P.ANNEX}', 1)), chr(10) ORDER BY seq) AS x FROM x0 GROUP BY doc_id)
+SELECT md.doc_id, coalesce(s.n, 0) AS n_secciones, coalesce(a.n, 0) AS n_articulos, coalesce(x.n, 0) AS n_anexos,
+md5(coalesce(s.x, '')) AS secciones_md5, md5(coalesce(a.x, '')) AS articulos_md5, coalesce(x.x, '') AS anexos FROM md LEFT JOIN s USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN x USING (doc_id)"""
+)
+def nested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed documents with their elements nested, written as JSON and read back."""
+    docs, path = _varied(spark, sf_dir), scratch(spark, "nested")
+    nested = sinks.nested_documents(docs.select("doc_id"), extract.variant_marks(docs), extract.variant_articles(docs), extract.variant_annexes(docs))
+    sinks.write_records(nested, path)
+    read = corpus.read_records(spark, path, nested.schema)
+    joined = lambda c, *of: F.array_join(F.transform(c, lambda x: F.concat_ws("|", *[f(x) for f in of])), "\n")
+    place = lambda x: x.posicion.cast("string")
+    return read.select(
+        "doc_id", *[F.col(c).cast("long").alias(c) for c in ("n_secciones", "n_articulos", "n_anexos")], F.md5(joined("secciones", place, lambda x: x.label)).alias("secciones_md5"),
+        F.md5(joined("articulos", place, lambda x: x.numero, lambda x: F.md5(x.contenido))).alias("articulos_md5"), joined("anexos", lambda x: x.identificador).alias("anexos"),
+    )
+
+
+def _papers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The working papers of `compare_sections`' comparison, written and read back."""
+    base = scratch(spark, "papers")
+    arts = extract.normativa(views.norm_md(spark, sf_dir)).where("tipo_elemento = 'articulo'")
+    arts.select("doc_id", "element_id", "numero", "encabezado", "contenido", "orden", "embed_text", "es_referencia").write.parquet(f"{base}/arts")
+    arts = spark.read.parquet(f"{base}/arts")
+    secs = views.sections(spark, sf_dir).withColumn("jerarquia", F.lit(""))
+    scope = secs.select("chunk_id", (F.col("chunk_id") + 1).alias("norm_id"))
+    whole.compare_all(secs, arts, scope).write.parquet(f"{base}/done")
+    done = spark.read.parquet(f"{base}/done")
+    lexical = compare.lexical_join(secs, arts, scope).select("element_id", "chunk_id", F.lit(1.0).alias("score"), F.lit("lexica").alias("origen"))
+    tables = papers.papers(done, arts, lexical, {"modelo": "hash", "umbral": str(P.MIN_SCORE)})
+    papers.write_papers(tables, base)
+    return papers.read_papers(spark, base)
+
+
+@query(
+    _with(
+        """SELECT CAST(chunk_id AS VARCHAR) AS chunk_id, level AS nivel_cumplimiento, CASE level WHEN 'omision' THEN 'alta' WHEN 'parcial' THEN 'media' ELSE 'baja' END AS prioridad,
+CASE level WHEN 'omision' THEN 'FCE4D6' WHEN 'parcial' THEN 'FFF2CC' ELSE 'E2EFDA' END AS color FROM leveled""",
+        _LEXICAL, _RUN,
+    )
+)
+def paper_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manual's sheet of the working papers, with the priority and the fill of each section."""
+    return _papers(spark, sf_dir)["via_manual"].select("chunk_id", "nivel_cumplimiento", "prioridad", "color")
+
+
+@query(
+    _with(
+        """SELECT CAST(p.doc_id AS VARCHAR) AS doc_id, p.numero, CASE WHEN es_referencia THEN 'no_aplica' WHEN n IS NULL THEN 'no_cubierto' ELSE 'cubierto' END AS nivel_adopcion,
+CAST(coalesce(n, 0) AS VARCHAR) AS secciones, CASE WHEN es_referencia THEN 'ninguna' WHEN n IS NULL THEN 'alta' ELSE 'baja' END AS prioridad
+FROM placed p LEFT JOIN (SELECT doc_id, orden, count(*) AS n FROM lex GROUP BY doc_id, orden) l ON l.doc_id = p.doc_id AND l.orden = p.orden WHERE p.tipo_elemento = 'articulo'""",
+        _LEXICAL, _RUN,
+    )
+)
+def paper_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The norms' sheet of the working papers: how far each article is adopted, and its priority."""
+    return _papers(spark, sf_dir)["via_normativa"].select("doc_id", "numero", "nivel_adopcion", "secciones", "prioridad")

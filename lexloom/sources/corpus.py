@@ -128,11 +128,3 @@ def manual_sections(docs: DataFrame, most: int = P.MAX_TOKENS) -> DataFrame:
 def read_records(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = False) -> DataFrame:
     """JSON records under a declared schema, so that numbers stored as text stay text."""
     return spark.read.schema(schema).json(path, multiLine=multi_line)
-
-
-def load_index(spark: SparkSession, path: str, model: str | None = None, dim: int | None = None) -> DataFrame:
-    """A saved vector index; one by another model or of another dimension is rejected."""
-    meta = spark.read.json(f"{path}/meta").first()
-    if (model is not None and meta.model != model) or (dim is not None and meta.dim != dim):
-        raise ValueError(f"the index holds vectors of {meta.model} with {meta.dim} dimensions")
-    return spark.read.parquet(f"{path}/vectors")

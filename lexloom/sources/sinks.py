@@ -16,13 +16,6 @@ def write_records(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def save_index(vectors: DataFrame, path: str, model: str, dim: int) -> None:
-    """Vectors with their metadata, and which model made them."""
-    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-    meta = vectors.sparkSession.createDataFrame([(model, dim)], "model string, dim int")
-    meta.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
-
-
 def write_markdown(docs: DataFrame, cache: str) -> None:
     """Texts (doc_id, md) into the cache that `corpus.convert_directory` reads, as of now: rows of its table, as millions
     of small files would not scale."""

@@ -3,7 +3,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.sources import corpus, sinks
+from lexloom.operators import search
+from lexloom.sources import corpus, index, sinks
 from lexloom.streaming import incremental
 
 
@@ -114,11 +115,55 @@ def test_sheets_with_names_that_begin_alike(spark, tmp_path):
 
 
 def test_index_keeps_its_model(spark, tmp_path):
-    rows = spark.createDataFrame([(1, [1.0, 0.0])], "element_id long, embedding array<double>")
-    sinks.save_index(rows, f"{tmp_path}/i", "hash", 2)
-    assert corpus.load_index(spark, f"{tmp_path}/i", "hash", 2).count() == 1
+    rows = spark.createDataFrame([(1, [1.0, 0.0], "s"), (2, None, "t")], "element_id long, embedding array<double>, source string")
+    index.build(rows, f"{tmp_path}/i", "hash", 2, prefix_doc="passage: ", prefix_query="query: ")
+    got = index.load(spark, f"{tmp_path}/i", "hash", 2)
+    assert got.rows.count() == 1 and got.rows.first().source == "s" and (got.meta["n"], got.meta["backend"]) == (1, "local")
     with pytest.raises(ValueError):
-        corpus.load_index(spark, f"{tmp_path}/i", "other", 2)
+        index.load(spark, f"{tmp_path}/i", "other", 2)
+    with pytest.raises(ValueError):
+        index.load(spark, f"{tmp_path}/i", "hash", 3)
+    texts = spark.createDataFrame([("a",), (None,)], "t string")
+    shown = texts.select(got.encode(F.col("t"), lambda c: c).alias("q"), got.encode(F.col("t"), lambda c: c, query=False).alias("d")).collect()
+    assert [tuple(r) for r in shown] == [("query: a", "passage: a"), ("query: ", "passage: ")]
+    index.build(rows.where("false"), f"{tmp_path}/i", "newer", 2)
+    newer = index.load(spark, f"{tmp_path}/i")
+    assert newer.meta["model"] == "newer" and index.find(newer, spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")).count() == 0
+
+
+def test_only_probed_cells_are_read(spark, tmp_path):
+    """Clustered vectors: one probe finds the exact neighbours, and the scan is told which cells it needs."""
+    import math
+
+    point = lambda i: [math.cos(i % 8 + i / 4000), math.sin(i % 8 + i / 4000)]
+    rows = spark.createDataFrame([(i, point(i)) for i in range(400)], "element_id long, embedding array<double>")
+    index.build(rows, f"{tmp_path}/i", "m", 2)
+    got = index.load(spark, f"{tmp_path}/i")
+    assert index.clamps(400) == (20, 5) and index.clamps(3) == (4, 1) and 4 <= got.meta["cells"] <= 20
+    queries = rows.where("element_id < 8").withColumnRenamed("element_id", "query_id")
+    exact = {(r.query_id, r.element_id): r.score for r in search.top_k(queries, rows).collect()}
+    near = {(r.query_id, r.element_id): r.score for r in index.find(got, queries, probes=got.meta["cells"]).collect()}
+    assert near == exact
+    one = index.find(got, queries.where("query_id = 0"), probes=1)
+    told = one._jdf.queryExecution().executedPlan().toString()
+    assert "cell#" in told.split("PartitionFilters: [")[1].split("]")[0]
+    files = {r.f for r in got.rows.where("cell = 0").select(F.input_file_name().alias("f")).collect()}
+    assert all("cell=0" in f for f in files)
+    assert len(set(one.select("element_id").collect())) == 5
+
+
+def test_ties_and_small_blocks(spark, monkeypatch):
+    """Blocks of two rows and two queries, several broadcasts, and many equal scores give the plain ranking."""
+    rows = [(i, [float(i % 3), 1.0]) for i in range(40)]
+    corpus = spark.createDataFrame(rows, "element_id long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(9)], "query_id long, embedding array<double>")
+    want = {}
+    for q in range(9):
+        scored = sorted((-(v[0] + v[1] * (q % 2)), e) for e, v in rows if e != q)[:5]
+        want |= {(q, e): (-s, i) for i, (s, e) in enumerate(scored, 1)}
+    for name, value in (("ROW_BLOCK", 4096), ("ROW_BLOCK", 2), ("QUERY_BLOCK", 2), ("QUERY_BYTES", 40)):
+        monkeypatch.setattr(search, name, value)
+        assert {(r.query_id, r.element_id): (r.score, r["rank"]) for r in search.top_k(queries, corpus).collect()} == want
 
 
 def test_records_keep_nulls_and_types(spark, tmp_path):
