@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(hashed, rule))
     keyed = stages.keep(over_slices(hashed, _keyed(rule, frequent), "doc_id long, text_hash long, n long, h1 long, h2 long, keys array<long>, bits binary"))
-    facts = keyed.select("doc_id", "text_hash", "n", "h1", "h2")
+    facts = stages.keep(keyed.select("doc_id", "text_hash", "n", "h1", "h2"))
     classes = facts.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
     classes = stages.keep(classes.select("h1", "h2", "one.*"))
 
@@ -263,12 +263,12 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     one = ["h1", "h2", "doc_id", "text_hash"]
     firsts = keyed.join(classes, one, "left_semi").dropDuplicates(one).select(F.col("h1").alias("node"), "n", "keys", "bits")
     firsts = stages.keep(firsts)
+    stages.drop(keyed)
     rows = firsts.select(F.explode("keys").alias("key"), "node", "n", _band(rule).alias("band"))
     shared = stages.keep(rows.groupBy("key").agg(F.count("*").alias("n"), F.max("band").alias("top")).where("n > 1"))
     tiles = stages.keep(_banded(hot_join(rows, shared.drop("n"), "key", counts=shared)))
     stages.drop(shared)
-    edges = _links(tiles, firsts.select("node", "n", "bits"), _Sets(hashed, classes, rule, stages), rule, stages)
-    labels = connected_components(edges, stages)
+    labels = _links(tiles, firsts.select("node", "n", "bits"), _Sets(hashed, classes, rule, stages), rule, stages)
     stages.drop(firsts)
 
     named = classes.join(labels.select(F.col("node").alias("h1"), "label"), "h1", "left").select("h1", "h2", "doc_id", F.coalesce("label", "h1").alias("label"))
@@ -289,23 +289,53 @@ def _verified(pairs: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages
         side = lambda c: of.select(F.col("node").alias(c), *[F.col(w).alias(f"{w}_{c}") for w in what])
         return hot_join(rows.join(side("a"), "a"), side("b"), "b", counts=rows.groupBy("b").agg(F.count("*").alias("n")))
 
+    maps = stages.keep(_of_nodes(maps, pairs))
     passed = stages.keep(both(pairs, maps, "n", "bits").where(_bounded(rule)("n_a", "bits_a", "n_b", "bits_b")).select("a", "b"))
-    found = stages.keep(both(passed, sets.of(passed), "shingles").where(_overlapping(rule)("shingles_a", "shingles_b")).select("a", "b"))
-    stages.drop(passed)
+    found = stages.keep(both(passed, _of_nodes(sets.of(passed), passed), "shingles").where(_overlapping(rule)("shingles_a", "shingles_b")).select("a", "b"))
+    stages.drop(passed, maps)
     return found
 
 
-def _labelled(rows: DataFrame, maps: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """`rows` with the label of their node: that of its component, or the node itself. One way at every size."""
-    named = maps.select("node", F.lit(None).cast("long").alias("label"))
-    named = named if labels is None else named.unionByName(labels)
-    named = named.groupBy("node").agg(F.coalesce(F.max("label"), "node").alias("label"))
-    return rows.drop("label").join(named, "node")
+def _of_nodes(maps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of `maps` whose node stands in a pair: ids travel, bitmaps that no pair needs don't."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    few = pairs.count() * 16 <= BROADCAST_BYTES  # bounds the nodes' bytes from above
+    return maps.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+
+
+def _merged(labels: DataFrame | None, found: DataFrame, stages: Stages) -> DataFrame:
+    """(node, label): `labels` and the links (a, b) found since; only links between labels are searched for components.
+
+    A node without a label is its own. Each label is the smallest node of its component, before and after.
+    """
+    if labels is None:
+        return connected_components(found, stages)
+    ends, few = found, labels.count() * 16 <= BROADCAST_BYTES
+    for c in ("a", "b"):  # a node stands once in `labels`, but many pairs may have one end
+        old = labels.select(F.col("node").alias(c), "label")
+        ends = ends.join(F.broadcast(old), c, "left") if few else hot_join(stages.keep(ends), old, c, "left")
+        ends = ends.withColumn(c, F.coalesce("label", c)).drop("label")
+    between = stages.keep(ends.where("a <> b").distinct())
+    if not between.limit(1).count():
+        stages.drop(between)
+        return labels
+    tops = connected_components(between, stages)
+    moved = labels.join(tops.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
+    moved = moved.select("node", F.coalesce("top", "label").alias("label"))
+    out = stages.keep(moved.unionByName(tops.join(labels.select("node"), "node", "left_anti")))
+    stages.drop(between)
+    return out
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """`rows` with the label of their node: that of its component, or the node itself."""
+    if labels is None:
+        return rows.withColumn("label", F.col("node"))
+    return rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def _links(tiles: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages: Stages) -> DataFrame:
-    """Pairs (a, b) of classes that link, enough of them to connect whatever links; `tiles` has (key, node, n,
-    home).
+    """(node, label) of the classes that link with others; `tiles` has (key, node, n, home).
 
     The classes of a large tile are compared with its leader, the class that stands in most of the large tiles, as the
     centre of a group of near copies does; what is still large after that gets a new leader. Pairs within a component
@@ -317,9 +347,10 @@ def _links(tiles: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages: S
     largest = told.agg(F.max("n")).first()[0]
     if largest is None:
         stages.drop(told)
-        return tiles.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+        return tiles.select("node", F.col("node").alias("label")).where("false")
     sized = stages.keep(hot_join(tiles, told.drop("n"), "key", counts=told))
-    small, edges, labels, listed = sized.where(f"size <= {LISTED}"), None, None, []
+    stages.drop(tiles)
+    small, labels, listed = sized.where(f"size <= {LISTED}"), None, []
 
     def pairs_of(rows: DataFrame) -> DataFrame:
         both = rows.alias("x").join(rows.alias("y"), F.expr(f"x.key = y.key AND x.node < y.node AND (x.home OR y.home) AND x.label <> y.label AND {fits.format('x', 'y')}"))
@@ -328,7 +359,7 @@ def _links(tiles: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages: S
     kept = []
     if largest > LISTED:
         large = sized.where(f"size > {LISTED}").select("key", "node", "n")
-        rows = stages.keep(_labelled(large.join(large.groupBy("node").agg(F.count("*").alias("degree")), "node"), maps, None))
+        rows = stages.keep(_labelled(large.join(large.groupBy("node").agg(F.count("*").alias("degree")), "node"), None))
         for _ in range(ROUNDS):
             leader = [F.count("*").alias("n"), F.max(F.struct("degree", "node", "n", "label")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi")]
             led_by = rows.groupBy("key").agg(*leader).where(f"lo <> hi AND n > {LISTED}")
@@ -339,23 +370,23 @@ def _links(tiles: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages: S
             led = hot_join(rows, led_by.drop("n"), "key", counts=led_by).where(f"node <> leader AND label <> leader_label AND 100 * least(n, leader_n) >= {rule.percent} * greatest(n, leader_n)")
             pairs = stages.keep(led.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
             found = _verified(pairs, maps, sets, rule, stages)
-            edges = found if edges is None else edges.unionByName(found)
-            labels = connected_components(edges, stages)
+            labels = _merged(labels, found, stages)
             others = rows.join(led_by.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")  # a leader is done in its tile
-            rest = stages.keep(_labelled(others, maps, labels))
+            rest = stages.keep(_labelled(others, labels))
             stages.drop(pairs, led_by, rows)
             rows = rest
         left = stages.keep(rows.groupBy("key").agg(*size, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", F.col("size").alias("n"), "size", "most"))
         rest = stages.keep(hot_join(rows, left.drop("n"), "key", counts=left))
         listed.append(_blocked_pairs(rest, maps, rule))
         kept = [rows, left, rest]
-    small = stages.keep(_labelled(small, maps, labels).select("key", "node", "n", "home", "label"))
+    small = stages.keep(_labelled(small, labels).select("key", "node", "n", "home", "label"))
     listed.insert(0, pairs_of(small))
     pairs = listed[0] if len(listed) == 1 else listed[0].unionByName(listed[1])
     pairs = stages.keep(pairs.distinct())
     found = _verified(pairs, maps, sets, rule, stages)
+    labels = _merged(labels, found, stages)
     stages.drop(told, sized, small, pairs, *kept)
-    return found if edges is None else edges.unionByName(found)
+    return labels
 
 
 def _blocked_pairs(large: DataFrame, maps: DataFrame, rule: Rule) -> DataFrame:
