@@ -1,9 +1,11 @@
-"""Text cleaning as column expressions and one line-level window."""
+"""Text cleaning as column expressions; no step shuffles."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions import patterns as P
@@ -24,14 +26,38 @@ def strip_control(text: Column) -> Column:
     return F.regexp_replace(text, P.CONTROL, "")
 
 
+def _often(keys: Column, least: int) -> Column:
+    """For each key of an array, whether it stands there `least` times or more: sorted with their places, equal keys are
+    neighbours, so one comparison over a distance tells."""
+
+    def told(s: Column) -> Column:
+        def many(x: Column, i: Column) -> Column:
+            spans = [F.coalesce(F.get(s, i - o)["k"] == F.get(s, i - o + (least - 1))["k"], F.lit(False)) for o in range(least)]
+            return F.struct(x["i"].alias("i"), reduce(or_, spans).alias("many"))
+
+        return F.transform(F.array_sort(F.transform(s, many)), lambda y: y["many"])
+
+    placed = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+    return F.transform(F.array(placed), told)[0]
+
+
 def strip_repeated_lines(docs: DataFrame, text: str = "md", least: int = 3, longest: int = 90) -> DataFrame:
-    """Drop short lines that a document repeats `least` times or more; blank lines stay. Needs a unique doc_id."""
-    lines = docs.select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
-    lines = lines.withColumn("key", F.lower(F.regexp_replace(strip(F.col("line")), r"(?U)\s+", " ")))
-    times = F.count("*").over(W.partitionBy("doc_id", "key"))
-    kept = lines.withColumn("n", times).where(f"key = '' OR n < {least} OR length(key) > {longest}")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x.line), "\n")
-    return kept.groupBy("doc_id").agg(joined.alias(text))
+    """`docs` without the short lines that a text repeats `least` times or more; blank lines stay.
+
+    Each row is cleaned by itself, so null texts stay null, and rows with one id are texts of their own.
+    """
+
+    def cleaned(lines: Column) -> Column:
+        keys = F.transform(lines, lambda x: F.lower(F.regexp_replace(strip(x), r"(?U)\s+", " ")))
+
+        def kept(ks: Column) -> Column:
+            each = F.arrays_zip(lines.alias("line"), ks.alias("key"), _often(ks, least).alias("often"))
+            stay = F.filter(each, lambda x: (x["key"] == "") | ~x["often"] | (F.length(x["key"]) > longest))
+            return F.array_join(F.transform(stay, lambda x: x["line"]), "\n")
+
+        return F.transform(F.array(keys), kept)[0]
+
+    return docs.withColumn(text, F.transform(F.array(F.split(text, "\n", -1)), cleaned)[0])
 
 
 def cleaning_chain(docs: DataFrame, text: str = "md") -> DataFrame:

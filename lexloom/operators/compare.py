@@ -119,6 +119,16 @@ def own_articles(articles: DataFrame, blocks: list[str] | None = None) -> DataFr
     return own if blocks is None else own.where(F.col("tipo_bloque").isin(blocks))
 
 
+def own_sections(sections: DataFrame, under: list[str] | None = None, ids: list | None = None, path: str = "jerarquia") -> DataFrame:
+    """Sections that stand under one of the named headings (whole steps of a path "A > B"), and of the named ids only;
+    None leaves all, an empty list none."""
+    out = sections
+    if under is not None:
+        here = F.concat(F.coalesce(path, F.lit("")), F.lit(" > "))
+        out = out.where(F.exists(F.array(*map(F.lit, under)).cast("array<string>"), lambda h: F.startswith(here, F.concat(h, F.lit(" > ")))))
+    return out if ids is None else out.where(F.col("chunk_id").isin(ids))
+
+
 def value_counts(rows: DataFrame, *columns: str) -> DataFrame:
     """(columna, valor, n): how often each value of each column stands; null values are not counted."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("columna"), F.col(c).cast("string").alias("valor")) for c in columns]))
