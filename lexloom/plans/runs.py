@@ -263,6 +263,34 @@ def paper_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _papers(spark, sf_dir)["via_manual"].select("chunk_id", "nivel_cumplimiento", "prioridad", "color")
 
 
+@query(
+    _with(
+        """SELECT 'nivel ' || x AS concepto, CAST((SELECT count(*) FROM leveled WHERE level = x) AS VARCHAR) AS valor FROM (SELECT unnest(['cumple', 'parcial', 'omision', 'no_aplica']) AS x)
+UNION ALL SELECT c, v FROM (SELECT unnest(['articulos', 'cubiertos', 'sin_cobertura', 'porcentaje']) AS c, unnest([CAST(n AS VARCHAR), CAST(k AS VARCHAR), CAST(n - k AS VARCHAR), CAST(round(k * 100.0 / greatest(1, n), 1) AS VARCHAR)]) AS v
+  FROM (SELECT count(*) AS n, count(l.doc_id) AS k FROM placed p LEFT JOIN (SELECT DISTINCT doc_id, orden FROM lex) l ON l.doc_id = p.doc_id AND l.orden = p.orden WHERE tipo_elemento = 'articulo' AND NOT es_referencia))""",
+        _LEXICAL, _RUN,
+    )
+)
+def paper_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary's sheet: sections by the level that the models found, and how many own articles are covered."""
+    return _papers(spark, sf_dir)["resumen"]
+
+
+@query(
+    _with(
+        """SELECT * FROM (SELECT CAST(t.chunk_id AS VARCHAR) AS chunk_id, array_to_string(list_filter([
+  CASE WHEN s BETWEEN 0.25 AND 0.35 THEN 'umbral' END, CASE WHEN r IS NULL THEN 'sin_calificar' END, CASE WHEN len(lexicos) > 0 AND NOT coalesce(r, true) THEN 'conflicto' END,
+  CASE WHEN len(lexicos) = 0 AND coalesce(s, 0) < 0.30 THEN 'huerfana' END, CASE WHEN level = 'parcial' THEN 'parcial_con_brechas' END], lambda m: m IS NOT NULL), '; ') AS motivos
+FROM leveled t LEFT JOIN (SELECT chunk_id, max(round(score, 4)) AS s FROM near GROUP BY chunk_id) USING (chunk_id) LEFT JOIN (SELECT chunk_id, bool_or(g >= 0.2) AS r FROM graded GROUP BY chunk_id) USING (chunk_id))
+WHERE motivos <> ''""",
+        _LEXICAL, _RUN,
+    )
+)
+def paper_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheet of sections to review by hand, with the reasons that the run's own results give."""
+    return _papers(spark, sf_dir)["revision"].select("chunk_id", "motivos")
+
+
 @query(
     _with(
         """SELECT CAST(p.doc_id AS VARCHAR) AS doc_id, p.numero, CASE WHEN es_referencia THEN 'no_aplica' WHEN n IS NULL THEN 'no_cubierto' ELSE 'cubierto' END AS nivel_adopcion,
