@@ -1,12 +1,10 @@
 """Quality rules: repetition within a text, and lines that many documents of a host share.
 
 Only DataFrame functions are used. Normalised lines are hashed and counted over the distinct documents of each host
-(`source`). Exact copies are one document. Near copies are one too where their own lines tell so: a line is a text's
-own if no other text of the host has it, and texts whose own lines have the same smallest 3-word hash count once. What
-a line under count holds thus never decides which document it stands in, and texts without own lines count by their
-text. A line is above the limit of its host if it stands in more than `line_share` of the host's documents and in more
-than `line_docs` of them. Such lines are removed; a document that loses more than `max_lost` of its words is depleted
-and rejected.
+(`source`): exact copies are one document, different texts are different documents. A line is above the limit of its host
+if it stands in more than `line_share` of the host's documents and in more than `line_docs` of them. Such lines are
+removed; a document that loses more than `max_lost` of its words is depleted and rejected. So are near copies that are
+many on one host, where most of their lines are the same.
 
 Edge cases: a null text has no words and fails the base rules, as does an empty one; a null host is a host of its own;
 repeated rows give repeated rows and count as one text; an empty table gives an empty result; very long texts are taken
@@ -20,11 +18,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Stages, free_name
+from lexloom.llm.common import Stages, free_name, hot_join
 
 _BLANKS = "\t\n\x0b\x0c\r"
 _GRAM = 8
-_OWN_GRAM = 3
+#: Bytes of lines above the limit that may be broadcast; beyond it they are joined by a shuffle that deals hot lines.
+BROADCAST_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -59,12 +58,6 @@ def _gram_hashes(words: Column) -> Column:
     )
 
 
-def _own_hash(words: Column) -> Column:
-    """Smallest 3-word hash of a line (of all its words if there are fewer)."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (_OWN_GRAM - 1), F.lit(1)))
-    return F.array_min(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, _OWN_GRAM))))
-
-
 def _repeated_words(hashes: Column) -> Column:
     """Words in windows that occur twice or more: sort the hashes with their places and join the runs of equal ones."""
     placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -84,60 +77,47 @@ def _normal_line(line: Column) -> Column:
 
 
 def measured(docs: DataFrame, limits: Limits) -> DataFrame:
-    """Per row of `docs` (doc_id, source, text): a key, the base counts, its lines and its identity (smallest 8-word hash; not counted by)."""
+    """Per row of `docs` (doc_id, source, text): its keys, the base counts and its lines."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: _without(x, " \t\x0b\x0c\r") > 0)
     base = docs.select(
-        "doc_id", "source", F.xxhash64("text").alias("text_hash"), split_words(text).alias("words"), lines.alias("whole_lines"),
+        "doc_id", "source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("host"), F.xxhash64("text").alias("text_hash"), split_words(text).alias("words"), lines.alias("whole_lines"),
         _without(text, " " + _BLANKS).alias("word_chars"), (F.length(text) - _without(text, "#*$%&|<>")).alias("n_symbols"),
     )
     grams = _let(F.col("words"), lambda w: F.struct(F.size(w).alias("n_words"), _gram_hashes(w).alias("hashes")))
-    facts = _let(grams, lambda g: F.struct(
-        g.n_words.alias("n_words"), _repeated_words(g.hashes).alias("n_repeat_words"), F.array_min(g.hashes).alias("identity")
-    ))
+    facts = _let(grams, lambda g: F.struct(g.n_words.alias("n_words"), _repeated_words(g.hashes).alias("n_repeat_words")))
     told = _let(F.col("whole_lines"), lambda ls: F.struct(
         (F.size(ls) - F.size(F.array_distinct(ls))).alias("n_dup_lines"),
-        F.transform(ls, lambda x: _let(split_words(x), lambda w: F.struct(
-            F.xxhash64(_normal_line(x)).alias("line"), F.size(w).alias("words"), _own_hash(w).alias("own")
-        ))).alias("lines"),
+        F.transform(ls, lambda x: F.struct(F.xxhash64(_normal_line(x)).alias("line"), F.size(split_words(x)).alias("words"))).alias("lines"),
     ))
-    out = base.select("doc_id", "source", "text_hash", "word_chars", "n_symbols", facts.alias("f"), told.alias("l"))
-    out = out.select(
-        "doc_id", "source", "text_hash", "word_chars", "n_symbols", "f.n_words", "f.n_repeat_words", "l.n_dup_lines", "l.lines",
-        F.coalesce("f.identity", "text_hash").alias("identity"),
-    )
+    out = base.select("doc_id", "source", "host", "text_hash", "word_chars", "n_symbols", facts.alias("f"), told.alias("l"))
+    out = out.select("doc_id", "source", "host", "text_hash", "word_chars", "n_symbols", "f.n_words", "f.n_repeat_words", "l.n_dup_lines", "l.lines")
     failed = (F.col("n_words") < limits.min_words) | (F.col("n_repeat_words") > limits.max_repeated * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
 
-def frequent_lines(facts: DataFrame, limits: Limits) -> DataFrame:
-    """(source, line) above the limit; every count is combined before it is shuffled, one document a line at most."""
-    lines = facts.select("source", "text_hash", F.explode("lines").alias("x")).select("source", "text_hash", "x.line", "x.own")
-    texts = lines.groupBy("source", "line", "text_hash").agg(F.min("own").alias("own"))
-    counted = texts.groupBy("source", "line").agg(F.count("*").alias("texts"), F.min("text_hash").alias("text_hash"), F.min("own").alias("own"))
-    own = counted.where("texts = 1").select("source", "text_hash", "own")
-    every = facts.select("source", "text_hash", F.lit(None).cast("bigint").alias("own"))
-    documents = own.unionByName(every).groupBy("source", "text_hash").agg(F.coalesce(F.min("own"), "text_hash").alias("document"))
-    hosts = documents.groupBy("source", "document").agg(F.lit(1).alias("one")).groupBy("source").agg(F.count("*").alias("all"))
-    # a line stands in as many texts as documents at least, so few lines need the count by document
-    over = lambda n: (F.col(n) > limits.line_docs) & (F.col(n) > limits.line_share * F.col("all"))
-    many = counted.where(F.col("texts") > limits.line_docs).alias("c").join(hosts.alias("h"), F.expr("c.source <=> h.source"))
-    many = many.where(over("texts")).select("c.source", "c.line", "h.all")
-    held = texts.alias("t").join(many.alias("m"), F.expr("t.line = m.line AND t.source <=> m.source")).select("t.source", "t.line", "t.text_hash", "m.all")
-    held = held.alias("t").join(documents.alias("d"), F.expr("t.text_hash = d.text_hash AND t.source <=> d.source"))
-    distinct = held.groupBy("t.source", "t.line", "d.document").agg(F.first("t.all").alias("all"))
-    found = distinct.groupBy("source", "line").agg(F.count("*").alias("documents"), F.first("all").alias("all"))
-    return found.where(over("documents")).select("source", "line")
-
-
-def _lost(facts: DataFrame, limits: Limits) -> DataFrame:
+def frequent_lines(facts: DataFrame, limits: Limits, stages: Stages) -> DataFrame:
+    """(host, line) above the limit, a kept table; every count is combined before it is shuffled, a document counts once."""
+    texts = facts.select("host", "text_hash", F.explode(F.array_distinct("lines.line")).alias("line")).distinct()
+    many = texts.groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > limits.line_docs)
+    every = facts.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("all"))
+    many, every = stages.keep(many), stages.keep(every)
+    found = stages.keep(hot_join(many, every, "host").where(F.col("documents") > limits.line_share * F.col("all")).select("host", "line"))
+    stages.drop(many, every)
+    return found
+
+
+def _lost(facts: DataFrame, limits: Limits, stages: Stages) -> DataFrame:
     """Per document with frequent lines: their hashes and the words in them."""
-    frequent = frequent_lines(facts, limits).alias("q")
-    lines = facts.select("doc_id", "text_hash", "source", F.posexplode("lines").alias("at", "x")).select("*", "x.*").alias("d")
-    found = lines.join(frequent, F.expr("d.line = q.line AND d.source <=> q.source"))
+    frequent = frequent_lines(facts, limits, stages)
+    told = ["doc_id", "text_hash", "source"]
+    lines = facts.select(*told, "host", F.posexplode("lines").alias("at", "x")).select(*told, "host", "at", "x.*")
+    size = frequent.agg(F.coalesce(F.sum(F.octet_length("host") + 24), F.lit(0))).first()[0]
+    on = ["host", "line"]
+    found = lines.join(F.broadcast(frequent), on) if size <= BROADCAST_BYTES else hot_join(lines, frequent, on)
     # repeated rows give each place more than once: a place counts once
-    places = found.groupBy("d.doc_id", "d.text_hash", "d.source", "d.at", "d.line").agg(F.first("d.words").alias("words"))
-    return places.groupBy("doc_id", "text_hash", "source").agg(F.collect_set("line").alias("removed"), F.sum("words").alias("lost_words"))
+    places = found.groupBy(*told, "at", "line").agg(F.first("words").alias("words"))
+    return places.groupBy(*told).agg(F.collect_set("line").alias("removed"), F.sum("words").alias("lost_words"))
 
 
 _SAME = "{0}.doc_id <=> {1}.doc_id AND {0}.text_hash = {1}.text_hash AND {0}.source <=> {1}.source"
@@ -147,8 +127,8 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Per row of `docs`: doc_id, source, text_hash, the base counts, lost_words, removed lines (hashes) and kept."""
     stages = Stages(docs.sparkSession, "quality")
     facts = stages.keep(measured(docs, limits))
-    lost = _lost(facts, limits)
-    joined = facts.drop("lines", "identity").alias("f").join(lost.alias("l"), F.expr(_SAME.format("f", "l")), "left")
+    lost = _lost(facts, limits, stages)
+    joined = facts.drop("lines", "host").alias("f").join(lost.alias("l"), F.expr(_SAME.format("f", "l")), "left")
     joined = joined.select("f.*", F.coalesce("l.lost_words", F.lit(0)).alias("lost_words"), "l.removed")
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= limits.max_lost * F.col("n_words")))
 
