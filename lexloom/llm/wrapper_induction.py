@@ -1,15 +1,17 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-Each host has a reference page. The DOM tree of every page is aligned with the reference's by simple tree matching,
-so that text blocks get the slot of the reference block they match. A slot whose text is the same on nearly all
-distinct pages that have it (at least a fifth of the host's) is template and is dropped; varying slots, and blocks that
-match none, are content. Menus, headers, footers, sidebars, notices, adverts, forms and comments vary from page to page
-on many hosts, so their elements are told by tag, role and class and never are content slots; class names are a hint
-only, and are not heeded where nothing would be left. Where a page marks its article or main element, content comes
-from there. Counts run over all pages and are combined before they are shuffled.
-
-On pages whose tags and classes say it all, as those of the test tables do, the wrapper finds nothing more to drop; it
-works on unmarked notices and menus that are the same on a host's pages. Unmarked menus that vary stay.
+The pages of a host fall into layouts, by the outer structure of their elements. Each layout of a few pages or more has
+a reference page; rarer ones take that of their host's largest. The DOM tree of every page is aligned with its reference's
+by simple tree matching, so that text blocks get the slot of the reference block they match; blocks that match none have
+their path of tags as slot. A slot whose text is the same on nearly all distinct pages that have it (at least a fifth of
+the layout's) is template and is dropped; varying slots are content. Where a page marks its article or main element,
+content comes from there, and nothing in it is dropped for its name. Menus, headers, footers, sidebars, notices, adverts,
+forms and comments vary from page to page on many hosts, so outside such an element they are told by tag, role and class;
+class names are a hint only, and are not heeded where nothing would be left or where the element holds most of the page's
+text (comments excepted). Counts run over all pages and are combined before they are shuffled.
+
+On pages whose tags say it all, as those of the test tables do, the wrapper finds nothing more to drop; it works on
+unmarked notices, boxes inside articles and menus that are the same on a layout's pages. Unmarked menus that vary stay.
 
 Edge cases: null and empty pages give an empty text; a null or malformed url is a host of its own kind (''); repeated
 rows give repeated rows and count as one page of their host; an empty table gives an empty result; very long and very
@@ -19,6 +21,7 @@ deep pages are taken whole; further columns but the html pass through, and a col
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -30,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.common import Stages
+from lexloom.llm.common import Stages, hot_join
 
 #: A slot is template if one text holds it on so large a share of so many distinct pages.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 5
-#: ... where that many are the pages that have the slot (a layout of the host), at least this share of the host's pages.
+#: ... where that many are the pages that have the slot (a layout of the host), at least this share of the layout's pages.
 LAYOUT_SHARE = 0.2
-#: Bytes of per-host rows that may be broadcast; beyond it they are joined by a shuffle.
+#: Bytes of rows for each layout that may be broadcast; beyond it they are joined by a shuffle that deals hot layouts.
 BROADCAST_BYTES = 8 << 20
 #: Cells of an alignment's table that are kept at once; longer lists are halved, with the same result.
 _TABLE_CELLS = 1 << 20
@@ -56,6 +59,11 @@ _NAMES = re.compile(
     r"|signup|login|footer|header|masthead|skip\w*)(?:$|[\s_-])",
     re.I,
 )
+_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|respond|replies|disqus)(?:$|[\s_-])", re.I)
+#: Elements that make a layout, and how deep they are looked at.
+_STRUCTURE = re.compile(r"<(/?)(div|section|main|article|nav|header|footer|aside|form|table)\b([^>]*)>", re.I)
+_CLASS = re.compile(r"""\bclass\s*=\s*["']?([^"'>]*)""", re.I)
+_LAYOUT_DEPTH = 3
 _ARIA = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 #: Open elements that a start tag closes, and the elements that end the search for them.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -64,22 +72,29 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "role", "children", "slot")
+    __slots__ = ("tag", "role", "children", "slot", "drop", "inside", "comments")
 
-    def __init__(self, tag: str, role: str):
+    def __init__(self, tag: str, role: str, inside: bool = False, comments: bool = False):
         self.tag, self.role, self.children, self.slot = tag, role, [], -1  # children: nodes and strings
+        self.drop, self.inside, self.comments = role in ("unseen", "aside", "named"), inside or role == "main", comments
 
 
 def _role(tag: str, attrs: dict[str, str | None], hints: bool = True) -> str:
-    """What an element is for: 'unseen', 'aside' (never content), 'main' or ''."""
+    """What an element is for: 'unseen', 'aside' (never content), 'named' (aside by its name only), 'main' or ''."""
     if tag in _UNSEEN or "hidden" in attrs:
         return "unseen"
     told = (attrs.get("role") or "").lower()
-    if tag in _ROLES or told in _ARIA or hints and tag not in ("html", "body", "article", "main") and _NAMES.search(f"{attrs.get('class') or ''} {attrs.get('id') or ''}"):
+    if tag in _ROLES or told in _ARIA:
         return "aside"
+    if hints and tag not in ("html", "body", "article", "main") and _NAMES.search(_names(attrs)):
+        return "named"
     return "main" if tag in ("article", "main") or told in ("main", "article") else ""
 
 
+def _names(attrs: dict[str, str | None]) -> str:
+    return f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
+
+
 class _Builder(HTMLParser):
     def __init__(self, hints: bool):
         super().__init__(convert_charrefs=True)
@@ -92,8 +107,10 @@ class _Builder(HTMLParser):
             self._close({"p"}, _SCOPE)
         if tag in _CLOSES:
             self._close(_CLOSES[tag], _SCOPE - {"td", "th"} if tag == "tr" else _SCOPE - _CLOSES[tag])
-        node = Node(tag, _role(tag, dict(attrs), self.hints))
-        self.open[-1].children.append(node)
+        told, parent = dict(attrs), self.open[-1]
+        role = _role(tag, told, self.hints and not parent.inside)
+        node = Node(tag, role, parent.inside, role == "named" and bool(_COMMENTS.search(_names(told))))
+        parent.children.append(node)
         if tag not in _VOID:
             self.open.append(node)
 
@@ -125,9 +142,49 @@ def parse(html: str, hints: bool = True) -> Node:
     builder = _Builder(hints)
     builder.feed(html)
     builder.close()
+    if hints:
+        _unname(builder.root)
     return builder.root
 
 
+def _unname(root: Node) -> None:
+    """Named elements that hold most of the visible text aren't dropped for their name."""
+    held, named, stack = {}, [], [(root, False)]
+    while stack:
+        node, done = stack.pop()
+        if node.role in ("unseen", "aside"):
+            held[id(node)] = 0
+        elif done:
+            held[id(node)] = sum(len(c.strip()) if isinstance(c, str) else held[id(c)] for c in node.children)
+        else:
+            if node.role == "named" and not node.comments:
+                named.append(node)
+            stack.append((node, True))
+            stack.extend((c, False) for c in _elements(node))
+    for node in named:
+        node.drop = 2 * held[id(node)] <= held[id(root)]
+
+
+def layout(html: str) -> int:
+    """A hash of the outer elements of a page, outside its article: tags and classes without digits, runs of equal ones once."""
+    depth, skip, seen = 0, 0, []
+    for closing, tag, attrs in _STRUCTURE.findall(html):
+        tag = tag.lower()
+        if closing:
+            depth = max(0, depth - 1)
+            skip = 0 if depth < skip else skip
+            continue
+        depth += 1
+        if depth <= _LAYOUT_DEPTH and not skip:
+            told = _CLASS.search(attrs)
+            what = (depth, tag, re.sub(r"\d+", "", told[1]) if told else "")
+            if not seen or seen[-1] != what:
+                seen.append(what)
+        if tag in ("article", "main") and not skip:
+            skip = depth
+    return zlib.crc32(repr(seen).encode())
+
+
 def _elements(node: Node) -> list[Node]:
     return [c for c in node.children if isinstance(c, Node)]
 
@@ -272,13 +329,13 @@ def blocks(root: Node) -> list[tuple[int, str]]:
         if text:
             out.append((slot, text))
 
-    # an explicit stack, as pages may nest deeply: (node, next child, inside the main element)
-    stack = [[root, 0, not has_main]]
+    # an explicit stack, as pages may nest deeply: (node, next child, inside the main element, hash of the path)
+    stack = [[root, 0, not has_main, 0]]
     while stack:
-        node, i, inside = stack[-1]
+        node, i, inside, path = stack[-1]
         if i >= len(node.children):
             if node.tag in _BLOCK:
-                flush(node.slot)
+                flush(_slot(node, path))
             stack.pop()
             continue
         stack[-1][1] += 1
@@ -286,15 +343,15 @@ def blocks(root: Node) -> list[tuple[int, str]]:
         if isinstance(child, str):
             if inside:
                 run.append(child)
-        elif child.role in ("unseen", "aside") and not (child.tag == "header" and inside and has_main and _holds_heading(child)):
+        elif child.drop and not (child.tag == "header" and inside and has_main and _holds_heading(child)):
             run.append(" ")
         elif child.tag in ("br", "wbr", "img", "hr"):
             run.append("" if child.tag == "wbr" else " ")
         else:
             if child.tag in _BLOCK:
                 flush(_block_slot(stack))
-            stack.append([child, 0, inside or child.role == "main"])
-    flush(root.slot)
+            stack.append([child, 0, inside or child.role == "main", zlib.crc32(child.tag.encode(), path)])
+    flush(_slot(root, 0))
     return out
 
 
@@ -303,8 +360,13 @@ def _holds_heading(node: Node) -> bool:
     return any(c.tag in ("h1", "h2", "h3") for c in _elements(node))
 
 
+def _slot(node: Node, path: int) -> int:
+    """The slot of the reference that a node matches, or a negative one for its path of tags."""
+    return node.slot if node.slot >= 0 else -1 - (path & 0x3FFFFFFF)
+
+
 def _block_slot(stack: list) -> int:
-    return next((n.slot for n, _, _ in reversed(stack) if n.tag in _BLOCK), -1)
+    return next((_slot(n, path) for n, _, _, path in reversed(stack) if n.tag in _BLOCK), -1)
 
 
 def _mains(root: Node) -> Iterator[Node]:
@@ -313,7 +375,7 @@ def _mains(root: Node) -> Iterator[Node]:
         node = stack.pop()
         if node.role == "main":
             yield node
-        elif node.role == "":
+        elif not node.drop:
             stack.extend(_elements(node))
 
 
@@ -345,40 +407,59 @@ def _aligned(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]
         yield pa.array([page_blocks(p or "", r or "") for p, r in zip(pages.to_pylist(), references.to_pylist(), strict=True)], kind)
 
 
+@F.arrow_udf(T.LongType())
+def _layout(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for pages in columns:
+        yield pa.array([layout(p or "") for p in pages.to_pylist()], pa.int64())
+
+
 def _host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-def _small(df: DataFrame, column) -> DataFrame:
-    """Broadcast while the bytes are few; else the join shuffles, and may split hot hosts."""
-    total = df.agg(F.coalesce(F.sum(column), F.lit(0))).first()[0]
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+def _joined(rows: DataFrame, single: DataFrame, key: list[str], size, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """`rows` with `single` (one row a key): broadcast while its bytes are few, else a shuffle that deals hot keys."""
+    total = single.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(single), key, how) if total <= BROADCAST_BYTES else hot_join(rows, single, key, how, counts)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """`pages` with text (content blocks, one a line) and n_chars."""
     stages = Stages(pages.sparkSession, "wrappers")
     rest = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
-    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), _host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("pick"), "html")
-    picks = rows.groupBy("host").agg(F.min("pick").alias("pick"))
-    picked = rows.select("host", "pick", "html").join(_small(picks, F.length("host") + 16), ["host", "pick"])
-    references = stages.keep(picked.select("host", F.col("html").alias("reference")).dropDuplicates(["host"]))
-    few = _small(references, F.coalesce(F.octet_length("reference"), F.lit(0)) + 32)
-    aligned = rows.join(few, "host").withColumn("blocks", _aligned(F.coalesce("html", F.lit("")), F.coalesce("reference", F.lit(""))))
-    aligned = stages.keep(aligned.select("row", "host", "blocks"))
-
-    # texts of slots over the distinct pages of each host
-    facts = aligned.select("host", F.xxhash64("blocks.hash").alias("page"), F.explode("blocks").alias("b")).where("b.slot >= 0")
-    seen = facts.groupBy("host", "b.slot", "b.hash", "page").agg(F.lit(1).alias("one"))
-    texts = seen.groupBy("host", "slot", "hash").agg(F.count("*").alias("n"))
-    slots = facts.groupBy("host", "b.slot", "page").agg(F.lit(1).alias("one")).groupBy("host", "slot").agg(F.count("*").alias("having"))
-    hosts = aligned.groupBy("host", F.xxhash64("blocks.hash").alias("page")).agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages"))
-    constant = texts.where(f"n >= {CONSTANT_PAGES}").join(slots, ["host", "slot"]).where(f"n >= {CONSTANT_SHARE} * having").join(hosts, "host")
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), _host(F.col("url")).alias("host"), F.xxhash64("page_id", "url", "html").alias("pick"), html.alias("html"))
+    rows = rows.withColumn("layout", _layout("html"))
+
+    # layouts of enough pages have a reference of their own, others that of their host's largest layout
+    width, both = F.octet_length("host") + 32, ["host", "wrapper"]
+    layouts = stages.keep(rows.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min("pick").alias("pick")))
+    tops = stages.keep(layouts.groupBy("host").agg(F.max(F.struct("n", "layout", "pick")).alias("top")))
+    told = _joined(layouts, tops, ["host"], width, layouts.groupBy("host").agg(F.count("*").alias("n")))
+    own = F.col("n") >= CONSTANT_PAGES
+    told = told.select("host", "layout", F.when(own, F.col("layout")).otherwise(F.col("top.layout")).alias("wrapper"), F.when(own, F.col("pick")).otherwise(F.col("top.pick")).alias("pick"), "n")
+    told = stages.keep(told)
+    sizes = told.groupBy(*both).agg(F.sum("n").alias("n"), F.first("pick").alias("pick"))
+    picks = stages.keep(sizes)
+    picked = _joined(rows.select("host", "pick", "html"), picks.drop("n"), ["host", "pick"], width, rows.groupBy("host", "pick").agg(F.count("*").alias("n")))
+    references = stages.keep(picked.select(*both, F.col("html").alias("reference")).dropDuplicates(both))
+
+    laid = _joined(rows, told.select("host", "layout", "wrapper"), ["host", "layout"], width, told)
+    aligned = _joined(laid, references, both, F.octet_length("reference") + width, picks).withColumn("blocks", _aligned("html", "reference"))
+    aligned = stages.keep(aligned.select("row", *both, "blocks"))
+    stages.drop(layouts, tops, told, references)
+
+    # texts of slots over the distinct pages of each layout
+    facts = aligned.select(*both, F.xxhash64("blocks.hash").alias("page"), F.explode("blocks").alias("b"))
+    seen = facts.groupBy(*both, "b.slot", "b.hash", "page").agg(F.lit(1).alias("one"))
+    texts = seen.groupBy(*both, "slot", "hash").agg(F.count("*").alias("n")).where(f"n >= {CONSTANT_PAGES}")
+    slots = facts.groupBy(*both, "b.slot", "page").agg(F.lit(1).alias("one")).groupBy(*both, "slot").agg(F.count("*").alias("having"))
+    distinct = aligned.groupBy(*both, F.xxhash64("blocks.hash").alias("page")).agg(F.lit(1).alias("one")).groupBy(*both).agg(F.count("*").alias("pages"))
+    constant = texts.join(slots, [*both, "slot"]).where(f"n >= {CONSTANT_SHARE} * having").join(distinct, both)
     constant = constant.where(f"having >= {LAYOUT_SHARE} * pages")
-    # at most one text for each slot of a reference page
-    wrappers = stages.keep(constant.groupBy("host").agg(F.collect_list(F.struct("slot", "hash")).alias("template")))
-    few = _small(wrappers, F.size("template") * 16 + 32)
-    out = aligned.join(few, "host", "left")
+    # at most one text for each slot: slots are as many as a reference has nodes, and paths that a fifth of the pages have
+    wrappers = stages.keep(constant.groupBy(*both).agg(F.collect_list(F.struct("slot", "hash")).alias("template")))
+    out = _joined(aligned, wrappers, both, F.size("template") * 16 + width, picks, "left")
     template = lambda b: F.array_contains("template", F.struct(b.slot.alias("slot"), b.hash.alias("hash")))
     kept = F.when(F.col("template").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~template(b)))
     text = F.array_join(F.transform(kept, lambda b: b.text), "\n")

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.llm import wrapper_induction as X
 
@@ -102,6 +103,52 @@ def test_class_names_never_empty_a_page():
     assert texts("<main class='social science'><p>Society.</p></main>") == ["Society."]
 
 
+NAMED = """<article><div class='article-header'><h1>Heading {i}</h1></div><p>Body {i} <span class='alert'>warned</span></p>
+<div class='related-work'><h2>Related {i}</h2><p>others {i}</p></div><div class='box'><p>Ours since ever</p></div></article><div class="comments"><p>Nice {i}</p></div>"""
+
+
+def test_names_inside_articles_are_not_heeded(spark, monkeypatch):
+    rows = [(i, f"http://n.example/{i}", NAMED.format(i=i)) for i in range(10)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = "Heading {i}\nBody {i} warned\nRelated {i}\nothers {i}"
+    assert {r.page_id: r.text for r in X.extract(docs).collect()} == {i: want.format(i=i) for i in range(10)}
+    monkeypatch.setattr(X, "CONSTANT_PAGES", 1 << 30)  # without the wrapper the box stays
+    assert {r.page_id: r.text for r in X.extract(docs).collect()} == {i: want.format(i=i) + "\nOurs since ever" for i in range(10)}
+
+
+def test_names_of_most_of_a_page_are_not_heeded():
+    texts = lambda html: [b["text"] for b in X.page_blocks(html, html)]
+    prose = "All the prose of this page is here, and there is no more of it."
+    assert texts(f"<body><p>x</p><div class='widget-area'><p>{prose}</p></div></body>") == ["x", prose]
+    assert texts(f"<body><p>{prose}</p><div class='widget-area'><p>x</p></div></body>") == [prose]
+    assert texts(f"<body><p>x</p><div id='comments'><p>{prose}</p></div></body>") == ["x"]
+
+
+FIRST = "<body><div class='top'>Our paper</div><div class='text'><p>First {i}</p></div></body>"
+SECOND = "<body><div class='text'><div class='inner'><p>Second {i}</p></div></div><div class='box'><p>Fixed box</p></div></body>"
+
+
+@pytest.mark.parametrize("limit", [8 << 20, -1])
+def test_layouts_of_one_host(spark, monkeypatch, limit):
+    monkeypatch.setattr(X, "BROADCAST_BYTES", limit)
+    rows = [(i, f"http://l.example/{i}", (FIRST if i < 30 else SECOND).format(i=i)) for i in range(50)]
+    rows += [(i, f"http://l.example/{i}", f"<body><section class='s{i}' id='x'><p>rare {i}</p></section><nav>m</nav></body>") for i in range(50, 53)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"{'First' if i < 30 else 'Second' if i < 50 else 'rare'} {i}" for i in range(53)}
+    assert {r.page_id: r.text for r in X.extract(docs).collect()} == want
+    if limit > 0:  # with one reference for all, the box takes the slot of the other layout's text
+        monkeypatch.setattr(X, "_layout", lambda html: F.lit(0).cast("long"))
+        assert X.extract(docs).where("text LIKE '%Fixed box'").count() == 20
+
+
+def test_constant_blocks_that_match_nothing(spark):
+    """A box on a third of a layout's pages that the reference page may lack goes by its path of tags."""
+    page = "<body><div class='text'><p>Text {i}</p>{box}</div></body>"
+    rows = [(i, f"http://b.example/{i}", page.format(i=i, box="<blockquote><p>Fixed box</p></blockquote>" * (i % 3 == 0))) for i in range(30)]
+    got = X.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Text {i}" for i in range(30)}
+
+
 def test_simple_tree_matching():
     a, b = X.number(X.parse("<div><p>a</p><ul><li>x</ul><p>b</p></div>")), X.parse("<div><ul><li>y</ul><p>c</p></div>")
     X.match(b, a)
