@@ -23,7 +23,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -43,6 +42,9 @@ LAYOUT_SHARE = 0.2
 BROADCAST_BYTES = 8 << 20
 #: Cells of an alignment's table that are kept at once; longer lists are halved, with the same result.
 _TABLE_CELLS = 1 << 20
+#: Reference trees that this worker keeps, and of how many characters of pages.
+_trees: dict[str, "Node"] = {}
+_TREE_CHARS = 2 << 20
 #: Matched nodes of two shapes, known to this worker.
 _known: dict[tuple[int, int], int] = {}
 
@@ -98,7 +100,7 @@ def _names(attrs: dict[str, str | None]) -> str:
 class _Builder(HTMLParser):
     def __init__(self, hints: bool):
         super().__init__(convert_charrefs=True)
-        self.hints = hints
+        self.hints, self.named = hints, False
         self.root = Node("#root", "")
         self.open = [self.root]
 
@@ -110,6 +112,7 @@ class _Builder(HTMLParser):
         told, parent = dict(attrs), self.open[-1]
         role = _role(tag, told, self.hints and not parent.inside)
         node = Node(tag, role, parent.inside, role == "named" and bool(_COMMENTS.search(_names(told))))
+        self.named |= role == "named"
         parent.children.append(node)
         if tag not in _VOID:
             self.open.append(node)
@@ -142,7 +145,7 @@ def parse(html: str, hints: bool = True) -> Node:
     builder = _Builder(hints)
     builder.feed(html)
     builder.close()
-    if hints:
+    if builder.named and next(_mains(builder.root), None) is None:  # else content comes from the main element alone
         _unname(builder.root)
     return builder.root
 
@@ -379,9 +382,13 @@ def _mains(root: Node) -> Iterator[Node]:
             stack.extend(_elements(node))
 
 
-@lru_cache(maxsize=32)
 def _reference(html: str) -> Node:
-    return number(parse(html))
+    """The numbered tree of a reference page; a worker keeps trees of `_TREE_CHARS` characters of pages at most."""
+    if html not in _trees:
+        if len(html) + sum(map(len, _trees)) > _TREE_CHARS:
+            _trees.clear()
+        _trees[html] = number(parse(html))
+    return _trees[html]
 
 
 def page_blocks(html: str, reference: str) -> list[dict]:
