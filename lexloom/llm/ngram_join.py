@@ -6,7 +6,8 @@ last (the sample decides the speed only, never the result). Two sets that link m
 sets that can link by their sizes meet in a band; the classes with one key in one band are a tile. In a few rounds
 every class of a large tile is compared with one leader; this joins a group of near copies in time
 linear in its size. Pairs of a tile that no leader has joined are then all compared, in blocks of bounded size where
-the tile is large. Each pair is first bounded from above by the bit counts of hashed
+the tile is large. A listed pair is bounded from above by what its sets' `BUCKETS` buckets of hashes have in common, which
+travel with the tile's rows; each pair that is left is bounded by the bit counts of hashed
 bitmaps; only what passes has its sorted arrays intersected. No tile, bucket or number of partners is capped, and
 joins deal hot keys, leaders and labels to several tasks. Shingles and classes in links are 64-bit hashes; copies are
 told by 128 bits.
@@ -43,6 +44,8 @@ ORDER_ROWS, ORDER_MOST = 4000, 1 << 17
 #: Rounds with leaders at most; the largest tile whose pairs are listed by a join; sets in a block of a larger one, and
 #: shingles in one at most (a set that is larger is alone with one other).
 ROUNDS, LISTED, BLOCK_SETS, BLOCK_SHINGLES = 2, 128, 2048, 8_000_000
+#: Buckets of hashes whose counts bound a listed pair's overlap before bitmaps travel.
+BUCKETS = 32
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -116,6 +119,22 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def bucket_counts(sets: list[np.ndarray]) -> pa.ListArray:
+    """How many shingles each set has in each bucket; an empty list where a count is beyond 16 bits."""
+    rows = [np.bincount((s >> np.uint64(58)).astype(np.int64) % BUCKETS, minlength=BUCKETS) for s in sets]
+    rows = [r.astype(np.int16) if r.max() < 1 << 15 else np.zeros(0, np.int16) for r in rows]
+    return list_array(np.concatenate([np.zeros(0, np.int16), *rows]), np.array([len(r) for r in rows], np.int64), pa.int16())
+
+
+def _may_link(rule: Rule) -> str:
+    """The condition that the buckets of x and y allow a link: the overlap is at most the sum of the smaller counts.
+
+    `least` skips nulls, so one empty list gives the other set's size; two empty lists tell nothing.
+    """
+    both = "aggregate(zip_with(x.buckets, y.buckets, (p, q) -> least(p, q)), 0L, (s, v) -> s + v)"
+    return f"(size(x.buckets) + size(y.buckets) = 0 OR {100 + rule.percent} * {both} >= {rule.percent} * (x.n + y.n))"
+
+
 def fold(words: np.ndarray, n: int) -> np.ndarray:
     while len(words) > n:
         words = words[: len(words) // 2] | words[len(words) // 2 :]
@@ -159,7 +178,7 @@ def _keyed(rule: Rule, frequent):
         sets = shingle_sets(texts, rule.words)
         keys, counts = prefix_keys(sets, rule, frequent.value)
         maps = pa.array([bitmap(s).tobytes() for s in sets], pa.binary())
-        return [pa.array([len(s) for s in sets], pa.int64()), *_set_hashes(sets), list_array(keys.view(np.int64), counts, pa.int64()), maps]
+        return [pa.array([len(s) for s in sets], pa.int64()), *_set_hashes(sets), list_array(keys.view(np.int64), counts, pa.int64()), maps, bucket_counts(sets)]
 
     return keyed
 
@@ -254,21 +273,21 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     stages = Stages(spark, "ngram-join")
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(hashed, rule))
-    keyed = stages.keep(over_slices(hashed, _keyed(rule, frequent), "doc_id long, text_hash long, n long, h1 long, h2 long, keys array<long>, bits binary"))
+    keyed = stages.keep(over_slices(hashed, _keyed(rule, frequent), "doc_id long, text_hash long, n long, h1 long, h2 long, keys array<long>, bits binary, buckets array<short>"))
     facts = stages.keep(keyed.select("doc_id", "text_hash", "n", "h1", "h2"))
     classes = facts.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
     classes = stages.keep(classes.select("h1", "h2", "one.*"))
 
     # from here on keys are those of one document for each class
     one = ["h1", "h2", "doc_id", "text_hash"]
-    firsts = keyed.join(classes, one, "left_semi").dropDuplicates(one).select(F.col("h1").alias("node"), "n", "keys", "bits")
+    firsts = keyed.join(classes, one, "left_semi").dropDuplicates(one).select(F.col("h1").alias("node"), "n", "keys", "bits", "buckets")
     firsts = stages.keep(firsts)
     stages.drop(keyed)
     rows = firsts.select(F.explode("keys").alias("key"), "node", "n", _band(rule).alias("band"))
     shared = stages.keep(rows.groupBy("key").agg(F.count("*").alias("n"), F.max("band").alias("top")).where("n > 1"))
     tiles = stages.keep(_banded(hot_join(rows, shared.drop("n"), "key", counts=shared)))
     stages.drop(shared)
-    labels = _links(tiles, firsts.select("node", "n", "bits"), _Sets(hashed, classes, rule, stages), rule, stages)
+    labels = _links(tiles, firsts.select("node", "n", "bits", "buckets"), _Sets(hashed, classes, rule, stages), rule, stages)
     stages.drop(firsts)
 
     named = classes.join(labels.select(F.col("node").alias("h1"), "label"), "h1", "left").select("h1", "h2", "doc_id", F.coalesce("label", "h1").alias("label"))
@@ -289,7 +308,7 @@ def _verified(pairs: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages
         side = lambda c: of.select(F.col("node").alias(c), *[F.col(w).alias(f"{w}_{c}") for w in what])
         return hot_join(rows.join(side("a"), "a"), side("b"), "b", counts=rows.groupBy("b").agg(F.count("*").alias("n")))
 
-    maps = stages.keep(_of_nodes(maps, pairs))
+    maps = stages.keep(_of_nodes(maps.select("node", "n", "bits"), pairs))
     passed = stages.keep(both(pairs, maps, "n", "bits").where(_bounded(rule)("n_a", "bits_a", "n_b", "bits_b")).select("a", "b"))
     found = stages.keep(both(passed, _of_nodes(sets.of(passed), passed), "shingles").where(_overlapping(rule)("shingles_a", "shingles_b")).select("a", "b"))
     stages.drop(passed, maps)
@@ -353,7 +372,7 @@ def _links(tiles: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages: S
     small, labels, listed = sized.where(f"size <= {LISTED}"), None, []
 
     def pairs_of(rows: DataFrame) -> DataFrame:
-        both = rows.alias("x").join(rows.alias("y"), F.expr(f"x.key = y.key AND x.node < y.node AND (x.home OR y.home) AND x.label <> y.label AND {fits.format('x', 'y')}"))
+        both = rows.alias("x").join(rows.alias("y"), F.expr(f"x.key = y.key AND x.node < y.node AND (x.home OR y.home) AND x.label <> y.label AND {fits.format('x', 'y')} AND {_may_link(rule)}"))
         return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
     kept = []
@@ -379,7 +398,8 @@ def _links(tiles: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages: S
         rest = stages.keep(hot_join(rows, left.drop("n"), "key", counts=left))
         listed.append(_blocked_pairs(rest, maps, rule))
         kept = [rows, left, rest]
-    small = stages.keep(_labelled(small, labels).select("key", "node", "n", "home", "label"))
+    small = _labelled(small, labels).select("key", "node", "n", "home", "label")
+    small = stages.keep(small.join(maps.select("node", "buckets"), "node"))
     listed.insert(0, pairs_of(small))
     pairs = listed[0] if len(listed) == 1 else listed[0].unionByName(listed[1])
     pairs = stages.keep(pairs.distinct())

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.llm import ngram_join
 from lexloom.llm.ngram_join import Rule
@@ -127,3 +128,21 @@ def test_clashing_names_and_ids(spark):
 
 def test_empty_table(documents):
     assert ngram_join.near_duplicates(documents.where("false")).count() == 0
+
+
+def test_buckets_bound_the_overlap(spark):
+    """Listed pairs: the buckets never rule out a link, and do rule out texts that share one passage only."""
+    rng = np.random.default_rng(8)
+    some = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)) for n in (1, 5, 40, 300, 2000)]
+    sets = [*some, *(np.sort(np.concatenate([s[: -max(1, len(s) // 30)], s[:1] + np.uint64(1)])) for s in some), np.zeros(0, np.uint64)]
+    sets += [np.unique(np.concatenate([some[3][:100], rng.integers(0, 1 << 63, 200).astype(np.uint64)])) for _ in range(4)]
+    for rule in (Rule(), Rule(words=5, percent=80)):
+        rows = [(i, len(s), b) for i, (s, b) in enumerate(zip(sets, ngram_join.bucket_counts(sets).to_pylist(), strict=True))]
+        rows += [(100, 1 << 40, []), (101, 1 << 40, [])]
+        df = spark.createDataFrame(rows, "i int, n long, buckets array<short>")
+        got = {(r.a, r.b) for r in df.alias("x").join(df.alias("y"), F.expr(f"x.i < y.i AND {ngram_join._may_link(rule)}")).select(F.col("x.i").alias("a"), F.col("y.i").alias("b")).collect()}
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[i + 1 :], i + 1):
+                if len(a) and len(b) and 100 * ngram_join.overlap(a, b) >= rule.percent * (len(a) + len(b) - ngram_join.overlap(a, b)):
+                    assert (i, j) in got
+        assert (100, 101) in got and not any((i, j) in got for i in range(11, 15) for j in range(i + 1, 15))
