@@ -398,8 +398,8 @@ def _links(tiles: DataFrame, maps: DataFrame, sets: _Sets, rule: Rule, stages: S
         rest = stages.keep(hot_join(rows, left.drop("n"), "key", counts=left))
         listed.append(_blocked_pairs(rest, maps, rule))
         kept = [rows, left, rest]
-    small = _labelled(small, labels).select("key", "node", "n", "home", "label")
-    small = stages.keep(small.join(maps.select("node", "buckets"), "node"))
+    told_of = _labelled(maps.select("node", "buckets"), labels)  # one row a class, so labels meet no row of a tile
+    small = stages.keep(small.select("key", "node", "n", "home").join(told_of, "node"))
     listed.insert(0, pairs_of(small))
     pairs = listed[0] if len(listed) == 1 else listed[0].unionByName(listed[1])
     pairs = stages.keep(pairs.distinct())
