@@ -24,6 +24,7 @@ CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 MONTHS = "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
 VARIANT_ARTICLE = r"(?:^|\n)(?:#{1,4}[ \t]+|[-*+][ \t]+|\d+\.[ \t]+)?[ \t]{0,6}Art(?:ículo|iculo|\.)[ \t]+(\d+[\w]*)[ \t]*[.\-–—]?[ \t]*([^\n]{0,250})"
 
+# The kinds of norms of the second style of parsing, in order of rank, and Markdown headings.
 VARIANT_KINDS = ["RESOLUCIÓN", "PROYECTO DE LEY", "LEY ORGÁNICA", "LEY", "NORMATIVA"]
 MARKDOWN_HEADING = r"^(#{1,6})[ \t]+(.*)$"
 
