@@ -168,8 +168,7 @@ def article_adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = views.norm_md(spark, sf_dir)
-    return extract.with_reference_flags(docs, extract.with_blocks(docs, extract.with_header(extract.articles(docs))))
+    return extract.flagged_articles(views.norm_md(spark, sf_dir))
 
 
 @query(structure("SELECT doc_id, CAST(seq AS INTEGER) AS seq, numero, tipo_bloque FROM flagged WHERE NOT es_referencia AND tipo_bloque IN ('articulado', 'anexo')"))
