@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import patterns as P
 from lexloom.functions.text import strip
+from lexloom.functions.vectors import sliced
 
 TEXTS = ["tipo_coincidencia", "nivel_cumplimiento", "analisis_lexico", "analisis_semantico_top1", "analisis_semantico_top2", "analisis_semantico_top3", "analisis_general"]
 LISTS = ["brechas", "ner_general", "entidades_financieras", "entidades_normativas"]
@@ -84,7 +85,7 @@ def ask(analyst: Callable[[str, str, str, str], str]):
     @F.arrow_udf("struct<respuesta:string,error:string>")
     def answers(*columns: pa.Array) -> pa.Array:
         out = []
-        for asked in zip(*(c.to_pylist() for c in columns), strict=True):
+        for asked in sliced(*columns):
             try:
                 told = analyst(*asked)
                 out.append({"respuesta": told if told is None else str(told), "error": None})
