@@ -67,7 +67,7 @@ def nearest(texts: DataFrame, articles: DataFrame, scope: DataFrame, models: Mod
     queries = texts.select("chunk_id", models.encode(prefixed(F.col("embed"), models.query_prefix)).alias("q"))
     rows = articles.select("doc_id", "element_id", models.encode(prefixed(fallback(articles, "embed_text", "contenido"), models.passage_prefix)).alias("v"))
     asked = scope.select("chunk_id", F.col("norm_id").alias("doc_id")).distinct().join(queries, "chunk_id")
-    scored = asked.join(rows, "doc_id").select("chunk_id", "element_id", F.round(V.dot(F.col("q"), F.col("v")), 9).alias("score"))
+    scored = asked.join(rows, "doc_id").select("chunk_id", "element_id", V.rounded(V.dot(F.col("q"), F.col("v")), 9).alias("score"))
     best = W.partitionBy("chunk_id").orderBy(F.desc("score"), "element_id")
     return scored.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= settings.k) & (F.col("score") >= settings.least))
 
@@ -94,7 +94,7 @@ def compare_all(sections: DataFrame, articles: DataFrame, scope: DataFrame, mode
     numbers = cited.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "numero"))), lambda r: r.numero).alias("articulos_lexicos"))
     first = cited.where("rank <= 3").select("chunk_id", "element_id", "rank").join(told, "element_id")
     near = nearest(texts, articles, scope, models, settings).join(told, "element_id")
-    raw = _listed(near, "articulos_semanticos_raw", F.col("numero"), F.round("score", 4).alias("sim"))
+    raw = _listed(near, "articulos_semanticos_raw", F.col("numero"), V.rounded(F.col("score"), 4).alias("sim"))
     document = judge.pair_text(F.col("numero"), F.col("encabezado"), F.col("contenido"))
     pairs = near.withColumn("document", document).join(texts.select("chunk_id", F.col("embed").alias("query")), "chunk_id")
     best = judge.rerank_pairs(pairs, models.scorer, settings.n)

@@ -30,3 +30,52 @@ def test_texts_around_matches_reach_over_short_gaps(spark):
     found = catalog.extract.matches(docs, catalog.extract._STRUCTURE).where("kind = 'articulo'").collect()
     assert {r.posicion: r.before for r in found} == {m.start(): md[max(0, m.start() - 40) : m.start()] for m in re.finditer(r"(^|\n)Art. \d", md)}
     assert {r.numero: r.es_referencia for r in catalog.extract.flagged_articles(docs).collect()} == {"1": False, "2": True, "3": False}
+
+
+def test_scores_are_rounded_as_in_sql(spark):
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from lexloom.functions import vectors as V
+
+    halves = [float(f"0.{i:04d}5") for i in range(10_000)] + [-0.30015, 0.0, 1.0]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(halves)], "i int, x double").select("i", V.rounded(F.col("x"), 4).alias("y")).orderBy("i").collect()
+    want = duckdb.execute("SELECT round(x, 4) FROM (SELECT unnest(?) AS x, unnest(range(?)) AS i) ORDER BY i", [halves, len(halves)]).fetchall()
+    assert [r.y for r in got] == [r[0] for r in want]
+
+
+def test_similarities_are_shown_as_in_sql(spark):
+    from pyspark.sql import functions as F
+
+    from lexloom.operators import run
+
+    secs = spark.createDataFrame([(1, "1.0")], "chunk_id long, texto string")
+    arts = spark.createDataFrame([(2, "2_0000", "1", "", "0.30035", 0)], "doc_id long, element_id string, numero string, encabezado string, contenido string, orden int")
+    scope = spark.createDataFrame([(1, 2)], "chunk_id long, norm_id long")
+    models = run.Models(encode=lambda text: F.array(text.cast("double")))
+    import duckdb
+
+    for x in ("0.30015", "0.30065", "0.30115", "0.5"):
+        told = arts.withColumn("contenido", F.lit(x))
+        row = run.compare_all(secs, told, scope, models).first()
+        assert row.articulos_semanticos_raw[0].sim == duckdb.execute("SELECT round(CAST(? AS DOUBLE), 4)", [x]).fetchone()[0]
+
+
+def test_models_get_few_rows_at_a_time(spark):
+    from pyspark.sql import functions as F
+
+    from lexloom.functions import vectors as V
+    from lexloom.operators import judge
+
+    def scorer(pairs):
+        return [float(len(pairs))] * len(pairs)
+
+    rows = spark.range(0, 1000, 1, 1).select(F.col("id").alias("chunk_id"), F.lit(1).alias("rank"), F.lit("a").alias("query"), F.lit("b").alias("document"))
+    got = judge.rerank_pairs(rows, scorer).agg(F.max("reranker_score"), F.count("*")).first()
+    assert got[0] <= V.SLICE and got[1] == 1000
+
+
+def test_search_holds_small_blocks():
+    from lexloom.operators import search
+
+    assert search.QUERY_BLOCK * search.ROW_BLOCK * 8 <= 8 << 20 and search.QUERY_BYTES <= 16 << 20
