@@ -79,3 +79,8 @@ def test_search_holds_small_blocks():
     from lexloom.operators import search
 
     assert search.QUERY_BLOCK * search.ROW_BLOCK * 8 <= 8 << 20 and search.QUERY_BYTES <= 16 << 20
+
+
+def test_compare_run_parses_articles_once(spark):
+    plan = catalog.compare_run(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ANEXO" not in plan  # the articles are read as stored, however many blocks of queries there are
