@@ -194,20 +194,20 @@ array_to_string(list_sort(list_distinct(regexp_extract_all(refs, 'Art[.][0-9]+')
 )
 def compare_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole comparison of each section with the articles of the next document, by the default models."""
-    path = scratch(spark, "compare")
     arts = extract.normativa(views.norm_md(spark, sf_dir)).where("tipo_elemento = 'articulo'")
-    arts.select("doc_id", "element_id", "numero", "encabezado", "contenido", "orden", "embed_text").write.parquet(path)
-    secs = views.sections(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("jerarquia")), "doc_id")
+    secs = views.sections(spark, sf_dir, F.coalesce("lang", F.lit("")).alias("jerarquia"))
     scope = secs.select("chunk_id", (F.col("chunk_id") + 1).alias("norm_id"))
-    out = whole.compare_all(secs, spark.read.parquet(path), scope)
+    out = whole.compare_all(secs, arts, scope, order=[])
     shown = lambda c, of: F.array_join(F.transform(c, of), " ")
     sim = lambda x: F.concat(x.numero, F.lit(":"), F.round(x.sim * 10000).cast("long").cast("string"))
     grade = lambda x: F.concat_ws(":", x.numero, x.relevante.cast("string"), F.round(x.score * 1000000).cast("long").cast("string"))
-    return out.select(
+    path = scratch(spark, "compared")
+    out.select(
         "chunk_id", "jerarquia", F.array_join("articulos_lexicos", " ").alias("articulos_lexicos"), shown("articulos_semanticos_raw", sim).alias("articulos_semanticos_raw"),
         shown("articulos_validados", grade).alias("articulos_validados"), "tipo_coincidencia", "nivel_cumplimiento", "analisis_general", "analisis_lexico",
         "analisis_semantico_top1", F.array_join("brechas", "; ").alias("brechas"), F.array_join("entidades_normativas", " ").alias("entidades_normativas"), "estado_analisis",
-    )
+    ).write.parquet(path)
+    return spark.read.parquet(path).orderBy("chunk_id")  # a sort reads its input twice: what is stored, not the models
 
 
 # Documents and papers -----------------------------------------------------------------------------------------------

@@ -84,3 +84,40 @@ def test_search_holds_small_blocks():
 def test_compare_run_parses_articles_once(spark):
     plan = catalog.compare_run(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ANEXO" not in plan  # the articles are read as stored, however many blocks of queries there are
+
+
+def test_matches_by_lines_are_those_of_the_whole_text(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lexloom.functions import patterns as P
+
+    X, dice = catalog.extract, random.Random(4)
+    bits = ["\n", "\n", "\n\n", "TÍTULO I", "Título V.", "ANEXO 1", "Anexo II", "Art. 1", "ARTÍCULO 2 - A", "## ", "- ", "1. ", " ", "\t", "x ñ", "😀", "-", ".", "DISPOSICIÓN GENERAL", "RESUELVE:", "y" * 310, "\r", "Capítulo ÚNICO"]
+    texts = ["".join(dice.choices(bits, k=dice.randrange(14))) for _ in range(3000)] + [None, "TÍTULO I\nTÍTULO II\nTÍTULO III\nTÍTULO IV"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, md string").withColumn("lines", F.split("md", "\n", -1))
+    kinds = {"article": [P.ARTICLE, P.VARIANT_ARTICLE], "heading": [P.HEADING, P.VARIANT_HEADING], "provision": [P.PROVISION], "annex": [P.ANNEX], "resolution": [P.RESOLUTION, P.VARIANT_RESOLUTION]}
+    for pattern in (X.FLAGS[k] + p for k, ps in kinds.items() for p in ps):
+        both = docs.select(X._by_lines(F.col("md"), F.col("lines"), pattern).alias("a"), X._whole(F.col("md"), pattern).alias("b"))
+        seen = both.where("size(b.m) > 0").agg(F.count("*"), F.count_if(~F.col("a.m").eqNullSafe(F.col("b.m")) | ~F.col("a.g").eqNullSafe(F.col("b.g")))).first()
+        assert seen[0] > 100 and seen[1] == 0
+        assert both.where("coalesce(size(b.m), 0) <= 0 AND size(a.m) > 0").count() == 0
+
+
+def test_texts_are_not_scanned_by_every_pattern(spark):
+    plan = catalog.normativa(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "\\A" in plan and not re.search(r"split\(md#\d+, \(\?d", plan)
+
+
+def test_a_comparison_moves_each_text_once(spark):
+    from pyspark.sql import functions as F
+
+    from lexloom.operators import run
+
+    docs = catalog.views.norm_md(spark, SF)
+    arts = catalog.extract.normativa(docs).where("tipo_elemento = 'articulo'")
+    secs = catalog.views.sections(spark, SF)
+    out = run.compare_all(secs, arts, secs.select("chunk_id", (F.col("chunk_id") + 1).alias("norm_id")), order=[])
+    scans, shuffles = steps(out)
+    assert scans <= 4 and shuffles <= 7
