@@ -121,3 +121,40 @@ def test_a_comparison_moves_each_text_once(spark):
     out = run.compare_all(secs, arts, secs.select("chunk_id", (F.col("chunk_id") + 1).alias("norm_id")), order=[])
     scans, shuffles = steps(out)
     assert scans <= 4 and shuffles <= 7
+
+
+def test_search_scores_few_pairs_in_double_precision(monkeypatch):
+    import numpy as np
+
+    from lexloom.operators import search
+
+    dice, scored = np.random.default_rng(3), []
+    rows, ids = dice.random((12_000, 16)), np.arange(12_000)
+    rows[500:900] = rows[:400]  # equal scores follow by id, also over blocks
+    queries = rows[:300]
+    kept = search._Best._keep
+    monkeypatch.setattr(search._Best, "_keep", lambda self, mine, query, *more: (scored.append(len(query)), kept(self, mine, query, *more))[1])
+    best = search._Best(ids[:300], queries, None, 5)
+    for at in range(0, len(rows), 2048):
+        best.meet(np.arange(300), ids[at : at + 2048], rows[at : at + 2048])
+    exact = np.round(queries @ rows.T, 9)
+    exact[ids[:300], ids[:300]] = -np.inf
+    for i in range(300):
+        want = sorted(zip(-exact[i], ids, strict=True))[:5]
+        assert [(-s, e) for s, e in zip(best.scores[i], best.elements[i], strict=True)] == want
+    assert sum(scored) < 0.02 * exact.size
+
+
+def test_equal_vectors_are_searched_once(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lexloom.operators import search
+
+    vector = lambda c: F.array((c % 7 / 7).cast("double"), (c % 3 / 3).cast("double"), F.lit(0.5))
+    corpus = spark.range(400).select((F.col("id") * 37 % 400 + 1000).alias("element_id"), vector(F.col("id")).alias("embedding"))
+    queries = spark.range(90).select(F.col("id").alias("query_id"), vector(F.col("id") * 5).alias("embedding"))
+    want = {tuple(r) for r in search.top_k(queries, corpus, 5).select("query_id", "element_id", "score", "rank").collect()}
+    seen, kept = [], search.top_k
+    monkeypatch.setattr(search, "top_k", lambda q, c, k: (seen.append((q.count(), c.count())), kept(q, c, k))[1])
+    got = search.alike_top_k(queries, corpus, f"file://{tmp_path}/d", 5)
+    assert {tuple(r) for r in got.select("query_id", "element_id", "score", "rank").collect()} == want and seen == [(21, 21)]
