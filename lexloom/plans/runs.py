@@ -239,14 +239,16 @@ def _papers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The working papers of `compare_sections`' comparison, written and read back."""
     base = scratch(spark, "papers")
     arts = extract.normativa(views.norm_md(spark, sf_dir)).where("tipo_elemento = 'articulo'")
-    arts.select("doc_id", "element_id", "numero", "encabezado", "contenido", "orden", "embed_text", "es_referencia").write.parquet(f"{base}/arts")
+    arts.select("doc_id", "element_id", "numero", "encabezado", F.substring("contenido", 1, whole.MOST).alias("contenido"), "orden", "embed_text", "es_referencia").write.parquet(f"{base}/arts")
     arts = spark.read.parquet(f"{base}/arts")
     secs = views.sections(spark, sf_dir).withColumn("jerarquia", F.lit(""))
     scope = secs.select("chunk_id", (F.col("chunk_id") + 1).alias("norm_id"))
-    whole.compare_all(secs, arts, scope).write.parquet(f"{base}/done")
+    # no sheet shows the sections' texts, and each has its own order
+    whole.compare_all(secs, arts, scope, order=[]).drop("texto").write.parquet(f"{base}/done")
     done = spark.read.parquet(f"{base}/done")
     lexical = compare.lexical_join(secs, arts, scope).select("element_id", "chunk_id", F.lit(1.0).alias("score"), F.lit("lexica").alias("origen"))
-    tables = papers.papers(done, arts, lexical, {"modelo": "hash", "umbral": str(P.MIN_SCORE)})
+    lexical.write.parquet(f"{base}/links")  # three sheets read the links
+    tables = papers.papers(done, arts, spark.read.parquet(f"{base}/links"), {"modelo": "hash", "umbral": str(P.MIN_SCORE)})
     papers.write_papers(tables, base)
     return papers.read_papers(spark, base)
 

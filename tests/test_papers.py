@@ -80,3 +80,13 @@ def test_a_reader_never_sees_half_a_set(spark, tmp_path, monkeypatch):
     W.write_papers(W.papers(done.where("false"), arts.where("false"), links.where("false"), {"v": "3"}), path)
     got = W.read_papers(spark, path)
     assert got["trazabilidad"].first().valor == "3" and got["via_manual"].count() == got["matriz"].count() == 0
+
+
+def test_registered_papers_store_their_links_and_no_texts(spark, monkeypatch):
+    from lexloom.plans import runs
+
+    seen, kept = [], W.papers
+    monkeypatch.setattr(runs.papers, "papers", lambda done, arts, links, trace: (seen.append((done.columns, links.inputFiles())), kept(done, arts, links, trace))[1])
+    assert runs.paper_summary(spark, "/root/testdata/sf0.001").count() == 8
+    columns, files = seen[0]
+    assert "texto" not in columns and files and all("/links/" in f for f in files)
